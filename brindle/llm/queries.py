@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, bursttrie, canon, collapse, dartminhash, distinct, heavyhitters, packing
+from brindle.llm import bpe, bursttrie, canon, collapse, dartminhash, distinct, heavyhitters, markup, mojibake, packing
 from brindle.session import table
 
 
@@ -49,6 +49,14 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.distinctiveness(table(spark, sf_dir, "docs"), "doc_id", ("title", "content"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_clean(spark, sf_dir).where("syntax is not null").select("doc_id", "syntax", F.explode("elements").alias("element"))
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_text(table(spark, sf_dir, "docs"), "doc_id", "content", "file_name")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavyhitters.frequent(table(spark, sf_dir, "searches"), "query", share=1 / 200).select(F.col("value").alias("query"))
 
@@ -77,12 +85,20 @@ def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, table(spark, sf_dir, "pack_specs"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_repaired(spark, sf_dir).where("garbled").select("doc_id")
+
+
+def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repair(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_canonical_queries, p2_found, p2_terms, p3_found, p3_classes, p4_found, p4_scores, p6_found, p6_top,
-            p7_found, p7_collapsed, p8_ids, p9_packed,
+            p1_found, p1_canonical_queries, p2_found, p2_terms, p3_found, p3_classes, p4_found, p4_scores, p5_found, p5_clean, p6_found, p6_top,
+            p7_found, p7_collapsed, p8_ids, p9_packed, p10_found, p10_repaired,
         )
     }
 
