@@ -1,11 +1,11 @@
 """Duplicates hidden by formatting differences (problem 7).
 
 The canonical form of a query is made by built-in functions inside the JVM: lower case, field clauses split off
-and sorted, punctuation and white space to single spaces. It is hashed to 128 bits together with the columns
-that must agree as they are; copies are counted per hash with map-side combining, so a group that holds a third
-of all rows is one row per task before anything is shuffled. The combined rows carry the smallest and largest
-canonical key of the group: where they differ two keys share a hash (a collision), and exactly those groups are
-taken apart again by the key itself.
+and sorted, punctuation and white space to single spaces. Together with the columns that must agree as they are it is
+hashed to 128 bits (two seeded 64-bit hashes); a third, independent hash of 32 bits is the collision check: keys that share the 128 bits
+but not the check are kept apart, so that two different keys would have to agree in 160 bits to be taken for one. Copies are
+counted per hash with map-side combining, so a group that holds a third of all rows is one row per task before
+anything is shuffled. The hashed rows are written once, as four numbers each.
 
 Cases: rows with a null text are no copies of anything and, in ``collapse``, each stays a row of its own with one
 copy; empty and blank texts are equal to each other; equal rows are copies; an empty table gives an empty result.
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import materialise
+
 # The field names that open a clause.
 CLAUSE_FIELDS = ("title", "content", "filename")
 
@@ -25,55 +27,42 @@ _CUT = "\ufdd0"  # a noncharacter, which no text holds
 def canonical(text: Column, fields: tuple[str, ...] = CLAUSE_FIELDS) -> Column:
     """Canonical form of a text: equal for texts that differ in case, white space, punctuation or clause order."""
     opener = f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}])(?=(?:{'|'.join(fields)}):)"
-    plain = F.transform(
-        F.split(F.regexp_replace(F.lower(text), opener, _CUT), _CUT),
-        lambda clause: F.trim(F.regexp_replace(clause, r"[\p{P}\p{Z}\s]+", " ")),
-    )
-    lead = F.filter(F.slice(plain, 1, 1), lambda c: F.length(c) > 0)
-    return F.array_join(F.concat(lead, F.array_sort(F.slice(plain, F.lit(2), F.greatest(F.size(plain) - 1, F.lit(0))))), " ")
+    clean = _plain(text)
+    parts = F.transform(F.split(F.regexp_replace(F.lower(text), opener, _CUT), _CUT), _plain)
+    lead = F.filter(F.slice(parts, 1, 1), lambda c: F.length(c) > 0)
+    clauses = F.array_sort(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
+    # a text without a colon has no clause
+    return F.when(text.contains(":"), F.array_join(F.concat(lead, clauses), " ")).otherwise(clean)
+
+
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[\p{P}\p{Z}\s]+", " "))
+
+
+HASH = ["h1", "h2", "check"]
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str, same: tuple[str, ...]) -> DataFrame:
-    """(id, key, hash) of the rows with a text; the key is the canonical text and the columns that must be equal."""
+def _hashed(df: DataFrame, id_col: str, text_col: str, same: tuple[str, ...]) -> DataFrame:
+    """(id, h1, h2, check) of the rows with a text, written to the shared folder."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null")) for c in same]
     key = F.concat_ws("\u0000", canonical(F.col(f"`{text_col}`")), *parts)
-    return (
-        df.where(F.col(f"`{text_col}`").isNotNull())
-        .select(F.col(f"`{id_col}`").cast("bigint").alias("id"), key.alias("key"))
-        .withColumn("hash", F.unhex(F.md5("key")))
-    )
+    rows = df.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), key.alias("key"))
+    return materialise(rows.select("id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(0x5EED), "key").alias("h2"), F.hash("key").alias("check")))
 
 
-def _groups(keyed: DataFrame) -> DataFrame:
-    """(hash, keep_id, copies, collided) with partial aggregation before the shuffle."""
-    return keyed.groupBy("hash").agg(
-        F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"), (F.min("key") != F.max("key")).alias("collided")
-    )
+def _groups(hashed: DataFrame) -> DataFrame:
+    """(h1, h2, check, keep_id, copies) with partial aggregation before the shuffle."""
+    return hashed.groupBy(*HASH).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
 
 
 def collapse(df: DataFrame, id_col: str, text_col: str, same: tuple[str, ...] = ()) -> DataFrame:
     """One row per group of copies: (keep_id, copies), keep_id being the smallest id of the group."""
-    keyed = _keyed(df, id_col, text_col, same)
-    groups = _groups(keyed)
-    whole = groups.where(~F.col("collided")).select("keep_id", "copies")
-    split = (
-        keyed.join(groups.where("collided").select("hash"), "hash", "left_semi")
-        .groupBy("hash", "key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-        .select("keep_id", "copies")
-    )
     alone = df.where(F.col(f"`{text_col}`").isNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("keep_id"), F.lit(1).cast("bigint").alias("copies"))
-    return whole.unionByName(split).unionByName(alone)
+    return _groups(_hashed(df, id_col, text_col, same)).select("keep_id", "copies").unionByName(alone)
 
 
 def copies(df: DataFrame, id_col: str, text_col: str, same: tuple[str, ...] = ()) -> DataFrame:
     """One row per copy but the first: (keep_id, copy_id). Groups of one row are dropped before the join."""
-    keyed = _keyed(df, id_col, text_col, same)
-    groups = _groups(keyed).where("copies > 1")
-    whole = (
-        keyed.select("hash", "id").join(groups.where(~F.col("collided")).select("hash", "keep_id"), "hash")
-        .where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
-    )
-    apart = keyed.join(groups.where("collided").select("hash"), "hash", "left_semi")
-    first = apart.groupBy("hash", "key").agg(F.min("id").alias("keep_id"))
-    split = apart.join(first, ["hash", "key"]).where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
-    return whole.unionByName(split)
+    hashed = _hashed(df, id_col, text_col, same)
+    groups = _groups(hashed).where("copies > 1").select(*HASH, "keep_id")
+    return hashed.join(groups, HASH).where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
