@@ -1,11 +1,740 @@
-"""Queries of the search engine over the test tables, and the SQL to hold them against."""
+"""Queries of the search engine over the test tables, and the SQL to hold them against.
+
+Documents are the table docs, the log is searches and clicks. Words are those of the collection: ``vector``, ``archive``, ``bucket`` and others.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.functions import text as X
+from brindle.functions.stem import stem, stem_sql, with_stems
+from brindle.operators import analytics as A
+from brindle.operators import documents as D
+from brindle.operators import expand as E
+from brindle.operators import facets as C
+from brindle.operators import highlight as H
+from brindle.operators import index as I
+from brindle.operators import rank as R
+from brindle.operators import search as S
+from brindle.operators import spell as P
+from brindle.operators import stats as T
+from brindle.plans.compiler import compile_query
+from brindle.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
 
-def queries() -> dict:
-    return {}
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "docs")
+
+
+def _searches(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "searches")
+
+
+def _clicks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "clicks")
+
+
+# ---- SQL building blocks --------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_KEEP = rf"length(t) <= 30 AND length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) >= 2 AND t NOT IN ({_STOP})"
+
+
+def _tok(column: str) -> str:
+    clean = rf"trim(regexp_replace(lower(coalesce({column}, '')), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}\-]+', ' ', 'g'))"
+    return f"list_filter(string_split({clean}, ' '), lambda t: {_KEEP})"
+
+
+_ARRAYS = f"SELECT doc_id, {_tok('title')} AS tt, {_tok('content')} AS ct FROM docs"
+_POST = f"""
+SELECT doc_id, CASE WHEN pos < nt THEN 'title' ELSE 'content' END AS field, CAST(pos AS INT) AS pos, raw FROM (
+  SELECT doc_id, len(tt) AS nt, unnest(list_concat(tt, ct)) AS raw, unnest(range(len(tt) + len(ct))) AS pos FROM ({_ARRAYS}))"""
+_WITH = f"WITH post AS ({_POST}), lens AS (SELECT doc_id, len(tt) + len(ct) AS total_terms FROM ({_ARRAYS}))"
+_STEMMED = f"{_WITH}, stems AS ({stem_sql('SELECT raw FROM post')}), spost AS (SELECT doc_id, field, pos, raw, term FROM post JOIN stems USING (raw))"
+
+
+def _has(word: str, key: str = "raw", source: str = "post") -> str:
+    return f"SELECT DISTINCT doc_id FROM {source} WHERE {key} = '{word}'"
+
+
+def _phrase(*words: str) -> str:
+    joins = " ".join(f"JOIN post p{i} ON p{i}.doc_id = p0.doc_id AND p{i}.pos = p0.pos + {i} AND p{i}.raw = '{w}'" for i, w in enumerate(words) if i)
+    return f"SELECT DISTINCT p0.doc_id FROM post p0 {joins} WHERE p0.raw = '{words[0]}'"
+
+
+def _bm25(words: list[str], key: str, source: str) -> str:
+    terms = ", ".join(f"'{w}'" for w in words)
+    return f"""
+tf AS (SELECT doc_id, {key} AS term, count(*) AS tf FROM {source} WHERE {key} IN ({terms}) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+coll AS (SELECT count(*) AS n, avg(total_terms) AS a FROM lens),
+scores AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(total_terms, 1) / greatest(a, 1)))), 6) AS score
+           FROM tf JOIN df USING (term) JOIN lens USING (doc_id), coll GROUP BY doc_id HAVING count(*) = {len(set(words))})"""
+
+
+# ---- text and index -------------------------------------------------------------------------------------------
+
+
+@_query("q_tokenize", f"{_WITH} SELECT raw AS token, count(*) AS n FROM post GROUP BY raw")
+def _(spark, d):
+    arrays = I.token_arrays(_docs(spark, d))
+    return arrays.select(F.explode(F.concat("title_tokens", "content_tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("q_normalize", rf"SELECT doc_id, trim(regexp_replace(lower(title), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}\-]+', ' ', 'g')) AS norm FROM docs")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", X.normalize(F.col("title")).alias("norm"))
+
+
+@_query("q_postings", f"{_WITH} SELECT raw AS term, count(DISTINCT doc_id) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM post GROUP BY raw")
+def _(spark, d):
+    lists = I.posting_lists(I.raw_postings(_docs(spark, d)), "raw")
+    return lists.select(F.col("raw").alias("term"), F.size("doc_ids").cast("bigint").alias("n"), F.element_at("doc_ids", 1).alias("first_doc"), F.element_at("doc_ids", -1).alias("last_doc"))
+
+
+@_query("q_positions", f"{_WITH} SELECT doc_id, raw AS term, array_to_string(list_sort(list(pos)), ' ') AS at FROM post WHERE raw IN ('vector', 'archive') GROUP BY doc_id, raw")
+def _(spark, d):
+    per_doc = I.positions(I.hits(_docs(spark, d), ["vector", "archive"]).withColumn("term", F.col("raw")))
+    return per_doc.select("doc_id", F.explode("positions").alias("term", "p")).select("doc_id", "term", F.array_join(F.col("p").cast("array<string>"), " ").alias("at"))
+
+
+@_query("q_term_stats", f"{_WITH} SELECT raw AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM post GROUP BY raw")
+def _(spark, d):
+    return I.term_stats(I.raw_postings(_docs(spark, d)), "raw").withColumnRenamed("raw", "term")
+
+
+@_query("q_term_count", f"{_WITH} SELECT count(DISTINCT raw) AS n_terms FROM post")
+def _(spark, d):
+    return I.term_count(I.raw_postings(_docs(spark, d)), "raw")
+
+
+@_query("q_range_scan", f"{_WITH} SELECT DISTINCT raw AS term FROM post WHERE raw BETWEEN 'ba' AND 'bo'")
+def _(spark, d):
+    return I.range_scan(I.raw_postings(_docs(spark, d)), "ba", "bo", "raw").select(F.col("raw").alias("term")).distinct()
+
+
+@_query("q_vocabulary", f"{_WITH} SELECT DISTINCT raw AS term FROM post")
+def _(spark, d):
+    return I.vocabulary(I.raw_postings(_docs(spark, d)), "raw").withColumnRenamed("raw", "term")
+
+
+@_query("q_stem_vocab", f"{_WITH} {stem_sql('SELECT raw FROM post').replace('WITH words AS', ', words AS', 1)}")
+def _(spark, d):
+    return with_stems(I.raw_postings(_docs(spark, d)).select("raw").distinct())
+
+
+@_query("q_stem_postings", f"{_STEMMED} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, count(DISTINCT raw) AS n_raw FROM spost GROUP BY term")
+def _(spark, d):
+    return I.postings(_docs(spark, d)).groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.count(F.lit(1)).alias("cf"), F.countDistinct("raw").alias("n_raw"))
+
+
+def _kgram_sql(k: int, least: int) -> str:
+    return f"""{_WITH}, v AS (SELECT DISTINCT raw AS term, '$' || raw || '$' AS p FROM post WHERE length(raw) >= {least})
+SELECT DISTINCT substr(p, CAST(i AS INT), {k}) AS kgram, term, length(term) AS len FROM (SELECT term, p, unnest(range(1, length(p) - {k} + 2)) AS i FROM v)"""
+
+
+@_query("q_kgrams2", _kgram_sql(2, 1))
+def _(spark, d):
+    return I.kgram_index(I.raw_postings(_docs(spark, d)).select("raw").distinct(), 2, key="raw").withColumn("len", F.col("len").cast("bigint"))
+
+
+@_query("q_kgrams3", _kgram_sql(3, 3))
+def _(spark, d):
+    return I.kgram_index(I.raw_postings(_docs(spark, d)).select("raw").distinct(), 3, 3, key="raw").withColumn("len", F.col("len").cast("bigint"))
+
+
+@_query("q_kgram_report", f"WITH g AS ({_kgram_sql(2, 1)}) SELECT 2 AS k, count(DISTINCT kgram) AS n_kgrams, count(DISTINCT term) AS n_terms FROM g")
+def _(spark, d):
+    return I.kgram_report(I.raw_postings(_docs(spark, d)).select("raw").distinct(), 2, "raw")
+
+
+@_query("q_index_layout")
+def _(spark, d):
+    return I.index_layout(I.postings(_docs(spark, d)).repartitionByRange("term"))
+
+
+@_query("q_index_summary", f"{_STEMMED} SELECT (SELECT count(*) FROM docs) AS n_docs, (SELECT count(*) FROM docs WHERE is_indexed) AS n_indexed, count(DISTINCT term) AS n_terms, count(*) AS n_postings FROM spost")
+def _(spark, d):
+    docs = _docs(spark, d)
+    return I.index_summary(I.postings(docs), docs)
+
+
+# ---- searches -------------------------------------------------------------------------------------------------
+
+
+@_query("q_term_search", f"{_WITH} {_has('vector')}")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "vector")
+
+
+@_query("q_phrase", f"{_WITH} {_phrase('come', 'end', 'archive')} UNION {_phrase('belong', 'public')}")
+def _(spark, d):
+    docs = _docs(spark, d)
+    return compile_query(docs, '"come end archive" OR "belong public"')
+
+
+@_query("q_and", f"{_WITH} {_has('vector')} INTERSECT {_has('bucket')}")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "vector bucket")
+
+
+@_query("q_bool_and", f"{_WITH} ({_has('vector')} INTERSECT {_has('bucket')}) INTERSECT {_has('index')}")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "vector AND bucket AND index")
+
+
+@_query("q_bool_or", f"{_WITH} {_has('vector')} UNION {_has('bucket')}")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "vector OR bucket")
+
+
+@_query("q_bool_not", f"{_WITH} SELECT doc_id FROM docs WHERE doc_id NOT IN ({_has('vector')})")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "NOT vector")
+
+
+@_query("q_bool_mixed", f"{_WITH} ({_has('vector')} UNION {_has('bucket')}) EXCEPT {_has('index')}")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "(vector OR bucket) AND NOT index")
+
+
+@_query("q_implicit_and", f"{_WITH} ({_has('vector')} UNION {_has('bucket')}) INTERSECT {_has('index')}")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "vector OR bucket index")
+
+
+@_query("q_bool_stem", f"{_STEMMED} ({_has('vector', 'term', 'spost')} UNION {_has(stem('migrations'), 'term', 'spost')}) EXCEPT {_has('index', 'term', 'spost')}")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "(vectors OR migrations) AND NOT index", "stem")
+
+
+@_query("q_bool_mixed_analyzer", f"{_STEMMED} {_has('vectors', 'term', 'spost')} UNION {_has('migrat', 'term', 'spost')}")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "vectors OR migrat", "mixed")
+
+
+@_query("q_wildcard_star", f"{_WITH} SELECT DISTINCT doc_id FROM post WHERE raw LIKE 'vect%'")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "vect*")
+
+
+@_query("q_wildcard_qmark", f"{_WITH} SELECT DISTINCT doc_id FROM post WHERE raw LIKE 'b_cket'")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "b?cket")
+
+
+@_query("q_wildcard_terms", f"{_WITH} SELECT DISTINCT raw AS term FROM post WHERE raw LIKE 'vect%'")
+def _(spark, d):
+    return I.wildcard_terms(I.raw_postings(_docs(spark, d)), "vect*", "raw").withColumnRenamed("raw", "term")
+
+
+@_query("q_field_title", f"{_WITH} SELECT DISTINCT doc_id FROM post WHERE field = 'title' AND raw = 'vector'")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "title:vector")
+
+
+@_query("q_field_content", f"{_WITH} SELECT DISTINCT doc_id FROM post WHERE field = 'content' AND raw = 'vector'")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "content:vector")
+
+
+@_query("q_field_filename", f"SELECT doc_id FROM docs WHERE list_contains({_tok('file_name')}, 'txt')")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "filename:txt")
+
+
+@_query("q_near", f"{_WITH} SELECT DISTINCT a.doc_id FROM post a JOIN post b USING (doc_id) WHERE a.raw = 'vector' AND b.raw = 'bucket' AND abs(b.pos - a.pos) - 1 <= 20")
+def _(spark, d):
+    return compile_query(_docs(spark, d), "vector NEAR/20 bucket")
+
+
+@_query(
+    "q_near_phrase",
+    f"{_WITH} SELECT DISTINCT a.doc_id FROM post a JOIN post a2 ON a2.doc_id = a.doc_id AND a2.pos = a.pos + 1 JOIN post b ON b.doc_id = a.doc_id "
+    "WHERE a.raw = 'notes' AND a2.raw = 'about' AND b.raw = 'belong' AND abs(b.pos - (a.pos + 1)) - 1 <= 3",
+)
+def _(spark, d):
+    return compile_query(_docs(spark, d), '"notes about" NEAR/3 belong')
+
+
+@_query("q_phrase_search", f"{_WITH} SELECT doc_id FROM ({_phrase('notes', 'about')})")
+def _(spark, d):
+    return S.matches(_docs(spark, d), "notes about", "raw")
+
+
+@_query("q_or_fallback", f"{_WITH} {_has('vector')} UNION {_has('zzz')}")
+def _(spark, d):
+    return S.matches(_docs(spark, d), "vector zzz", "raw")
+
+
+_WEIGHTED = "SELECT doc_id, CAST(sum(CASE WHEN field = 'title' THEN 2 ELSE 1 END) AS DOUBLE) AS score FROM {source} WHERE {key} IN ({terms}) GROUP BY doc_id"
+
+
+@_query("q_relevance_simple", f"{_WITH} {_WEIGHTED.format(source='post', key='raw', terms=repr('vector') + ', ' + repr('zzz'))}")
+def _(spark, d):
+    return S.simple_search(_docs(spark, d), "vector zzz", "raw")
+
+
+@_query("q_relevance_stem", f"{_STEMMED} {_WEIGHTED.format(source='spost', key='term', terms=repr(stem('migrations')))}")
+def _(spark, d):
+    return S.simple_search(_docs(spark, d), "migrations")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+@_query("q_bm25_raw", f"{_WITH}, {_bm25(['vector', 'archive'], 'raw', 'post')} SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id LIMIT 10")
+def _(spark, d):
+    return _rounded(R.page(_rounded(S.ranked(_docs(spark, d), "vector archive", "raw")), 0, 10))
+
+
+@_query("q_bm25_all", f"{_WITH}, {_bm25(['vector', 'archive'], 'raw', 'post')} SELECT doc_id, score FROM scores")
+def _(spark, d):
+    return _rounded(S.ranked(_docs(spark, d), "vector archive", "raw"))
+
+
+@_query("q_bm25_stem", f"{_STEMMED}, {_bm25([stem('migrations'), stem('vectors')], 'term', 'spost')} SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id LIMIT 10")
+def _(spark, d):
+    return R.page(_rounded(S.ranked(_docs(spark, d), "migrations vectors")), 0, 10)
+
+
+@_query("q_bm25_page2", f"{_WITH}, {_bm25(['vector'], 'raw', 'post')} SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id LIMIT 10 OFFSET 10")
+def _(spark, d):
+    return R.page(_rounded(S.ranked(_docs(spark, d), "vector", "raw")), 1, 10)
+
+
+@_query("q_page_meta", f"{_WITH}, {_bm25(['vector'], 'raw', 'post')} SELECT count(*) AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM scores")
+def _(spark, d):
+    return S.ranked(_docs(spark, d), "vector", "raw").agg(F.count(F.lit(1)).alias("total"), F.ceil(F.count(F.lit(1)) / 10).alias("pages"))
+
+
+@_query("q_result_page")
+def _(spark, d):
+    docs = _docs(spark, d)
+    top = R.page(S.ranked(docs, "vector archive", "raw"), 0, 10).join(docs, "doc_id")
+    return top.select("doc_id", "score", "title", H.best_snippet(F.col("content"), ["vector", "archive"]).alias("snippet")).orderBy(F.desc("score"), "doc_id")
+
+
+# ---- statistics -----------------------------------------------------------------------------------------------
+
+
+@_query("q_doc_stats", f"{_WITH} SELECT doc_id, CAST(total_terms AS BIGINT) AS total_terms FROM lens")
+def _(spark, d):
+    return T.document_lengths(_docs(spark, d)).withColumn("total_terms", F.col("total_terms").cast("bigint"))
+
+
+@_query(
+    "q_term_freq",
+    f"{_WITH} SELECT doc_id, raw AS term, count(*) AS tf, count(*) FILTER (field = 'title') AS title_tf, count(*) FILTER (field = 'content') AS content_tf FROM post GROUP BY doc_id, raw",
+)
+def _(spark, d):
+    return T.term_frequencies(I.raw_postings(_docs(spark, d)), "raw").withColumnRenamed("raw", "term")
+
+
+@_query("q_doc_freq", f"{_WITH} SELECT raw AS term, count(DISTINCT doc_id) AS df FROM post GROUP BY raw")
+def _(spark, d):
+    return T.document_frequencies(I.raw_postings(_docs(spark, d)), "raw").withColumnRenamed("raw", "term")
+
+
+@_query("q_collection_stats", f"{_WITH} SELECT count(*) AS n_docs, avg(total_terms) AS avg_len FROM lens")
+def _(spark, d):
+    return T.collection_stats(_docs(spark, d))
+
+
+@_query("q_indexed_counts", "SELECT count(*) FILTER (is_indexed) AS n_indexed, count(*) AS n_docs FROM docs")
+def _(spark, d):
+    return T.indexed_counts(_docs(spark, d))
+
+
+# ---- spelling and expansion -----------------------------------------------------------------------------------
+
+_ASCII_VOCAB = f"{_WITH}, v AS (SELECT DISTINCT raw AS term FROM post WHERE NOT regexp_matches(raw, '[^\\x00-\\x7F]'))"
+
+
+def _vocab(spark: SparkSession, d: str) -> DataFrame:
+    raw = I.raw_postings(_docs(spark, d)).select(F.col("raw").alias("term")).distinct()
+    return raw.where(~F.col("term").rlike("[^\\x00-\\x7F]"))
+
+
+def _bigrams(word: str) -> str:
+    return f"list_transform(range(1, length({word}) + 2), lambda i: substr('$' || {word} || '$', CAST(i AS INT), 2))"
+
+
+_JACCARD = f"len(list_intersect(list_distinct({_bigrams('term')}), list_distinct({_bigrams('word')}))) / CAST(len(list_distinct(list_concat({_bigrams('term')}, {_bigrams('word')}))) AS DOUBLE)"
+
+
+@_query("q_edit_distance", f"{_ASCII_VOCAB} SELECT term, levenshtein(term, 'vectr') AS distance FROM v")
+def _(spark, d):
+    return _vocab(spark, d).select("term", X.edit_distance(F.col("term"), F.lit("vectr")).cast("bigint").alias("distance"))
+
+
+@_query("q_edit_distance_capped", f"{_ASCII_VOCAB} SELECT term, least(levenshtein(term, 'vectr'), 4) AS distance FROM v")
+def _(spark, d):
+    return _vocab(spark, d).select("term", X.edit_distance(F.col("term"), F.lit("vectr"), 3).cast("bigint").alias("distance"))
+
+
+@_query("q_jaccard", f"{_ASCII_VOCAB} SELECT term, round({_JACCARD}, 6) AS similarity FROM (SELECT term, 'vectr' AS word FROM v)")
+def _(spark, d):
+    return _vocab(spark, d).select("term", F.round(X.jaccard(F.col("term"), F.lit("vectr")), 6).alias("similarity"))
+
+
+def _suggest_sql(words: list[str]) -> str:
+    values = ", ".join(f"('{w}')" for w in words)
+    return f"""{_ASCII_VOCAB}, w(word) AS (VALUES {values}),
+pairs AS (SELECT word, term FROM w, v WHERE word NOT IN (SELECT term FROM v) AND abs(length(term) - length(word)) <= 3
+          AND len(list_filter({_bigrams('word')}, lambda g: list_contains({_bigrams('term')}, g))) >= greatest(1, (length(word) + 1) // 4)),
+scored AS (SELECT word, term, levenshtein(term, word) AS edit_distance, round({_JACCARD}, 6) AS jaccard, round(1.0 / (1 + levenshtein(term, word)) * (0.5 + 0.5 * {_JACCARD}), 6) AS score
+           FROM pairs WHERE levenshtein(term, word) <= 3),
+all_of AS (SELECT * FROM scored UNION ALL SELECT word, word, 0, 0.0, 1.0 FROM w WHERE word IN (SELECT term FROM v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, edit_distance, term) AS rank FROM all_of)"""
+
+
+@_query("q_spell_suggest", f"{_suggest_sql(['vectr', 'bukcet', 'vector'])} SELECT word, term, edit_distance, jaccard, score, rank FROM ranked WHERE rank <= 5")
+def _(spark, d):
+    found = P.suggestions(_vocab(spark, d), ["vectr", "bukcet", "vector"], 5)
+    return found.select("word", "term", F.col("edit_distance").cast("bigint").alias("edit_distance"), F.round("jaccard", 6).alias("jaccard"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@_query(
+    "q_correct_query",
+    f"{_suggest_sql(['vectr', 'bukcet', 'archive'])}, best AS (SELECT word, term FROM ranked WHERE rank = 1 AND edit_distance <= 2), "
+    "q(nth, word) AS (VALUES (0, 'vectr'), (1, 'archive'), (2, 'bukcet')) "
+    "SELECT string_agg(coalesce(b.term, q.word), ' ' ORDER BY nth) AS corrected_query, bool_or(b.term IS NOT NULL AND b.term <> q.word) AS has_corrections FROM q LEFT JOIN best b USING (word)",
+)
+def _(spark, d):
+    return P.correct_query(_vocab(spark, d), "vectr archive bukcet").select("corrected_query", "has_corrections")
+
+
+@_query("q_did_you_mean", f"{_suggest_sql(['vectr'])} SELECT term, edit_distance, score FROM ranked WHERE rank = 1 AND edit_distance <= 2")
+def _(spark, d):
+    return S.did_you_mean(_vocab(spark, d), "vectr").select("term", F.col("edit_distance").cast("bigint").alias("edit_distance"), F.round("score", 6).alias("score"))
+
+
+_ASKED = ["search", "data", "big", "running", "system", "vector"]
+_ASKED_SQL = "asked(term) AS (VALUES " + ", ".join(f"('{t}', '{stem(t)}')" for t in _ASKED) + ")"
+_ASKED_SQL = _ASKED_SQL.replace("asked(term)", "asked(term, root)")
+_DICTIONARY_SQL = "dict(key, syn, ord) AS (VALUES " + ", ".join(f"('{k}', '{s}', {i})" for k, s, i in E.synonym_pairs()) + ")"
+_SYNONYMS_SQL = f"""WITH {_ASKED_SQL}, {_DICTIONARY_SQL},
+found AS (
+  SELECT term, syn, ord AS place FROM asked JOIN dict ON term = key
+  UNION ALL SELECT term, p.key, 1000000 + 2 * (SELECT min(ord) FROM dict x WHERE x.key = p.key) FROM asked JOIN dict p ON term = p.syn
+  UNION ALL SELECT term, s.syn, 1000001 + 2 * s.ord FROM asked JOIN dict p ON term = p.syn JOIN dict s ON s.key = p.key
+  UNION ALL SELECT term, syn, 3000000 + ord FROM asked JOIN dict ON root = key),
+syns AS (SELECT term, syn, CAST(min(place) AS INT) AS ord FROM found WHERE syn <> term GROUP BY term, syn)"""
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in _ASKED], "term string")
+
+
+@_query("q_synonyms", f"{_SYNONYMS_SQL} SELECT term, syn, ord FROM syns")
+def _(spark, d):
+    return E.synonyms(_asked(spark))
+
+
+@_query("q_expand", f"{_SYNONYMS_SQL} SELECT a.term, array_to_string(list_distinct_in_order, ' ') AS expanded FROM (SELECT term, list_concat([term], coalesce((SELECT list(syn ORDER BY ord)[1:3] FROM syns s WHERE s.term = asked.term), [])) AS list_distinct_in_order FROM asked) a")
+def _(spark, d):
+    return E.expand(_asked(spark)).select("term", F.array_join("expanded", " ").alias("expanded"))
+
+
+_VARIATION_SQL = """list_filter(CASE
+  WHEN t LIKE '%ing' THEN list_transform(['', 'e', 'ed', 's'], lambda e: left(t, length(t) - 3) || e)
+  WHEN t LIKE '%ed' THEN list_transform(['', 'e', 'ing', 's'], lambda e: left(t, length(t) - 2) || e)
+  WHEN t LIKE '%s' AND t NOT LIKE '%ss' THEN list_transform(['', 'ing', 'ed'], lambda e: left(t, length(t) - 1) || e)
+  WHEN t LIKE '%er' THEN list_transform(['', 'e', 'est', 'ing'], lambda e: left(t, length(t) - 2) || e)
+  ELSE list_transform(['s', 'ed', 'ing', 'er', 'ly'], lambda e: t || e) END, lambda v: length(v) > 2)"""
+
+
+@_query("q_variations", f"{_WITH}, v AS (SELECT DISTINCT raw AS t FROM post) SELECT t AS term, array_to_string({_VARIATION_SQL}, ' ') AS variations FROM v")
+def _(spark, d):
+    terms = I.raw_postings(_docs(spark, d)).select(F.col("raw").alias("term")).distinct()
+    return terms.select("term", F.array_join(X.variations(F.col("term")), " ").alias("variations"))
+
+
+@_query("q_related", f"{_SYNONYMS_SQL}, both_of AS (SELECT t AS term, list_concat(coalesce((SELECT list(syn ORDER BY ord) FROM syns s WHERE s.term = a.t), []), {_VARIATION_SQL}) AS l FROM (SELECT term AS t FROM asked) a), firsts AS (SELECT term, x, min(i) AS i FROM (SELECT term, unnest(l) AS x, unnest(range(len(l))) AS i FROM both_of) WHERE x <> term GROUP BY term, x) SELECT term, array_to_string(list(x ORDER BY i)[1:10], ' ') AS related FROM firsts GROUP BY term")
+def _(spark, d):
+    return E.related(_asked(spark)).select("term", F.array_join("related", " ").alias("related"))
+
+
+# ---- facets and filters ---------------------------------------------------------------------------------------
+
+_EXT = r"CASE WHEN regexp_extract(file_name, '\.([^./\\]+)$', 1) = '' THEN 'unknown' ELSE lower(regexp_extract(file_name, '\.([^./\\]+)$', 1)) END"
+_TYPE_NAME = "CASE value " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in X.FILE_TYPES.items()) + " ELSE upper(value) || ' Files' END"
+
+
+def _size_sql(field: int) -> str:
+    shown = [f"'{c[field]}'" if isinstance(c[field], str) else str(c[field]) for c in X.SIZE_CATEGORIES]
+    return "CASE " + " ".join(f"WHEN file_size < {c[3]} THEN {s}" for c, s in zip(X.SIZE_CATEGORIES[:-1], shown, strict=False)) + f" ELSE {shown[-1]} END"
+
+
+_TYPE_FACET = f"SELECT value, {_TYPE_NAME} AS display_name, count(*) AS count FROM (SELECT {_EXT} AS value FROM docs WHERE coalesce(file_name, '') <> '') GROUP BY value"
+_MONTH_FACET = "SELECT strftime(date_added, '%Y-%m') AS value, strftime(date_added, '%B %Y') AS display_name, count(*) AS count FROM docs GROUP BY ALL"
+_SIZE_FACET = f"SELECT {_size_sql(1)} AS value, {_size_sql(2)} AS display_name, count(*) AS count FROM docs GROUP BY ALL"
+_TERM_FACET = f"""SELECT value, value AS display_name, count(*) AS count FROM (SELECT unnest(list_distinct({_tok("concat_ws(' ', title, content)")})) AS value FROM docs)
+GROUP BY value HAVING count(*) >= 2 ORDER BY count(*) DESC, value LIMIT 20"""
+
+
+@_query("q_facet_type", _TYPE_FACET)
+def _(spark, d):
+    return C.type_facet(_docs(spark, d))
+
+
+@_query("q_facet_month", _MONTH_FACET)
+def _(spark, d):
+    return C.month_facet(_docs(spark, d))
+
+
+@_query("q_facet_size", _SIZE_FACET)
+def _(spark, d):
+    return C.size_facet(_docs(spark, d)).select("value", "display_name", "count")
+
+
+@_query("q_facet_terms", _TERM_FACET)
+def _(spark, d):
+    return C.term_facet(_docs(spark, d))
+
+
+@_query("q_facets_all", " UNION ALL ".join(f"SELECT '{n}' AS facet, * FROM ({s})" for n, s in (("file_type", _TYPE_FACET), ("date", _MONTH_FACET), ("size", _SIZE_FACET), ("term", _TERM_FACET))))
+def _(spark, d):
+    return C.extract_facets(_docs(spark, d))
+
+
+@_query("q_filter_type", f"SELECT doc_id FROM docs WHERE coalesce(file_name, '') <> '' AND {_EXT} IN ('pdf', 'md')")
+def _(spark, d):
+    return C.apply_filters(_docs(spark, d), types=["pdf", "md"]).select("doc_id")
+
+
+@_query("q_filter_dates", "SELECT doc_id FROM docs WHERE date_added BETWEEN TIMESTAMP '2024-02-01 00:00:00' AND TIMESTAMP '2025-03-01 00:00:00'")
+def _(spark, d):
+    return C.apply_filters(_docs(spark, d), date_from=F.expr("timestamp_ntz'2024-02-01 00:00:00'"), date_to=F.expr("timestamp_ntz'2025-03-01 00:00:00'")).select("doc_id")
+
+
+@_query("q_filter_size", "SELECT doc_id FROM docs WHERE file_size BETWEEN 500 AND 2000")
+def _(spark, d):
+    return C.apply_filters(_docs(spark, d), size_from=500, size_to=2000).select("doc_id")
+
+
+@_query("q_filter_size_category", f"SELECT doc_id FROM docs WHERE {_size_sql(0)} IN (0, 3)")
+def _(spark, d):
+    return C.apply_filters(_docs(spark, d), sizes=[0, 3]).select("doc_id")
+
+
+@_query("q_filter_terms", "SELECT doc_id FROM docs WHERE (lower(title) LIKE '%vector%' OR lower(content) LIKE '%vector%') AND NOT (lower(title) LIKE '%bucket%' OR lower(content) LIKE '%bucket%')")
+def _(spark, d):
+    return C.apply_filters(_docs(spark, d), required=["vector"], excluded=["bucket"]).select("doc_id")
+
+
+@_query("q_filter_all", f"SELECT doc_id FROM docs WHERE coalesce(file_name, '') <> '' AND {_EXT} IN ('txt', 'html') AND file_size >= 300 AND lower(content) LIKE '%vector%' AND {_size_sql(0)} IN (0, 1)")
+def _(spark, d):
+    # a title with the word but a content without it is told apart by the second filter
+    found = C.apply_filters(_docs(spark, d), types=["txt", "html"], size_from=300, required=["vector"], sizes=[0, 1])
+    return found.where(F.lower("content").contains("vector")).select("doc_id")
+
+
+@_query("q_filter_options", f"SELECT array_to_string(list_sort(list(DISTINCT e)), ' ') AS types, min(date_added) AS date_from, max(date_added) AS date_to, min(file_size) AS size_from, max(file_size) AS size_to, count(*) AS n_docs FROM (SELECT *, CASE WHEN coalesce(file_name, '') <> '' THEN {_EXT} END AS e FROM docs)")
+def _(spark, d):
+    return C.filter_options(_docs(spark, d)).withColumn("types", F.array_join("types", " "))
+
+
+@_query("q_file_types", f"SELECT doc_id, {_EXT} AS ext, {_size_sql(0)} AS ordinal, {_size_sql(2)} AS label FROM docs WHERE file_name IS NOT NULL")
+def _(spark, d):
+    named = _docs(spark, d).where("file_name is not null")
+    return named.select("doc_id", X.file_extension(F.col("file_name")).alias("ext"), X.size_category(F.col("file_size")).alias("ordinal"), X.size_category_label(F.col("file_size")).alias("label"))
+
+
+# ---- analytics ------------------------------------------------------------------------------------------------
+
+_Q = "trim(lower(query))"
+_ROLLUP = f"""SELECT {_Q} AS query, count(*) AS n_searches, CAST(coalesce(sum(result_count), 0) AS BIGINT) AS total_results, coalesce(sum(search_time_ms), 0) AS total_time_ms,
+  min(ts) AS first_searched, max(ts) AS last_searched FROM searches WHERE query IS NOT NULL GROUP BY 1"""
+
+
+@_query("q_query_stats", f"SELECT query, n_searches, total_results, round(total_time_ms, 3) AS total_time_ms, first_searched, last_searched FROM ({_ROLLUP})")
+def _(spark, d):
+    rolled = A.query_rollup(_searches(spark, d))
+    return rolled.select("query", "n_searches", "total_results", F.round("total_time_ms", 3).alias("total_time_ms"), "first_searched", "last_searched")
+
+
+@_query("q_ctr", f"SELECT s.query, coalesce(c.n, 0) AS n_clicked_docs, round(coalesce(c.n, 0) / s.n_searches, 6) AS ctr, round(total_results / n_searches, 6) AS avg_results FROM ({_ROLLUP}) s LEFT JOIN (SELECT {_Q} AS query, count(DISTINCT doc_id) AS n FROM clicks WHERE query IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1) c USING (query)")
+def _(spark, d):
+    rolled = A.query_rollup(_searches(spark, d), _clicks(spark, d))
+    return rolled.select("query", "n_clicked_docs", F.round("ctr", 6).alias("ctr"), F.round("avg_results", 6).alias("avg_results"))
+
+
+@_query("q_top_queries", f"SELECT {_Q} AS query, count(*) AS n_searches FROM searches WHERE query IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark, d):
+    return A.top_queries(_searches(spark, d))
+
+
+@_query("q_zero_result", f"SELECT query, n_searches FROM ({_ROLLUP}) WHERE total_results = 0 ORDER BY n_searches DESC, query LIMIT 10")
+def _(spark, d):
+    return A.zero_result_queries(_searches(spark, d))
+
+
+@_query("q_popular_docs", "SELECT doc_id, count(*) AS n_clicks FROM clicks WHERE doc_id IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark, d):
+    return A.popular_documents(_clicks(spark, d))
+
+
+@_query("q_recent", "SELECT event_id, query, ts FROM searches ORDER BY ts DESC, event_id DESC LIMIT 50")
+def _(spark, d):
+    return A.recent_searches(_searches(spark, d).select("event_id", "query", "ts"), 50, "event_id")
+
+
+@_query("q_bounded_log", "SELECT event_id, query, ts FROM searches ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def _(spark, d):
+    return A.recent_searches(_searches(spark, d).select("event_id", "query", "ts"), 1000, "event_id")
+
+
+@_query("q_volume_hour", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n_searches FROM searches WHERE ts >= (SELECT max(ts) FROM searches) - INTERVAL 24 HOUR GROUP BY 1")
+def _(spark, d):
+    return A.volume_by_hour(_searches(spark, d))
+
+
+@_query("q_summary", f"""SELECT CAST(sum(n_searches) AS BIGINT) AS n_searches, count(*) AS n_queries, round(avg(total_results / n_searches), 6) AS avg_results, round(avg(total_time_ms / n_searches), 4) AS avg_time_ms,
+  round(sum(total_results) / sum(n_searches), 6) AS weighted_avg_results, count(*) FILTER (total_results = 0) AS n_zero_result_queries, (SELECT count(*) FROM clicks WHERE doc_id IS NOT NULL) AS n_clicks FROM ({_ROLLUP})""")
+def _(spark, d):
+    s = A.summary(_searches(spark, d), _clicks(spark, d))
+    return s.select("n_searches", "n_queries", F.round("avg_results", 6).alias("avg_results"), F.round("avg_time_ms", 4).alias("avg_time_ms"), F.round("weighted_avg_results", 6).alias("weighted_avg_results"), "n_zero_result_queries", "n_clicks")
+
+
+@_query("q_suggest_prefix", f"SELECT {_Q} AS query, count(*) AS n_searches FROM searches WHERE {_Q} LIKE 'title:%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def _(spark, d):
+    return A.query_suggestions(_searches(spark, d), "Title:")
+
+
+@_query("q_boolean_operators", "SELECT event_id FROM searches WHERE upper(query) LIKE '% AND %' OR upper(query) LIKE '% OR %' OR upper(query) LIKE '% NOT %' OR upper(query) LIKE 'NOT %'")
+def _(spark, d):
+    return _searches(spark, d).where(X.has_boolean_operators(F.col("query"))).select("event_id")
+
+
+# ---- highlighting ---------------------------------------------------------------------------------------------
+
+
+@_query("q_match_positions", r"SELECT doc_id, CAST(pos AS INT) AS start FROM (SELECT doc_id, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * 6)) AS pos, unnest(range(1, len(parts))) AS i, parts FROM (SELECT doc_id, string_split(lower(content), 'vector') AS parts FROM docs WHERE NOT regexp_matches(content, '[^\x00-\x7F]'))) WHERE NOT regexp_matches(right(parts[i], 1), '[a-z0-9]') AND NOT regexp_matches(left(parts[i + 1], 1), '[a-z0-9]')")
+def _(spark, d):
+    docs = _docs(spark, d).where(~F.col("content").rlike("[^\\x00-\\x7F]"))
+    return docs.select("doc_id", F.explode(H.match_positions(F.col("content"), ["vector"])).alias("m")).select("doc_id", F.col("m.start").alias("start"))
+
+
+@_query("q_clusters")
+def _(spark, d):
+    found = _docs(spark, d).select("doc_id", F.explode(H.match_positions(F.col("content"), ["vector", "bucket"])).alias("m")).select("doc_id", "m.start", "m.end")
+    return H.clusters(found, 150)
+
+
+@_query("q_snippet")
+def _(spark, d):
+    return _docs(spark, d).where(F.lower("content").contains("vector")).select("doc_id", H.best_snippet(F.col("content"), ["vector", "archive"]).alias("snippet"))
+
+
+@_query("q_multi_snippet")
+def _(spark, d):
+    return _docs(spark, d).where(F.lower("content").contains("vector")).select("doc_id", H.multiple_snippets(F.col("content"), ["vector", "archive"]).alias("snippets"))
+
+
+@_query("q_highlight_full", r"SELECT doc_id, regexp_replace(content, '(?i)\b(archive|vector)\b', '<mark>\1</mark>', 'g') AS content FROM docs WHERE NOT regexp_matches(content, '[^\x00-\x7F]')")
+def _(spark, d):
+    docs = _docs(spark, d).where(~F.col("content").rlike("[^\\x00-\\x7F]"))
+    return docs.select("doc_id", H.highlight_content(F.col("content"), ["vector", "archive"]).alias("content"))
+
+
+@_query("q_truncate", "SELECT doc_id, CASE WHEN content IS NULL THEN '' WHEN length(content) <= 200 THEN content ELSE CASE WHEN c LIKE '% %' AND 200 - instr(reverse(c), ' ') > 160 THEN left(c, 200 - instr(reverse(c), ' ')) ELSE c END || '...' END AS text FROM (SELECT doc_id, content, left(content, 200) AS c FROM docs)")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", X.truncate(F.col("content"), 200).alias("text"))
+
+
+@_query("q_preview", "SELECT doc_id, CASE WHEN length(content) > 220 THEN left(content, 220) || '...' ELSE content END AS text FROM docs")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", X.preview(F.col("content")).alias("text"))
+
+
+# ---- documents ------------------------------------------------------------------------------------------------
+
+
+@_query("q_newest_first", "SELECT doc_id, title, date_added FROM docs")
+def _(spark, d):
+    return D.newest_first(_docs(spark, d)).select("doc_id", "title", "date_added")
+
+
+@_query("q_crud_upsert", "SELECT doc_id, CASE WHEN file_name IS NULL THEN 'untitled file' ELSE title END AS title FROM docs UNION ALL SELECT -doc_id, 'copy' FROM docs WHERE file_name IS NULL")
+def _(spark, d):
+    docs = _docs(spark, d).select("doc_id", "title", "file_name")
+    unnamed = docs.where("file_name is null")
+    changed = D.update(docs, unnamed.withColumn("title", F.lit("untitled file")))
+    new = unnamed.select((-F.col("doc_id")).alias("doc_id"), F.lit("copy").alias("title"), "file_name").unionByName(unnamed)
+    return D.insert(changed, new).select("doc_id", "title")
+
+
+@_query("q_crud_delete", "SELECT doc_id FROM docs WHERE file_name IS NOT NULL")
+def _(spark, d):
+    docs = _docs(spark, d)
+    return D.delete(docs, docs.where("file_name is null")).select("doc_id")
+
+
+@_query("q_index_delete", f"{_WITH} SELECT raw AS term, count(*) AS cf FROM post WHERE doc_id IN (SELECT doc_id FROM docs WHERE file_name IS NOT NULL) GROUP BY raw")
+def _(spark, d):
+    docs = _docs(spark, d)
+    kept = I.remove_documents(I.raw_postings(docs), docs.where("file_name is null"))
+    return kept.groupBy(F.col("raw").alias("term")).agg(F.count(F.lit(1)).alias("cf"))
+
+
+@_query("q_clear", "SELECT doc_id, false AS is_indexed FROM docs")
+def _(spark, d):
+    docs = _docs(spark, d)
+    return I.clear(I.raw_postings(docs), docs)[1].select("doc_id", "is_indexed")
+
+
+# ---- streaming ------------------------------------------------------------------------------------------------
+
+
+@_query("q_stream_volume", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n_searches FROM searches GROUP BY 1")
+def _(spark, d):
+    from brindle.streaming import analytics as Z
+
+    stream = Z.with_event_time(Z.read_log(spark, f"{d}/searches.parquet"))
+    Z.run_to_table(Z.volume_by_hour(stream), "stream_volume").stop()
+    return spark.table("stream_volume").select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n_searches")
+
+
+@_query("q_stream_query_stats", f"SELECT query, n_searches, total_results FROM ({_ROLLUP})")
+def _(spark, d):
+    from brindle.streaming import analytics as Z
+
+    stream = Z.read_log(spark, f"{d}/searches.parquet")
+    Z.run_to_table(Z.query_rollup(stream), "stream_query_stats").stop()
+    return spark.table("stream_query_stats").select("query", "n_searches", "total_results")
+
+
+@_query("q_stream_clicks", "SELECT doc_id, count(*) AS n_clicks FROM clicks WHERE doc_id IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    from brindle.streaming import analytics as Z
+
+    Z.run_to_table(Z.click_counts(Z.read_log(spark, f"{d}/clicks.parquet")), "stream_clicks").stop()
+    return spark.table("stream_clicks")
