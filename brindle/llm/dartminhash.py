@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.arrow import map_batches, named
@@ -36,6 +36,7 @@ from brindle.session import materialise
 
 ROWS, BANDS = 7, 52
 _U = np.uint64
+_NONE = np.inf
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,6 +48,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+class _Hashes(dict):
+    """64-bit hashes of terms, each made once."""
+
+    def __missing__(self, term: str) -> int:
+        self[term] = h = xxhash.xxh64_intdigest(term.encode(), 77)
+        return h
+
+
 class Regions:
     """The unit regions of records: region j of a term has the hash of the term moved on j times."""
 
@@ -54,7 +63,7 @@ class Regions:
 
     def __init__(self) -> None:
         self._split = TermSplitter().split
-        self._hash: dict[str, int] = {}
+        self._hash = _Hashes()
 
     def of(self, text: str | None, min_terms: int) -> np.ndarray | None:
         """Sorted region hashes of a text, or None where it has fewer than ``min_terms`` terms."""
@@ -63,14 +72,8 @@ class Regions:
             return None
         if len(self._hash) > self.LIMIT:
             self._hash.clear()
-        known = self._hash
         counted = Counter(terms)
-        hashes = np.empty(len(counted), dtype=np.uint64)
-        for k, t in enumerate(counted):
-            h = known.get(t)
-            if h is None:
-                h = known[t] = xxhash.xxh64_intdigest(t.encode(), 77)
-            hashes[k] = h
+        hashes = np.fromiter(map(self._hash.__getitem__, counted), dtype=np.uint64, count=len(counted))
         counts = np.fromiter(counted.values(), dtype=np.int64, count=len(counted))
         if counts.max() > 1:
             nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -89,23 +92,31 @@ class DartMinHash:
     """Signatures of k coordinates."""
 
     CHUNK = 16  # darts of a region are thrown so many at a time
+    AT_ONCE = 1 << 18
 
     def __init__(self, k: int) -> None:
         self.k = k
         self.darts = k * np.log(k) + 2 * k
 
     def _throw(self, regions: np.ndarray, first: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Darts first .. first + CHUNK - 1 of each region: coordinate, rank and name; gaps between ranks are exponential."""
+        """Darts first .. first + CHUNK - 1 of each region: coordinates, darts, and the last ranks; gaps between ranks are exponential.
+
+        A dart is its rank to 2^-20 above 22 bits of its name, as a whole number that a float holds exactly, so that the smaller dart is the earlier one.
+        """
         n = np.arange(first, first + self.CHUNK, dtype=np.uint64)
         names = _mix(regions[:, None] + (n + _U(1))[None, :] * _U(0xD6E8FEB86659FD93))
-        gaps = -np.log(((names >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53)
-        ranks = np.cumsum(gaps, axis=1)
+        ranks = np.cumsum(-np.log(((names >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53), axis=1)
         ranks += begin[:, None]
-        aims = _mix(names + _U(0x632BE59BD9B4E019))
-        return (aims % _U(self.k)).astype(np.int64), ranks, aims
+        aims = names * _U(0x9FB21C651E98DF25)
+        aims ^= aims >> _U(28)
+        return ((aims >> _U(32)) * _U(self.k) >> _U(32)).astype(np.int64), self._dart(ranks) + (aims & _U(0x3FFFFF)), ranks[:, -1]
+
+    @staticmethod
+    def _dart(ranks: np.ndarray) -> np.ndarray:
+        return np.floor(ranks * 2.0**20) * 2.0**22
 
     def signatures(self, records: list[np.ndarray]) -> np.ndarray:
-        """One row of k dart names for each record's regions."""
+        """One row of k earliest darts for each record's regions."""
         out = np.zeros((len(records), self.k), dtype=np.uint64)
         todo = np.arange(len(records))
         reach = np.array([self.darts / len(r) for r in records])
@@ -114,9 +125,9 @@ class DartMinHash:
             again = []
             at = 0
             while at < len(order):
-                # records of similar reach together, about 2^20 darts at once
+                # records of similar reach together, as many darts at once as a processor's cache holds
                 size, stop = 0.0, at
-                while stop < len(order) and (stop == at or size < 1 << 20):
+                while stop < len(order) and (stop == at or size < self.AT_ONCE):
                     size += len(records[order[stop]]) * (reach[order[at]] + self.CHUNK)
                     stop += 1
                 block = order[at:stop]
@@ -131,27 +142,26 @@ class DartMinHash:
         """Fills the rows ``at`` of ``out``; tells which records have no empty coordinate."""
         lengths = np.array([len(r) for r in records])
         regions, back = np.unique(np.concatenate(records), return_inverse=True)
-        owner = np.repeat(np.arange(len(records)), lengths)
-        limit = np.repeat(reach, lengths)
-        best = np.full(len(records) * self.k, np.inf)
-        name = np.zeros(len(records) * self.k, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(records)) * self.k, lengths)
+        limit = self._dart(np.repeat(reach, lengths))
+        best = np.full(len(records) * self.k, _NONE)
         begin = np.zeros(len(regions))
         live, first = np.arange(len(owner)), 0
         while len(live):
-            aim, rank, names = self._throw(regions, first, begin)
+            aim, dart, begin = self._throw(regions, first, begin)
             row = back[live]
-            ranks = rank[row]
-            hit = ranks <= limit[live, None]
-            cell = (owner[live, None] * self.k + aim[row])[hit]
-            r = ranks[hit]
-            np.minimum.at(best, cell, r)
-            won = best[cell] == r
-            name[cell[won]] = names[row][hit][won]
-            begin = rank[:, -1]
+            darts = np.take(dart, row, axis=0)
+            hit = darts <= limit[live, None]
+            places = np.flatnonzero(hit)
+            at_row = places // self.CHUNK
+            cell = np.take(aim, row[at_row] * self.CHUNK + places % self.CHUNK)
+            cell += owner[live[at_row]]
+            np.minimum.at(best, cell, np.take(darts, places))
             live = live[hit[:, -1]]
             first += self.CHUNK
-        out[at] = name.reshape(len(records), self.k)
-        return np.isfinite(best).reshape(len(records), self.k).all(axis=1)
+        best = best.reshape(len(records), self.k)
+        out[at] = np.where(best != _NONE, best, 0).astype(np.uint64)
+        return (best != _NONE).all(axis=1)
 
 
 @lru_cache(maxsize=4)
@@ -199,17 +209,8 @@ def _short(classes: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(c[:8] for c in classes), dtype=">i8").astype(np.int64)
 
 
-def membership(df: DataFrame, id_col: str, text_col: str, min_terms: int = 10) -> DataFrame:
-    """(id, class): the class of exact copies of each record with enough terms."""
-
-    def make(ids, regions, seen):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_short([class_of(r) for r in regions]))], ["id", "class"])
-
-    return _records(df, id_col, text_col, min_terms, make, "id bigint, class bigint")
-
-
 def band_rows(df: DataFrame, id_col: str, text_col: str, min_terms: int = 10, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(key, class, bits): the bands of each class, once per task."""
+    """(key, class, bits, size): the bands of each class, once per task; size is the number of terms in sixteenths of a doubling."""
     k = rows * bands
 
     def make(ids, regions, seen):
@@ -222,59 +223,111 @@ def band_rows(df: DataFrame, id_col: str, text_col: str, min_terms: int = 10, ro
         for at in range(0, len(fresh), 2000):
             part = fresh[at : at + 2000]
             keys, bits = _bands(_hasher(k).signatures([regions[i] for i in part]), rows, bands)
+            sizes = np.round(16 * np.log2([len(regions[i]) for i in part])).astype(np.int16)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(names[part], bands)), pa.array(bits.ravel().view(np.int64))], ["key", "class", "bits"]
+                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(names[part], bands)), pa.array(bits.ravel().view(np.int64)), pa.array(np.repeat(sizes, bands))],
+                ["key", "class", "bits", "size"],
             )
 
-    return _records(df, id_col, text_col, min_terms, make, "key bigint, class bigint, bits bigint")
+    return _records(df, id_col, text_col, min_terms, make, "key bigint, class bigint, bits bigint, size smallint")
+
 
+MOST_IN_TASK = 500  # rows of one band that meet in one task; fuller bands are dealt out over several
+# deviations below the expected number of equal bits at the threshold that a pair may stay: met in one band, in several, in any
+SLACK_ONE, SLACK_MORE, SLACK_ANY = 1.7, 3.0, 3.6
+
+
+def _least_equal(bits: Column, threshold: float, slack: Column | float) -> Column:
+    """Equal ones of a number of one-bit coordinates that a pair at the threshold has but for ``slack`` deviations."""
+    p = (1 + threshold) / 2
+    return bits * p - slack * F.sqrt(bits * (p * (1 - p)))
 
-def candidate_pairs(banded: DataFrame, least_equal_bits: int = 46) -> DataFrame:
-    """(a, b), a < b: distinct pairs of classes that share a band and agree in enough of its 64 one-bit coordinates."""
-    met = banded.dropDuplicates(["key", "class"])
-    left = met.select("key", F.col("class").alias("a"), F.col("bits").alias("bits_a"))
-    right = met.select("key", F.col("class").alias("b"), F.col("bits").alias("bits_b"))
-    near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 64 - least_equal_bits
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+
+def candidate_pairs(banded: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: pairs of classes that share a band, have sizes that allow the threshold, and agree in enough one-bit coordinates.
+
+    The band rows are shuffled once. Bands that several classes have, up to ``MOST_IN_TASK`` rows, are compared where they lie, in lists of
+    that size at most; of a class that several tasks sent, one row is kept. The rows of fuller bands are written out as they are and salted: one
+    side is dealt out over several tasks, the other sent to all of them. The one-bit coordinates of all bands in which a pair
+    meets are counted together.
+    """
+    apart = int(np.ceil(16 * np.log2(1 / threshold))) + 1  # both sizes are rounded
+
+    def equal(bits_a: Column, bits_b: Column) -> Column:
+        return F.lit(64) - F.bit_count(bits_a.bitwiseXOR(bits_b))
+
+    def near(size_a: Column, bits_a: Column, size_b: Column, bits_b: Column) -> Column:
+        return (F.abs(size_a - size_b) <= apart) & (equal(bits_a, bits_b) >= _least_equal(F.lit(64), threshold, SLACK_ANY))
+
+    in_order = Window.partitionBy("key").orderBy("class")
+    band = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fresh = F.coalesce(F.lag("class").over(in_order) != F.col("class"), F.lit(True))
+    shared = (
+        banded.repartition("key")
+        .select("*", fresh.alias("fresh"), F.min("class").over(band).alias("least"), F.max("class").over(band).alias("most"), F.count(F.lit(1)).over(band).alias("n"))
+        .where("least <> most and fresh")
+    )
+    fits = F.col("n") <= MOST_IN_TASK
+    others = shared.select("*", F.collect_list(F.when(fits, F.struct("class", "bits", "size"))).over(band).alias("others"))
+    later = F.filter("others", lambda y: (F.col("class") < y["class"]) & near(F.col("size"), F.col("bits"), y["size"], y["bits"]))
+    # a row of a full band has no others: it stays a row, with b null
+    met = materialise(
+        others.select("key", "class", "bits", "size", "n", F.explode_outer(later).alias("y")).where(~fits | F.col("y").isNotNull())
+        .select(
+            F.when(~fits, F.col("key")).alias("key"), F.col("class").alias("a"), F.when(~fits, F.col("bits")).alias("bits"), F.when(~fits, F.col("size")).alias("size"),
+            F.when(~fits, F.col("n")).alias("n"), F.col("y.class").alias("b"), equal(F.col("bits"), F.col("y.bits")).alias("equal"),
+        )
+    )
+    few = met.where("b is not null").select("a", "b", "equal")
+    parts = F.ceil(F.col("n") / MOST_IN_TASK).cast("int")
+    full = met.where("b is null").select("key", "a", "bits", "size", parts.alias("parts"))
+    left = full.select("key", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), "a", F.col("bits").alias("bits_a"), F.col("size").alias("size_a"))
+    right = full.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"), F.col("bits").alias("bits_b"), F.col("size").alias("size_b"))
+    many = left.join(right, ["key", "part"]).where((F.col("a") < F.col("b")) & near(F.col("size_a"), F.col("bits_a"), F.col("size_b"), F.col("bits_b")))
+
+    counted = few.unionByName(many.select("a", "b", equal(F.col("bits_a"), F.col("bits_b")).alias("equal"))).groupBy("a", "b").agg(F.sum("equal").alias("equal"), F.count(F.lit(1)).alias("n"))
+    slack = F.when(F.col("n") == 1, SLACK_ONE).otherwise(SLACK_MORE)
+    return counted.where(F.col("equal") >= _least_equal(64 * F.col("n"), threshold, slack)).select("a", "b")
 
 
 FILTER_BITS = 1 << 22
 
 
-def _among(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows whose class may occur in ``pairs``, by a bit map of fixed size (512 KB) that is broadcast."""
+def _kept_for(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows with their regions taken out where the class cannot occur in ``pairs``, by a bit map of fixed size (512 KB) that is broadcast."""
     spot = F.pmod(F.xxhash64("class"), F.lit(FILTER_BITS))
-    named_classes = pairs.select(F.explode(F.array("a", "b")).alias("class")).select(spot.alias("spot"))
-    maps = named_classes.groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("map"))
+    spots = pairs.select(F.explode(F.array("a", "b")).alias("class")).select(spot.alias("spot"))
+    maps = spots.groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("map"))
     asked = rows.withColumn("spot", spot).withColumn("bucket", F.bitmap_bucket_number("spot")).withColumn("bit", F.bitmap_bit_position("spot"))
     byte = F.conv(F.hex(F.substring("map", F.expr("cast(bit div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
-    return (
-        asked.join(F.broadcast(maps), "bucket").withColumn("byte", byte)
-        .where(F.expr("(shiftright(byte, cast(bit % 8 as int)) & 1) = 1")).drop("spot", "bucket", "bit", "map", "byte")
-    )
+    met = asked.join(F.broadcast(maps), "bucket", "left").withColumn("byte", F.coalesce(byte, F.lit(0)))
+    return met.select("id", "class", F.when(F.expr("(shiftright(byte, cast(bit % 8 as int)) & 1) = 1"), F.col("regions")).alias("regions"))
 
 
-def class_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_terms: int = 10, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(a, b, similarity) of every found pair of classes whose exact similarity is at least ``threshold``."""
-    # expected share of equal bits at the threshold is (1 + threshold) / 2; less about three deviations of 64 draws
-    p = (1 + threshold) / 2
-    least = int(np.floor(64 * p - 3 * np.sqrt(64 * p * (1 - p))))
-    pairs = materialise(candidate_pairs(band_rows(df, id_col, text_col, min_terms, rows, bands), least))
+def members_and_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_terms: int = 10, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """(id, class) of every record with enough terms, and (a, b, similarity) of every found pair of classes at or above the threshold.
+
+    The texts are read twice: for the bands, and, once the candidate pairs are known, for the classes and the regions of those that
+    are in a candidate pair.
+    """
+    pairs = materialise(candidate_pairs(band_rows(df, id_col, text_col, min_terms, rows, bands), threshold))
 
     def make(ids, regions, seen):
-        kept_names, kept = [], []
-        for c, r in zip(_short([class_of(r) for r in regions]).tolist(), regions, strict=True):
+        names = _short([class_of(r) for r in regions])
+        fresh = np.zeros(len(names), dtype=bool)
+        for i, c in enumerate(names.tolist()):
             if c not in seen:
                 seen.add(c)
-                kept_names.append(c)
-                kept.append(r)
-        if kept:
-            ends = np.concatenate([[0], np.cumsum([len(r) for r in kept])]).astype(np.int32)
-            flat = pa.array(np.concatenate(kept).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(kept_names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["class", "regions"])
-
-    all_regions = _records(df, id_col, text_col, min_terms, make, "class bigint, regions array<bigint>")
-    regions = _among(all_regions, pairs).dropDuplicates(["class"])
+                fresh[i] = True
+        kept = [r for r, f in zip(regions, fresh, strict=True) if f]
+        ends = np.concatenate([[0], np.cumsum([len(r) if f else 0 for r, f in zip(regions, fresh, strict=True)])]).astype(np.int32)
+        flat = np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(~fresh))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names), lists], ["id", "class", "regions"])
+
+    read = materialise(_kept_for(_records(df, id_col, text_col, min_terms, make, "id bigint, class bigint, regions array<bigint>"), pairs))
+    members = read.select("id", "class")
+    regions = read.where("regions is not null").select("class", "regions").dropDuplicates(["class"])
     left = regions.select(F.col("class").alias("a"), F.col("regions").alias("regions_a"))
     right = regions.select(F.col("class").alias("b"), F.col("regions").alias("regions_b"))
     # lengths alone rule a pair out where the shorter is below the threshold of the longer
@@ -282,16 +335,16 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.
     both = pairs.join(left, "a").join(right, "b").where(sizes)
     common = F.size(F.array_intersect("regions_a", "regions_b"))
     both = both.select("a", "b", common.alias("common"), (F.size("regions_a") + F.size("regions_b")).alias("total"))
-    return both.withColumn("similarity", F.col("common") / (F.col("total") - F.col("common"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    links = both.withColumn("similarity", F.col("common") / (F.col("total") - F.col("common"))).where(F.col("similarity") >= threshold)
+    return members, links.select("a", "b", "similarity")
 
 
 def record_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_terms: int = 10) -> DataFrame:
     """(id_a, id_b), smaller first: every pair of records at or above the threshold, copies written out as pairs."""
-    members = materialise(membership(df, id_col, text_col, min_terms))
-    links = class_pairs(df, id_col, text_col, threshold, min_terms).select("a", "b")
+    members, links = members_and_links(df, id_col, text_col, threshold, min_terms)
     x = members.select(F.col("id").alias("x"), F.col("class").alias("a"))
     y = members.select(F.col("id").alias("y"), F.col("class").alias("b"))
-    across = links.join(x, "a").join(y, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    across = links.select("a", "b").join(x, "a").join(y, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     shared = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class")
     copied = members.join(shared, "class", "left_semi")
     inside = (
@@ -303,8 +356,7 @@ def record_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
 
 def classes_with_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_terms: int = 10) -> DataFrame:
     """(id_col, class_id, n_links) of every record with enough terms: class_id is the smallest id of its exact copies, n_links the number of similar classes."""
-    members = materialise(membership(df, id_col, text_col, min_terms))
-    links = class_pairs(df, id_col, text_col, threshold, min_terms)
+    members, links = members_and_links(df, id_col, text_col, threshold, min_terms)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     first = members.groupBy("class").agg(F.min("id").alias("class_id")).join(degree, "class", "left")
     return members.join(first, "class").select(F.col("id").alias(id_col), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -41,6 +41,16 @@ def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
 _has_letter = re.compile(r"[^\W\d_]").search
 
 
+class _Lettered(dict):
+    """Whether a piece holds a letter, found out once for each piece."""
+
+    def __missing__(self, piece: str) -> bool:
+        # \w without digits and underscore still admits No/Nl characters, which are no letters
+        found = _has_letter(piece) is not None and any(unicodedata.category(c)[0] == "L" for c in piece)
+        self[piece] = found
+        return found
+
+
 class TermSplitter:
     """Splits texts into terms; remembers which pieces hold a letter (one instance per task)."""
 
@@ -48,26 +58,13 @@ class TermSplitter:
 
     def __init__(self) -> None:
         self._basic, self._any, self._astral = _patterns()
-        self._known: dict[str, bool] = {}
-
-    def _lettered(self, piece: str) -> bool:
-        # \w without digits and underscore still admits No/Nl characters, which are no letters
-        return _has_letter(piece) is not None and any(unicodedata.category(c)[0] == "L" for c in piece)
+        self._known = _Lettered()
 
     def split(self, text: str | None) -> list[str]:
         if not text:
             return []
         text = text.lower()
         run = self._basic if text.isascii() or not self._astral.search(text) else self._any
-        pieces = run.findall(text)
-        known = self._known
-        if len(known) > self.LIMIT:
-            known.clear()
-        out = []
-        for p in pieces:
-            ok = known.get(p)
-            if ok is None:
-                ok = known[p] = self._lettered(p)
-            if ok:
-                out.append(p)
-        return out
+        if len(self._known) > self.LIMIT:
+            self._known.clear()
+        return list(filter(self._known.__getitem__, run.findall(text)))
