@@ -102,7 +102,7 @@ _raw_code = re.compile(
 
 def _without_code(text: str) -> str:
     """The text with the insides of code blocks taken out, so that they are no evidence."""
-    text = _raw_code.sub(lambda m: f"{m[1] or m[4]}{m[3] or m[6]}", text)
+    text = _raw_code.sub(lambda m: f"{m[1] or m[4]}{m[3] or m[6] or ''}", text)
     return _fence.sub(lambda m: f"{m[1]}\n{m[1]}", text)
 
 
@@ -424,7 +424,7 @@ def _blocks_markdown(text: str) -> list[Block]:
             b = Block(kind, "", section, level)
             if kind == "heading":
                 b.elements.add("heading")
-            b.text = _inline_markdown("\n".join(paragraph), b, names)
+            b.text = _inline_markdown("\n".join(paragraph), b, names).strip()
             blocks.append(b)
             paragraph.clear()
 
@@ -509,7 +509,7 @@ def _blocks_wiki(text: str) -> list[Block]:
     def close() -> None:
         if paragraph:
             b = Block("text", "", section)
-            b.text = _inline_wiki("\n".join(paragraph), b)
+            b.text = _inline_wiki("\n".join(paragraph), b).strip()
             blocks.append(b)
             paragraph.clear()
 
@@ -536,7 +536,7 @@ def _blocks_wiki(text: str) -> list[Block]:
                 paragraph.append(line.strip().lstrip(":") if line.startswith(":") else line.strip())
         if m:
             close()
-            code = m[0][len(m[1] or m[4]) : len(m[0]) - len(m[3] or m[6])].strip("\n")
+            code = m[0][len(m[1] or m[4]) : len(m[0]) - len(m[3] or m[6] or "")].strip("\n")
             blocks.append(Block("code", html.unescape(code) if (m[2] or "").lower() == "pre" else code, section, 0, {"code"}))
             at = m.end()
     close()

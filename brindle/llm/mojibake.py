@@ -9,7 +9,8 @@
    improbable runs. Replacement characters between letters are a run by themselves, found but not restorable.
 3. Inverse mappings are tested inside those runs only: encode with the wrong encoding, decode with the right one. A mapping holds
    if the restored run, read with its neighbours, is more probable by a margin; mappings are repeated for text that was garbled more than
-   once. Bytes that no longer make sense leave the run marked, but as it is.
+   once. A mapping into UTF-8 that holds in one place is tried on the record's other stretches, too. Bytes that no longer make sense
+   leave the run as it is.
 
 Cases: null, empty and ASCII texts are never marked; every other text is whole, without a limit on length; an
 empty table gives no rows.
@@ -155,8 +156,8 @@ def _encode(text: str, table: dict[int, int]) -> bytes | None:
         return None
 
 
-def _inverses(run: str, by_bytes: bool) -> list[tuple[str, str]]:
-    """(written as, text) of every mapping that the run's characters allow and that changes it."""
+def _inverses(run: str, by_bytes: bool) -> list[tuple[str, str, str]]:
+    """(read as, written as, text) of every mapping that the run's characters allow and that changes it."""
     out, seen = [], {run}
     for wrong, table in _tables():
         raw = _encode(run, table)
@@ -169,12 +170,26 @@ def _inverses(run: str, by_bytes: bool) -> list[tuple[str, str]]:
                 text = raw.decode(right)
             except UnicodeDecodeError:
                 continue
-            if text not in seen and not _control.search(text):
+            if text not in seen:
                 seen.add(text)
-                out.append((right, text))
+                out.append((wrong, right, text))
     return out
 
 
+def _undone(run: str, path: tuple[tuple[str, str], ...]) -> str | None:
+    """The run after a known sequence of mappings, or None where it does not allow them."""
+    tables = dict(_tables())
+    for wrong, right in path:
+        raw = _encode(run, tables[wrong])
+        try:
+            run = raw.decode(right) if raw is not None else ""
+        except UnicodeDecodeError:
+            return None
+        if not run:
+            return None
+    return run
+
+
 _control = re.compile("[\x7f-\x9f]")
 _lost = re.compile("[^\\W\\d_]?�+")
 _beyond = re.compile(r"[^\x00-\x7f]")
@@ -183,6 +198,9 @@ _readable = re.compile(r"[^\x00-\x7f]{2}|(?:[^\x00-\x7f][\x00-\x7f]*){4}").searc
 _stretch = re.compile(r"[^\x00-\x7f]+")
 
 
+Path = tuple[tuple[str, str], ...]  # mappings (read as, written as) in the order in which they are undone
+
+
 class Repairer:
     """Finds and restores garbled runs of texts under a pair model."""
 
@@ -194,7 +212,7 @@ class Repairer:
 
     def __init__(self, model: PairModel) -> None:
         self.model = model
-        self._known: dict[tuple[str, str, str], str | None] = {}
+        self._known: dict[tuple[str, str, str], tuple[str, tuple[Path, ...]] | None] = {}
 
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Improbable runs of a text as character ranges, with at least one character beyond ASCII in each."""
@@ -219,59 +237,80 @@ class Repairer:
                 out.append((start, end))
         return out
 
-    def restored(self, run: str, before: str = " ", after: str = " ") -> str | None:
-        """The run as it was written, or None where no mapping makes it more probable."""
+    def restored(self, run: str, before: str = " ", after: str = " ") -> tuple[str, tuple[Path, ...]] | None:
+        """The run as it was written and the mappings used, or None where no mapping makes it more probable."""
         if not _readable(run):
             return None
         key = (before, run, after)
         if key not in self._known:
             if len(self._known) > self.MEMORY:
                 self._known.clear()
-            self._known[key] = self._best(before, run, after) or self._by_stretches(before, run, after)
+            whole = self._best(before, run, after)
+            self._known[key] = (whole[0], (whole[1],)) if whole else self._by_stretches(before, run, after)
         return self._known[key]
 
-    def _best(self, before: str, run: str, after: str) -> str | None:
-        best, text = None, run
+    def _best(self, before: str, run: str, after: str) -> tuple[str, Path] | None:
+        text, path = run, ()
         for _ in range(3):
             n = len(_beyond.findall(text))
             if not n:
                 break
             own = self.model.cost(before + text + after)
             by_bytes = n >= self.FEW and own >= self.RARE * (len(text) + 1)
-            saved = [((own - self.model.cost(before + t + after) - (right != "utf-8") * self.SHORT) / n, t) for right, t in _inverses(text, by_bytes)]
-            gain, made = max(saved, default=(0.0, None))
+            saved = [((own - self.model.cost(before + t + after) - (right != "utf-8") * self.SHORT - (_control.search(t) is not None) * self.SHORT) / n, t, (wrong, right)) for wrong, right, t in _inverses(text, by_bytes)]
+            gain, made, mapping = max(saved, default=(0.0, None, None))
             if made is None or gain < self.MARGIN:
                 break
-            best = text = made
-        return best
+            text, path = made, (*path, mapping)
+        # control characters may stand between two mappings, but not in the end
+        return (text, path) if path and not _control.search(text) else None
 
-    def _by_stretches(self, before: str, run: str, after: str) -> str | None:
+    def _by_stretches(self, before: str, run: str, after: str) -> tuple[str, tuple[Path, ...]] | None:
         """Each stretch beyond ASCII by itself, for runs that are garbled only in part or in several ways."""
         stretches = list(_stretch.finditer(run))
         if len(stretches) == 1 and stretches[0][0] == run:
             return None
-        whole, out, at, changed = before + run + after, [], 0, False
+        whole, out, at, paths = before + run + after, [], 0, []
         shift = len(before)
         for m in stretches:
             made = self._best(whole[shift + m.start() - 1], m[0], whole[shift + m.end()])
-            out += [run[at : m.start()], m[0] if made is None else made]
-            changed |= made is not None
+            out += [run[at : m.start()], made[0] if made else m[0]]
+            if made:
+                paths.append(made[1])
             at = m.end()
-        return "".join(out) + run[at:] if changed else None
+        return ("".join(out) + run[at:], tuple(paths)) if paths else None
+
+    def _rest(self, text: str, paths: list[Path]) -> str:
+        """The text with further stretches undone by mappings that hold elsewhere in it, where that makes them more probable at all."""
+
+        def one(m: re.Match) -> str:
+            before, after = text[m.start() - 1 : m.start()] or " ", text[m.end() : m.end() + 1] or " "
+            best, least = m[0], self.model.cost(before + m[0] + after)
+            for path in paths:
+                made = _undone(m[0], path)
+                if made is not None and (cost := self.model.cost(before + made + after)) < least:
+                    best, least = made, cost
+            return best
+
+        return _stretch.sub(one, text)
 
     def examine(self, text: str | None) -> tuple[bool, str | None]:
         """(whether the text holds a garbled run, the text with what could be restored)."""
         if not text or text.isascii():
             return False, text
-        garbled, out, at = bool(_lost.search(text)), [], 0
+        parts, paths, at = [], {}, 0
         for start, end in self.runs(text):
             made = self.restored(text[start:end], text[start - 1] if start else " ", text[end] if end < len(text) else " ")
             if made is not None:
-                garbled = True
-                out += [text[at:start], made]
+                parts += [(False, text[at:start]), (True, made[0])]
+                paths |= dict.fromkeys(made[1])
                 at = end
-        out.append(text[at:])
-        return garbled, "".join(out)
+        if not paths:
+            return bool(_lost.search(text)), text
+        parts.append((False, text[at:]))
+        # only UTF-8 refuses most of what it was not; single bytes would fit anything
+        sure = [p for p in paths if all(right == "utf-8" for _, right in p)]
+        return True, "".join(t if done or not sure else self._rest(t, sure) for done, t in parts)
 
 
 def model_of(df: DataFrame, id_col: str, text_col: str) -> PairModel:

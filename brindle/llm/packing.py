@@ -4,8 +4,8 @@ Best-fit decreasing, exact and over the whole collection, without ever holding t
 order of decreasing size means that all items of one size meet the same open bins, so the items enter as a histogram: size and number.
 A texts longer than the capacity is cut into full pieces and a rest first, so that there are at most ``capacity``
 sizes. One task per container kind walks the sizes downward; a segment tree over remaining capacities gives
-the tightest bin that still takes the size in logarithmic time, and a run of equal bins takes as many items as it has
-bins in one step. The walk yields steps (size, first rank, number, first bin): item number r of that size goes to bin
+the tightest bin that still takes the size in logarithmic time, and a run of equal bins is filled with items of that size in a few
+steps. The walk yields steps (size, first rank, number, first bin): item number r of that size goes to bin
 first bin + (r - first rank). Their number depends on the capacity, not on the number of items.
 
 Each item then gets its rank among the items of its size: sizes are counted per hash part (fixed by the
@@ -77,28 +77,29 @@ def best_fit_steps(histogram: dict[int, int], capacity: int) -> list[tuple[int,
         while left:
             room = tree.tightest(size)
             if room < 0:
-                # each new bin takes as many items of this size as fit before the next is opened
-                per, full = capacity // size, left // (capacity // size)
-                if full:
-                    for k in range(per):
-                        steps.append((size, rank + k * full, full, bins))
-                    put(capacity - per * size, bins, full)
-                    rank, left, bins = rank + per * full, left - per * full, bins + full
-                if left:
-                    for k in range(left):
-                        steps.append((size, rank + k, 1, bins))
-                    put(capacity - left * size, bins, 1)
-                    bins, left = bins + 1, 0
-                break
-            first, n = runs[room].pop()
-            if not runs[room]:
-                tree.set(room, False)
-            take = min(n, left)
-            steps.append((size, rank, take, first))
-            if n > take:
-                put(room, first + take, n - take)
-            put(room - size, first, take)
-            rank, left = rank + take, left - take
+                room, first, n = capacity, bins, left
+            else:
+                first, n = runs[room].pop()
+                if not runs[room]:
+                    tree.set(room, False)
+            # a bin stays the tightest until it takes no more of this size, so bins of equal room are filled one by one
+            per = room // size
+            full = min(n, left // per)
+            if full:
+                for k in range(per):
+                    steps.append((size, rank + k * full, full, first))
+                put(room - per * size, first, full)
+                rank, left = rank + per * full, left - per * full
+            used = full
+            if full < n and 0 < left < per:
+                for k in range(left):
+                    steps.append((size, rank + k, 1, first + full))
+                put(room - left * size, first + full, 1)
+                rank, left, used = rank + left, 0, full + 1
+            if first == bins:
+                bins += used
+            elif used < n:
+                put(room, first + used, n - used)
     if zeros := histogram.get(0, 0):
         room = tree.tightest(0)
         first = runs[room][-1][0] if room >= 0 else 0
