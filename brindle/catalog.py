@@ -1,4 +1,4 @@
-"""Queries of the search engine over the test tables, and the SQL to hold them against.
+"""Queries of the text search over the test tables, and the SQL to hold them against.
 
 Documents are the table docs, the log is searches and clicks. Words are those of the collection: ``vector``, ``archive``, ``bucket`` and others.
 """
@@ -113,8 +113,10 @@ def _(spark, d):
 
 @_query("q_postings", f"{_WITH} SELECT raw AS term, count(DISTINCT doc_id) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM post GROUP BY raw")
 def _(spark, d):
-    lists = I.posting_lists(I.raw_postings(_docs(spark, d)), "raw")
-    return lists.select(F.col("raw").alias("term"), F.size("doc_ids").cast("bigint").alias("n"), F.element_at("doc_ids", 1).alias("first_doc"), F.element_at("doc_ids", -1).alias("last_doc"))
+    blocks = I.posting_blocks(I.raw_postings(_docs(spark, d)), "raw")
+    return blocks.groupBy(F.col("raw").alias("term")).agg(
+        F.sum(F.size("doc_ids")).alias("n"), F.min(F.element_at("doc_ids", 1)).alias("first_doc"), F.max(F.element_at("doc_ids", -1)).alias("last_doc")
+    )
 
 
 @_query("q_positions", f"{_WITH} SELECT doc_id, raw AS term, array_to_string(list_sort(list(pos)), ' ') AS at FROM post WHERE raw IN ('vector', 'archive') GROUP BY doc_id, raw")
@@ -711,6 +713,26 @@ def _(spark, d):
     return I.clear(I.raw_postings(docs), docs)[1].select("doc_id", "is_indexed")
 
 
+@_query("q_by_id", "SELECT doc_id, title FROM docs WHERE doc_id = 5000000005")
+def _(spark, d):
+    return D.by_id(_docs(spark, d), 5_000_000_005).select("doc_id", "title")
+
+
+@_query("q_display", "SELECT doc_id, strftime(date_added, '%Y-%m') AS month, CASE WHEN file_size <= 0 THEN '0 B' WHEN file_size < 1024 THEN file_size || ' B' ELSE 'larger' END AS size FROM docs")
+def _(spark, d):
+    docs = _docs(spark, d)
+    size = F.when(F.col("file_size") < 1024, X.human_size(F.col("file_size"))).otherwise("larger")
+    return docs.select("doc_id", F.date_format("date_added", "yyyy-MM").alias("month"), size.alias("size"))
+
+
+@_query("q_index_add", f"{_WITH} SELECT raw AS term, count(*) AS cf FROM post GROUP BY raw")
+def _(spark, d):
+    docs = _docs(spark, d)
+    part = I.raw_postings(docs.where("file_name is null"))
+    whole = part.unionByName(I.remove_documents(I.raw_postings(docs), docs.where("file_name is null")))
+    return whole.groupBy(F.col("raw").alias("term")).agg(F.count(F.lit(1)).alias("cf"))
+
+
 # ---- streaming ------------------------------------------------------------------------------------------------
 
 

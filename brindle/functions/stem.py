@@ -10,7 +10,9 @@ The same tables make the SQL of the stemmer (``stem_sql``), so that both can be
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +133,21 @@ def stem_column(word: Column) -> Column:
     return run(word)
 
 
+def stem_arrays(words: Column) -> Column:
+    """Stems of an array of words; in each batch the distinct words are stemmed once, without a shuffle."""
+
+    @F.arrow_udf("array<string>")
+    def run(arrays: pa.Array) -> pa.Array:
+        arrays = arrays.combine_chunks() if isinstance(arrays, pa.ChunkedArray) else arrays
+        coded = arrays.flatten().dictionary_encode()
+        stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+        lengths = arrays.value_lengths().fill_null(0)
+        ends = np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), stems)
+
+    return run(words)
+
+
 def with_stems(df: DataFrame, word_col: str = "raw", stem_col: str = "term") -> DataFrame:
     """``df`` with the stem of each word. Only the distinct words go through Python; they are joined back."""
     stems = df.select(word_col).distinct().select(word_col, stem_column(F.col(word_col)).alias(stem_col))

@@ -81,7 +81,7 @@ def summary(searches: DataFrame, clicks: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(F.sum("total_time_ms"), F.sum("n_searches")), F.lit(0.0)).alias("weighted_avg_time_ms"),
         F.count_if(F.col("total_results") == 0).alias("n_zero_result_queries"),
     )
-    return figures.join(clicks.where("doc_id is not null").agg(F.count(F.lit(1)).alias("n_clicks")))  # one row each
+    return figures.withColumn("n_clicks", clicks.where("doc_id is not null").agg(F.count(F.lit(1))).scalar())
 
 
 def query_suggestions(searches: DataFrame, prefix: str, most: int = 5) -> DataFrame:

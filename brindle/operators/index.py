@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.stem import with_stems
+from brindle.functions.stem import stem_arrays
 from brindle.functions.text import kgrams, like_pattern, tokenize
+from brindle.session import one_row
 
 
 def token_arrays(docs: DataFrame) -> DataFrame:
@@ -20,47 +21,49 @@ def token_arrays(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tokenize(F.col("title")).alias("title_tokens"), tokenize(F.col("content")).alias("content_tokens"))
 
 
-def _exploded(arrays: DataFrame, keep=None) -> DataFrame:
-    """(doc_id, field, pos, raw); with ``keep``, only the tokens that it accepts leave the row."""
-    all_tokens = F.concat("title_tokens", "content_tokens")
-    entries = F.transform(all_tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("raw")))
+def _exploded(docs: DataFrame, stems: bool, keep=None) -> DataFrame:
+    """(doc_id, field, pos, raw [, term]); with ``keep``, only the entries that it accepts leave the row.
+
+    Narrow: a document's tokens are numbered, stemmed and filtered inside its row.
+    """
+    arrays = token_arrays(docs).select("doc_id", F.size("title_tokens").alias("_in_title"), F.concat("title_tokens", "content_tokens").alias("_raw"))
+    if stems:
+        zipped = F.arrays_zip(F.col("_raw").alias("raw"), stem_arrays(F.col("_raw")).alias("term"))
+        entries = F.transform(zipped, lambda e, i: F.struct(i.alias("pos"), e["raw"].alias("raw"), e["term"].alias("term")))
+    else:
+        entries = F.transform("_raw", lambda t, i: F.struct(i.alias("pos"), t.alias("raw")))
     if keep is not None:
-        entries = F.filter(entries, lambda e: keep(e["raw"]))
-    rows = arrays.select("doc_id", F.size("title_tokens").alias("_in_title"), F.explode(entries).alias("_e"))
+        entries = F.filter(entries, keep)
+    rows = arrays.select("doc_id", "_in_title", F.explode(entries).alias("_e"))
     field = F.when(F.col("_e.pos") < F.col("_in_title"), "title").otherwise("content")
-    return rows.select("doc_id", field.alias("field"), F.col("_e.pos").alias("pos"), F.col("_e.raw").alias("raw"))
+    return rows.select("doc_id", field.alias("field"), "_e.*")
 
 
 def raw_postings(docs: DataFrame) -> DataFrame:
-    """Postings without stems; narrow."""
-    return _exploded(token_arrays(docs))
+    """Postings without stems."""
+    return _exploded(docs, False)
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """Postings with stems."""
-    return with_stems(raw_postings(docs)).select("doc_id", "field", "pos", "raw", "term")
+    return _exploded(docs, True)
 
 
-def hits(docs: DataFrame, words: list[str], patterns: list[str] = ()) -> DataFrame:
-    """Raw postings of some words and wildcard patterns only; the other tokens never leave their row."""
+def _any(tested: Column, words: list[str], patterns: list[str]) -> Column:
+    found = tested.isin(*words) if words else F.lit(False)
+    for p in patterns:
+        found = found | tested.like(like_pattern(p))
+    return found
 
-    def keep(t: Column) -> Column:
-        found = t.isin(*words) if words else F.lit(False)
-        for p in patterns:
-            found = found | t.like(like_pattern(p))
-        return found
 
-    return _exploded(token_arrays(docs), keep)
+def hits(docs: DataFrame, words: list[str], patterns: list[str] = ()) -> DataFrame:
+    """Raw postings of some words and wildcard patterns only; the other tokens never leave their row."""
+    return _exploded(docs, False, lambda e: _any(e["raw"], words, patterns))
 
 
-def stem_hits(docs: DataFrame, stems: list[str], patterns: list[str] = ()) -> DataFrame:
-    """Postings of some stems; the stems of the distinct vocabulary are filtered before they are joined back."""
-    raw = raw_postings(docs)
-    known = with_stems(raw.select("raw").distinct())
-    wanted = F.col("term").isin(*stems) if stems else F.lit(False)
-    for p in patterns:
-        wanted = wanted | F.col("term").like(like_pattern(p))
-    return raw.join(known.where(wanted), "raw").select("doc_id", "field", "pos", "raw", "term")
+def stem_hits(docs: DataFrame, stems: list[str], patterns: list[str] = (), words: list[str] = ()) -> DataFrame:
+    """Postings of some stems, wildcard patterns over stems, and words as they stand."""
+    return _exploded(docs, True, lambda e: _any(e["term"], stems, patterns) | _any(e["raw"], list(words), []))
 
 
 def add_documents(index: DataFrame, docs: DataFrame) -> DataFrame:
@@ -183,4 +186,5 @@ def index_layout(index: DataFrame) -> DataFrame:
 def index_summary(index: DataFrame, docs: DataFrame) -> DataFrame:
     """One row for the index page: documents, indexed documents, distinct terms, postings."""
     counted = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("is_indexed").alias("n_indexed"))
-    return counted.join(index.agg(F.countDistinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings")))
+    figures = index.agg(F.countDistinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings"))
+    return counted.withColumn("_f", one_row(figures)).select("n_docs", "n_indexed", "_f.*")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators.index import token_arrays
 from brindle.operators.stats import document_lengths, term_frequencies
+from brindle.session import one_row
 
 K1, B = 1.2, 0.75
 
@@ -62,8 +63,7 @@ def rank_raw(docs: DataFrame, words: list[str], ranking: Ranking | None = None,
         "doc_id", F.size(tokens).alias("total_terms"), *[F.size(F.filter(tokens, _is(w))).alias(f"tf_{i}") for i, w in enumerate(wanted)]
     )
     figures = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("total_terms").alias("avg_len"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(wanted))])
-    # one row of figures for every document
-    joined = counted.join(F.broadcast(figures))
+    joined = counted.withColumn("_f", one_row(figures)).select("*", "_f.*").drop("_f")
     present = [F.col(f"tf_{i}") > 0 for i in range(len(wanted))]
     keep = present[0]
     for p in present[1:]:
@@ -84,7 +84,7 @@ def rank_postings(postings: DataFrame, docs: DataFrame, terms: list[str], rankin
     lengths = document_lengths(docs)
     figures = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("total_terms"), F.lit(0.0)).alias("avg_len"))
     df = tf.groupBy(key).agg(F.count(F.lit(1)).alias("df"))  # one row per query term
-    rows = tf.join(F.broadcast(df), key).join(lengths, "doc_id").join(F.broadcast(figures))
+    rows = tf.join(F.broadcast(df), key).join(lengths, "doc_id").withColumn("_f", one_row(figures)).select("*", "_f.*")
     scored = rows.groupBy("doc_id").agg(F.sum(ranking.score()).alias("score"), F.countDistinct(key).alias("_n"))
     return (scored.where(F.col("_n") == len(wanted)) if require_all else scored).select("doc_id", "score")
 

@@ -60,8 +60,8 @@ def matches(docs: DataFrame, query: str, analyzer: str = "stem", index: DataFram
     for i in range(1, len(words)):
         starts = F.array_intersect(starts, moved(F.col(f"at_{i}"), -i))
     marked = per_doc.select("doc_id", (F.size(starts) > 0).alias("as_phrase"))
-    any_phrase = marked.agg(F.coalesce(F.bool_or("as_phrase"), F.lit(False)).alias("any_phrase"))  # one row
-    found = marked.join(F.broadcast(any_phrase)).where(F.col("as_phrase") | ~F.col("any_phrase"))
+    any_phrase = marked.agg(F.coalesce(F.bool_or("as_phrase"), F.lit(False)).alias("any_phrase"))
+    found = marked.where(F.col("as_phrase") | ~any_phrase.scalar())
     return found.select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
 
 

@@ -133,12 +133,8 @@ def compile_node(docs: DataFrame, node: ast.Node | None, analyzer: str = "raw",
     elif analyzer == "raw":
         rows = hits(docs, words, patterns).withColumn("term", F.lit(None).cast("string"))
     else:
-        stems = [stem(w) for w in words] if analyzer == "stem" else words
-        rows = stem_hits(docs, stems, patterns)
-        if analyzer == "mixed" or any(isinstance(x, ast.Field) for x in leaves):
-            # words that fields and proximity compare as they stand need no stem; a token is never counted twice for one leaf
-            seen = hits(docs, words).withColumn("term", F.lit(None).cast("string"))
-            rows = rows.unionByName(seen)
+        # fields and proximity compare words as they stand
+        rows = stem_hits(docs, [stem(w) for w in words] if analyzer == "stem" else words, patterns, words)
     if in_names := [x.word for x in leaves if isinstance(x, ast.Field) and x.name == "filename"]:
         rows = rows.unionByName(_file_name_hits(docs, in_names).withColumn("term", F.lit(None).cast("string")))
     marks = _Marks()

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, app: str = "brindle", memory: str = "8g") -> SparkSession:
@@ -54,6 +55,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def one_row(df: DataFrame) -> Column:
+    """The only row of ``df`` as a struct, by a scalar subquery; null where it has none."""
+    return df.select(F.struct("*")).scalar()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than cores one split per core.
 
