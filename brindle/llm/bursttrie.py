@@ -8,7 +8,7 @@ suffixes and their two counters.
 
 Subtrees of the same region must meet. A routing table says how long a prefix decides the place: starting from
 the empty prefix, each prefix that holds more than its share of entries is lengthened by one character. It
-is made from the written subtrees' own prefixes and has at most ``routes`` times the longest prefix entries, so it is small whatever the data.
+is made from the written subtrees' own prefixes, in one job, and has at most as many entries as parts times lengths.
 Subtrees are then merged per route; the merge sums the counters of equal suffixes.
 
 Cases: null texts count as empty; a record without terms counts as a record; an empty table gives no terms.
@@ -139,22 +139,21 @@ def subtrees(df: DataFrame, id_col: str, text_cols: tuple[str, ...], burst: int
     return map_batches(named(df, id_col, *text_cols), run, _SUBTREE)
 
 
+ENTRIES_PER_ROUTE = 500_000  # what one route may hold on average, so that a merge fits in a task
+
+
 def _routing(trees: DataFrame, routes: int) -> list[str]:
-    """Prefixes that are to be lengthened: each holds more than one of ``routes`` parts of all entries."""
+    """Prefixes that are to be lengthened: each holds more than its part of all entries.
+
+    The entries are divided into ``routes`` parts, or more where a part would exceed ``ENTRIES_PER_ROUTE``. Of one length, at most that many
+    prefixes can hold more than a part.
+    """
     sized = trees.select("prefix", F.size("suffixes").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
-    heavy, depth = [""], 0
-    while True:
-        depth += 1
-        # a part of 1/routes can be held by at most ``routes`` prefixes of one length
-        rows = (
-            sized.where(F.length("prefix") >= depth).groupBy(F.substring("prefix", 1, depth).alias("p")).agg(F.sum("n").alias("n"))
-            .where(F.col("n") * routes > total).select("p").collect()
-        )
-        found = [r[0] for r in rows]
-        if not found:
-            return heavy
-        heavy += found
+    parts = max(routes, total // ENTRIES_PER_ROUTE)
+    begins = sized.where(F.length("prefix") > 0).select(F.explode(F.sequence(F.lit(1), F.length("prefix"))).alias("depth"), "prefix", "n")
+    heavy = begins.groupBy(F.substring("prefix", F.lit(1), F.col("depth")).alias("p")).agg(F.sum("n").alias("n")).where(F.col("n") * parts > total)
+    return ["", *(r[0] for r in heavy.select("p").collect())]
 
 
 def term_counts(df: DataFrame, id_col: str, text_cols: tuple[str, ...], burst: int = BURST, routes: int = 256) -> DataFrame:

@@ -120,11 +120,13 @@ def _items(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     return cut.select("spec", "id", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(capacity, size - F.col("piece") * capacity).alias("size"))
 
 
-def pack(sizes: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", parts: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", parts: int | None = None) -> DataFrame:
     """(spec_id, bin_id, doc_id, piece, first_token, n_tokens): every item of ``sizes`` in a bin of every kind of container.
 
+    ``parts`` is over how many tasks the items of one size are ranked, by default as many as the session's shuffle partitions suggest.
     ``specs`` has spec_id and capacity; there may be at most 1,000 kinds, each of a capacity up to ``MOST_CAPACITY``.
     """
+    parts = parts or max(64, 4 * int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     wanted = specs.where("spec_id is not null and capacity is not null").select(F.col("spec_id").cast("bigint"), F.col("capacity").cast("bigint")).distinct()
     known = wanted.limit(1001).collect()
     if len(known) > 1000 or any(not 1 <= c <= MOST_CAPACITY for _, c in known):
