@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import file_extension, file_type_name, size_category, size_category_label, size_category_name, tokenize
+from brindle.session import spread
 
 MOST_TERMS, LEAST_DOCUMENTS = 20, 2
 
@@ -39,7 +40,7 @@ def size_facet(docs: DataFrame) -> DataFrame:
 def term_facet(docs: DataFrame, most: int = MOST_TERMS, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(value, display_name, count): the terms of most documents, unstemmed."""
     text = F.concat_ws(" ", "title", "content")
-    terms = docs.select(F.explode(F.array_distinct(tokenize(text))).alias("value")).groupBy("value").count()
+    terms = spread(docs.select("title", "content")).select(F.explode(F.array_distinct(tokenize(text))).alias("value")).groupBy("value").count()
     return terms.where(F.col("count") >= least).orderBy(F.desc("count"), "value").limit(most).select("value", F.col("value").alias("display_name"), "count")
 
 

@@ -8,17 +8,22 @@ term, so that lookups and range scans read the row groups that hold the term.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.stem import stem_arrays
 from brindle.functions.text import kgrams, like_pattern, tokenize
-from brindle.session import one_row
+from brindle.session import one_row, spread
 
 
 def token_arrays(docs: DataFrame) -> DataFrame:
     """(doc_id, title_tokens, content_tokens) of every document; narrow."""
-    return docs.select("doc_id", tokenize(F.col("title")).alias("title_tokens"), tokenize(F.col("content")).alias("content_tokens"))
+    texts = spread(docs.select("doc_id", "title", "content"))
+    return texts.select("doc_id", tokenize(F.col("title")).alias("title_tokens"), tokenize(F.col("content")).alias("content_tokens"))
 
 
 def _exploded(docs: DataFrame, stems: bool, keep=None) -> DataFrame:
@@ -56,9 +61,17 @@ def _any(tested: Column, words: list[str], patterns: list[str]) -> Column:
     return found
 
 
+def may_hold(words: list[str], patterns: list[str] = (), every: bool = False) -> Column:
+    """Whether a document's lower-cased text holds any (or every) word as a substring: a cheap test before it is cut into tokens."""
+    pieces = [*words, *(max(re.split(r"[*?]", p), key=len) for p in patterns)]
+    tests = [F.lower("title").contains(w) | F.lower("content").contains(w) for w in pieces]
+    tests = [F.coalesce(t, F.lower("title").contains(w), F.lower("content").contains(w), F.lit(False)) for t, w in zip(tests, pieces, strict=True)]
+    return reduce(and_ if every else or_, tests, F.lit(every))
+
+
 def hits(docs: DataFrame, words: list[str], patterns: list[str] = ()) -> DataFrame:
     """Raw postings of some words and wildcard patterns only; the other tokens never leave their row."""
-    return _exploded(docs, False, lambda e: _any(e["raw"], words, patterns))
+    return _exploded(docs.where(may_hold(words, patterns)), False, lambda e: _any(e["raw"], words, patterns))
 
 
 def stem_hits(docs: DataFrame, stems: list[str], patterns: list[str] = (), words: list[str] = ()) -> DataFrame:

@@ -7,12 +7,15 @@ the shuffle by document holds a few numbers for each matching document. The coll
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from operator import and_, or_
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.index import token_arrays
+from brindle.functions.stem import stem_arrays
+from brindle.operators.index import may_hold, token_arrays
 from brindle.operators.stats import document_lengths, term_frequencies
 from brindle.session import one_row
 
@@ -48,28 +51,28 @@ def _is(word: str):
     return lambda token: token == word
 
 
-def rank_raw(docs: DataFrame, words: list[str], ranking: Ranking | None = None, require_all: bool = True) -> DataFrame:
-    """(doc_id, score) of the documents that hold all (or any) of the words, unstemmed.
+def rank_documents(docs: DataFrame, terms: list[str], ranking: Ranking | None = None, require_all: bool = True, stems: bool = False) -> DataFrame:
+    """(doc_id, score) of the documents that hold all (or any) of the words, or of the stems.
 
-    Each document's frequencies are counted inside its row; nothing but the collection's one row moves.
+    Each document's frequencies are counted inside its row; nothing but the collection's one row of figures and the scores move. For
+    words, documents without them are sorted out before they are cut into tokens.
     """
     ranking = ranking or BM25()
-    wanted = list(dict.fromkeys(words))
+    wanted = list(dict.fromkeys(terms))
     if not wanted:
         return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    tokens = F.concat("title_tokens", "content_tokens")
-    arrays = token_arrays(docs)
-    counted = arrays.select(
-        "doc_id", F.size(tokens).alias("total_terms"), *[F.size(F.filter(tokens, _is(w))).alias(f"tf_{i}") for i, w in enumerate(wanted)]
-    )
-    figures = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("total_terms").alias("avg_len"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(wanted))])
-    joined = counted.withColumn("_f", one_row(figures)).select("*", "_f.*").drop("_f")
-    present = [F.col(f"tf_{i}") > 0 for i in range(len(wanted))]
-    keep = present[0]
-    for p in present[1:]:
-        keep = keep & p if require_all else keep | p
-    rows = joined.where(keep)
-    parts = F.array(*[F.struct(F.col(f"tf_{i}").alias("tf"), F.col(f"df_{i}").alias("df")) for i in range(len(wanted))])
+    numbers = range(len(wanted))
+
+    def counted(part: DataFrame) -> DataFrame:
+        tokens = F.concat("title_tokens", "content_tokens")
+        arrays = token_arrays(part).select("doc_id", (stem_arrays(tokens) if stems else tokens).alias("tokens"))
+        return arrays.select("doc_id", F.size("tokens").alias("total_terms"), *[F.size(F.filter("tokens", _is(wanted[i]))).alias(f"tf_{i}") for i in numbers])
+
+    figures = counted(docs).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("total_terms").alias("avg_len"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in numbers])
+    present = [F.col(f"tf_{i}") > 0 for i in numbers]
+    candidates = docs if stems else docs.where(may_hold(wanted, every=require_all))
+    rows = counted(candidates).where(reduce(and_ if require_all else or_, present)).withColumn("_f", one_row(figures)).select("*", "_f.*")
+    parts = F.array(*[F.struct(F.col(f"tf_{i}").alias("tf"), F.col(f"df_{i}").alias("df")) for i in numbers])
     each = rows.select("doc_id", "total_terms", "n_docs", "avg_len", F.explode(parts).alias("_p")).select("doc_id", "total_terms", "n_docs", "avg_len", "_p.*").where("tf > 0")
     return each.groupBy("doc_id").agg(F.sum(ranking.score()).alias("score"))
 

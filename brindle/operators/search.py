@@ -12,7 +12,7 @@ from brindle.functions.stem import stem
 from brindle.functions.text import tokenize_query
 from brindle.operators.highlight import best_snippet
 from brindle.operators.index import hits, stem_hits
-from brindle.operators.rank import page, page_count, rank_postings, rank_raw, weighted_count
+from brindle.operators.rank import page, page_count, rank_documents, rank_postings, weighted_count
 from brindle.operators.spell import correct_query, suggestions
 from brindle.operators.stats import term_frequencies
 from brindle.plans import ast
@@ -84,8 +84,8 @@ def did_you_mean(vocab: DataFrame, query: str) -> DataFrame:
 def ranked(docs: DataFrame, query: str, analyzer: str = "stem", index: DataFrame | None = None) -> DataFrame:
     """(doc_id, score) of the documents that hold all words of the query, by BM25."""
     words = analyze(query, analyzer)
-    if analyzer == "raw" and index is None:
-        return rank_raw(docs, words)
+    if index is None:
+        return rank_documents(docs, words, stems=analyzer == "stem")
     return rank_postings(_postings(docs, words, analyzer, index), docs, words)
 
 

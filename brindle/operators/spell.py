@@ -36,18 +36,16 @@ def suggestions(vocab: DataFrame, words: list[str], most: int = 5, k: int = 2, k
     if pairs is None:
         empty = vocab.select(F.col(key).alias("word"), F.col(key).alias("term")).limit(0)
         return empty.select("word", "term", F.lit(0).alias("edit_distance"), F.lit(0.0).alias("jaccard"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    known = vocab.where(F.col(key).isin(*words)).select(F.col(key).alias("word")).distinct()
-    exact = known.select("word", F.col("word").alias("term"), F.lit(0).alias("edit_distance"), F.lit(0.0).alias("jaccard"), F.lit(1.0).alias("score"))
-    d = edit_distance(F.col("word"), F.col("term"), MOST_DISTANCE)
+    # a word of the vocabulary shares all its k-grams with itself, so it is among its own candidates
+    itself, own = F.col("word") == F.col("term"), Window.partitionBy("word")
     near = (
-        pairs.join(F.broadcast(known), "word", "left_anti")  # at most as many rows as words were asked for
-        .withColumn("edit_distance", d).where(F.col("edit_distance") <= MOST_DISTANCE)
-        .withColumn("jaccard", jaccard(F.col("word"), F.col("term")))
-        .withColumn("score", F.lit(1.0) / (1 + F.col("edit_distance")) * (F.lit(0.5) + 0.5 * F.col("jaccard")))
+        pairs.withColumn("edit_distance", edit_distance(F.col("word"), F.col("term"), MOST_DISTANCE)).where(F.col("edit_distance") <= MOST_DISTANCE)
+        .withColumn("known", F.bool_or(itself).over(own)).where(itself | ~F.col("known"))
+        .withColumn("jaccard", F.when(itself, 0.0).otherwise(jaccard(F.col("word"), F.col("term"))))
+        .withColumn("score", F.when(itself, 1.0).otherwise(F.lit(1.0) / (1 + F.col("edit_distance")) * (F.lit(0.5) + 0.5 * F.col("jaccard"))))
     )
-    order = Window.partitionBy("word").orderBy(F.desc("score"), "edit_distance", "term")
-    ranked = near.select("word", "term", "edit_distance", "jaccard", "score").unionByName(exact).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= most)
+    ranked = near.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "edit_distance", "term")))
+    return ranked.where(F.col("rank") <= most).select("word", "term", "edit_distance", "jaccard", "score", "rank")
 
 
 def correct_query(vocab: DataFrame, query: str, key: str = "term") -> DataFrame:

@@ -64,7 +64,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than cores one split per core.
 
     Only inputs with fewer splits than the cluster has cores (a handful of row groups) are moved; a large
-    table has more splits than cores and is returned as it is, without a shuffle.
+    table has more splits than cores and is returned as it is, without a shuffle. So is anything that is not a plain scan: its
+    partitions are adaptive execution's business, and are not known before it runs.
     """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < plan.execute().getNumPartitions() < cores else df

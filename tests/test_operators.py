@@ -95,13 +95,13 @@ def bm25_by_hand(words):
 @pytest.mark.parametrize("words", [["vector"], ["vector", "index"], ["vector", "vector", "search"], ["nowhere"]])
 def test_bm25(docs, words):
     expected = bm25_by_hand(words)
-    for got in (rank.rank_raw(docs, words), rank.rank_postings(index.raw_postings(docs), docs, words, key="raw")):
+    for got in (rank.rank_documents(docs, words), rank.rank_postings(index.raw_postings(docs), docs, words, key="raw")):
         assert {i: pytest.approx(s) for i, s in expected.items()} == dict(rows(got))
 
 
 def test_ranking_of_nothing(docs, nothing):
-    assert rank.rank_raw(docs, []).count() == 0 and rank.rank_postings(index.raw_postings(docs), docs, [], key="raw").count() == 0
-    assert rank.rank_raw(nothing, ["vector"]).count() == 0
+    assert rank.rank_documents(docs, []).count() == 0 and rank.rank_postings(index.raw_postings(docs), docs, [], key="raw").count() == 0
+    assert rank.rank_documents(nothing, ["vector"]).count() == 0
 
 
 def test_pages(docs):
