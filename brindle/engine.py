@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from brindle.operators import analytics, documents, expand, facets, index, search, spell, stats
 from brindle.plans.compiler import compile_query
+from brindle.session import ship_package
 
 
 class Engine:
     """Holds documents, the postings once they are built, and a search log; every method returns a frame or a new state."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame) -> None:
+        ship_package(spark)
         self.spark, self.docs = spark, docs
         self.index: DataFrame | None = None
         self.log: list[tuple[str, object, int, float]] = []

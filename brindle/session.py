@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, where they would not find it by themselves.
+
+    Workers find it if its folder is in PYTHONPATH, or is the working directory of a local session, or if it is installed.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    found = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "site-packages" in root or (sc.master.startswith("local") and os.getcwd() == root)
+    if found or getattr(sc, "_brindle_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(), "brindle.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "brindle")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)  # Spark serves it to the executors
+    sc._brindle_shipped = True
+
+
 def _checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's spark.checkpoint.dir; fall back to a private folder only in local mode."""
     sc = spark.sparkContext
