@@ -733,6 +733,29 @@ def _(spark, d):
     return whole.groupBy(F.col("raw").alias("term")).agg(F.count(F.lit(1)).alias("cf"))
 
 
+_STEM_OF_NAME = r"regexp_replace(file_name, '(.)\.[^.]*$', '\1')"
+
+
+@_query("q_ingest", f"SELECT doc_id, coalesce(nullif(trim(title), ''), {_STEM_OF_NAME}, '') AS title, strlen(coalesce(content, '')) AS file_size FROM docs WHERE trim(coalesce(content, '')) <> '' OR file_name IS NOT NULL")
+def _(spark, d):
+    from brindle.sources.files import from_contents
+
+    made = from_contents(_docs(spark, d).select("doc_id", "title", "content", "date_added", "file_name"))
+    return made.select("doc_id", "title", "file_size")
+
+
+@_query("q_json_positions", f"{_WITH} SELECT doc_id, raw AS term, CAST(pos AS INT) AS pos FROM post WHERE raw IN ('vector', 'archive')")
+def _(spark, d):
+    nested = I.positions(I.hits(_docs(spark, d), ["vector", "archive"]).withColumn("term", F.col("raw")))
+    there_and_back = nested.select("doc_id", F.from_json(F.to_json("positions"), "map<string, array<int>>").alias("positions"))
+    return I.index_from_json(there_and_back).select("doc_id", "term", "pos")
+
+
+@_query("q_kgram_counts", f"{_ASCII_VOCAB} SELECT term, len({_bigrams('term')}) AS n FROM v")
+def _(spark, d):
+    return _vocab(spark, d).select("term", F.size(X.kgrams(F.col("term"))).cast("bigint").alias("n"))
+
+
 # ---- streaming ------------------------------------------------------------------------------------------------
 
 
@@ -754,6 +777,15 @@ def _(spark, d):
     return spark.table("stream_query_stats").select("query", "n_searches", "total_results")
 
 
+@_query("q_stream_once", "SELECT DISTINCT click_id FROM clicks")
+def _(spark, d):
+    from brindle.streaming import analytics as Z
+
+    clicks = Z.with_event_time(Z.read_log(spark, f"{d}/clicks.parquet"))
+    Z.run_to_table(Z.without_redelivery(clicks, "click_id").select("click_id"), "stream_once", "append").stop()
+    return spark.table("stream_once")
+
+
 @_query("q_stream_clicks", "SELECT doc_id, count(*) AS n_clicks FROM clicks WHERE doc_id IS NOT NULL GROUP BY 1")
 def _(spark, d):
     from brindle.streaming import analytics as Z
