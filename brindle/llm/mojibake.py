@@ -18,6 +18,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import codecs
 import re
 from functools import cache
 
@@ -134,25 +135,24 @@ def improbable_runs(information: np.ndarray, expected: float = -1.0, least: floa
 
 
 @cache
-def _tables() -> list[tuple[str, dict[int, int]]]:
-    """For each encoding that text is read in: code point -> byte, bytes it leaves undefined standing for themselves."""
+def _tables() -> list[tuple[str, object]]:
+    """For each encoding that text is read in its encoding map; bytes that it leaves undefined stand for themselves."""
     out = []
     for name in READ_AS:
-        table = {}
+        chars = []
         for b in range(256):
             try:
-                c = bytes([b]).decode(name)
+                chars.append(bytes([b]).decode(name))
             except UnicodeDecodeError:
-                c = chr(b)
-            table.setdefault(ord(c), b)
-        out.append((name, table))
+                chars.append(chr(b))
+        out.append((name, codecs.charmap_build("".join(chars))))
     return out
 
 
-def _encode(text: str, table: dict[int, int]) -> bytes | None:
+def _encode(text: str, table: object) -> bytes | None:
     try:
-        return bytes([table[ord(c)] for c in text])
-    except KeyError:
+        return codecs.charmap_encode(text, "strict", table)[0]
+    except UnicodeEncodeError:
         return None
 
 
@@ -206,8 +206,8 @@ class Repairer:
 
     MARGIN = 2.0  # bits that each character beyond ASCII of a garbled run must save by being restored
     SHORT = 12.0  # further bits, shared by them, that a reading by single bytes must save
-    FEW = 4  # characters beyond ASCII from which on readings by single bytes are tried
-    RARE = 7.0  # bits that the pairs of such a run must take on average: it is improbable throughout, not at one place
+    FEW = 2  # characters beyond ASCII from which on readings by single bytes are tried
+    RARE, RARE_SHORT, SHORTER = 7.0, 9.0, 4  # bits that the pairs of such a run must take on average, and of one of fewer than SHORTER
     MEMORY = 1 << 17
 
     def __init__(self, model: PairModel) -> None:
@@ -256,7 +256,8 @@ class Repairer:
             if not n:
                 break
             own = self.model.cost(before + text + after)
-            by_bytes = n >= self.FEW and own >= self.RARE * (len(text) + 1)
+            # improbable throughout, not only at one place
+            by_bytes = n >= self.FEW and own >= (self.RARE if n >= self.SHORTER else self.RARE_SHORT) * (len(text) + 1)
             saved = [((own - self.model.cost(before + t + after) - (right != "utf-8") * self.SHORT - (_control.search(t) is not None) * self.SHORT) / n, t, (wrong, right)) for wrong, right, t in _inverses(text, by_bytes)]
             gain, made, mapping = max(saved, default=(0.0, None, None))
             if made is None or gain < self.MARGIN:
