@@ -85,7 +85,7 @@ class Engine:
         return spell.correct_query(self.vocabulary(), query)
 
     def expand(self, terms: list[str], most: int = 3) -> list[str]:
-        return expand.expand_terms(self.spark, terms, most)
+        return expand.expand_terms(terms, most)
 
     # facets and figures
     def facets(self) -> DataFrame:

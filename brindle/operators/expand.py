@@ -92,7 +92,7 @@ def synonyms(terms: DataFrame, term_col: str = "term", dictionary: DataFrame | N
     return out.where("syn <> low").groupBy(F.col("asked").alias("term"), "syn").agg(F.min("place").cast("int").alias("ord"))
 
 
-def expand_terms(spark: SparkSession, terms: list[str], most: int = 3) -> list[str]:
+def expand_terms(terms: list[str], most: int = 3) -> list[str]:
     """The terms, then the first ``most`` synonyms of each, without repeats; for the handful of terms of one query."""
     return list(dict.fromkeys([*terms, *(s for t in terms for s in _ordered(t)[:most])]))
 

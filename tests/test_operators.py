@@ -153,7 +153,7 @@ def test_expansion(spark):
     assert got["search"][:7] == ["find", "query", "lookup", "seek", "locate", "retrieve", "request"]
     assert got["files"] == ["document", "record", "data"]
     assert "vector" not in got
-    assert expand.expand_terms(spark, ["search", "vector"]) == ["search", "vector", "find", "query", "lookup"]
+    assert expand.expand_terms(["search", "vector"]) == ["search", "vector", "find", "query", "lookup"]
     assert dict(rows(expand.expand(asked)))["vector"] == ["vector"]
     related = dict(rows(expand.related(asked)))
     assert related["vector"] == ["vectors", "vectored", "vectoring", "vectorer", "vectorly"] and len(related["search"]) == 10
