@@ -175,32 +175,20 @@ def _tags(text: str, block: Block) -> str:
     return html.unescape(text) if "&" in text else text
 
 
-def _formulas(text: str, block: Block, dollars: bool = True) -> str:
-    """Formulas are noted and taken out of the way of other marks by a placeholder; see ``_put_back``."""
-    kept: list[str] = []
+def _formulas(text: str, block: Block, dollars: bool = True) -> tuple[str, list[str]]:
+    """The text with formulas noted and taken out of the way of other marks, and what ``_put_back`` puts in their places."""
+    held: list[str] = []
 
     def keep(m: re.Match) -> str:
         _note(block, "formula")
-        kept.append(f"${next(g for g in m.groups() if g is not None).strip()}$")
-        return f"\ufdd1{len(kept) - 1}\ufdd2"
+        held.append(f"${next(g for g in m.groups() if g is not None).strip()}$")
+        return f"\ufdd1{len(held) - 1}\ufdd2"
 
     if "\\(" in text or "\\[" in text:
         text = _tex_inline.sub(keep, text)
     if dollars and "$" in text:
         text = _dollar.sub(keep, text)
-    block_kept = kept
-    return text if not block_kept else _Held(text, block_kept)
-
-
-class _Held(str):
-    """A text with placeholders for formulas."""
-
-    held: list[str]
-
-    def __new__(cls, text: str, held: list[str]) -> _Held:
-        self = super().__new__(cls, text)
-        self.held = held
-        return self
+    return text, held
 
 
 def _put_back(text: str, held: list[str]) -> str:
@@ -216,8 +204,7 @@ def _inline_markdown(text: str, block: Block, names: dict[str, str]) -> str:
 
     if "`" in text:
         text = _md_code.sub(keep, text)
-    text = _formulas(text, block)
-    held = getattr(text, "held", [])
+    text, held = _formulas(text, block)
     if "[" in text:
 
         def link(m: re.Match) -> str:
@@ -295,8 +282,7 @@ _tex_other = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?|[{}]")
 
 
 def _inline_latex(text: str, block: Block) -> str:
-    text = _formulas(text, block)
-    held = getattr(text, "held", [])
+    text, held = _formulas(text, block)
     if "\\" in text:
         if _tex_link.search(text):
             _note(block, "link")
@@ -356,8 +342,7 @@ def _blocks_html(text: str) -> list[Block]:
             continue
         if not tag:
             if "\\(" in piece or "\\[" in piece:
-                piece = _formulas(piece, fresh, dollars=False)
-                piece = _put_back(piece, getattr(piece, "held", []))
+                piece = _put_back(*_formulas(piece, fresh, dollars=False))
             fresh.text += piece
             continue
         if tag in ("pre", "style", "script") and not closing:
