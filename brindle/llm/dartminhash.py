@@ -98,12 +98,12 @@ class DartMinHash:
         self.k = k
         self.darts = k * np.log(k) + 2 * k
 
-    def _throw(self, regions: np.ndarray, first: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Darts first .. first + CHUNK - 1 of each region: coordinates, darts, and the last ranks; gaps between ranks are exponential.
+    def _throw(self, regions: np.ndarray, first: int, chunk: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Darts first .. first + chunk - 1 of each region: coordinates, darts, and the last ranks; gaps between ranks are exponential.
 
         A dart is its rank to 2^-20 above 22 bits of its name, as a whole number that a float holds exactly, so that the smaller dart is the earlier one.
         """
-        n = np.arange(first, first + self.CHUNK, dtype=np.uint64)
+        n = np.arange(first, first + chunk, dtype=np.uint64)
         names = _mix(regions[:, None] + (n + _U(1))[None, :] * _U(0xD6E8FEB86659FD93))
         ranks = np.cumsum(-np.log(((names >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53), axis=1)
         ranks += begin[:, None]
@@ -126,9 +126,9 @@ class DartMinHash:
             at = 0
             while at < len(order):
                 # records of similar reach together, as many darts at once as a processor's cache holds
-                size, stop = 0.0, at
-                while stop < len(order) and (stop == at or size < self.AT_ONCE):
-                    size += len(records[order[stop]]) * (reach[order[at]] + self.CHUNK)
+                width = reach[order[at]] + self._chunk(reach[order[at]])
+                size, stop = len(records[order[at]]) * width, at + 1
+                while stop < len(order) and (size := size + len(records[order[stop]]) * width) < self.AT_ONCE:
                     stop += 1
                 block = order[at:stop]
                 full = self._earliest([records[i] for i in block], reach[block], out, block)
@@ -138,6 +138,10 @@ class DartMinHash:
             reach[todo] *= 1.5
         return out
 
+    def _chunk(self, reach: float) -> int:
+        """Darts to throw at a time: few where only few regions have a dart within reach, as in very long records."""
+        return min(self.CHUNK, max(1, int(np.ceil(reach))))
+
     def _earliest(self, records: list[np.ndarray], reach: np.ndarray, out: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Fills the rows ``at`` of ``out``; tells which records have no empty coordinate."""
         lengths = np.array([len(r) for r in records])
@@ -146,19 +150,23 @@ class DartMinHash:
         limit = self._dart(np.repeat(reach, lengths))
         best = np.full(len(records) * self.k, _NONE)
         begin = np.zeros(len(regions))
-        live, first = np.arange(len(owner)), 0
+        live, first, chunk = np.arange(len(owner)), 0, self._chunk(float(reach.max()))
         while len(live):
-            aim, dart, begin = self._throw(regions, first, begin)
+            aim, dart, begin = self._throw(regions, first, chunk, begin)
             row = back[live]
             darts = np.take(dart, row, axis=0)
             hit = darts <= limit[live, None]
             places = np.flatnonzero(hit)
-            at_row = places // self.CHUNK
-            cell = np.take(aim, row[at_row] * self.CHUNK + places % self.CHUNK)
+            at_row = places // chunk
+            cell = np.take(aim, row[at_row] * chunk + places % chunk)
             cell += owner[live[at_row]]
             np.minimum.at(best, cell, np.take(darts, places))
             live = live[hit[:, -1]]
-            first += self.CHUNK
+            first += chunk
+            if chunk < self.CHUNK:  # few regions are left: the others need no further darts
+                left, place = np.unique(back[live], return_inverse=True)
+                regions, begin, back = regions[left], begin[left], np.zeros(len(owner), dtype=np.int64)
+                back[live] = place
         best = best.reshape(len(records), self.k)
         out[at] = np.where(best != _NONE, best, 0).astype(np.uint64)
         return (best != _NONE).all(axis=1)
