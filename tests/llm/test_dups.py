@@ -61,6 +61,21 @@ def test_classes(docs):
     assert dartminhash.classes_with_links(docs.limit(0), "doc_id", "content", 0.7).count() == 0
 
 
+def test_pairs_that_meet_stay_candidates(spark):
+    rows = []
+    for i in range(3000):  # 35 of 50 terms in common: similarity 0.7
+        shared = [f"s{i}x{j}" for j in range(35)]
+        rows += [(2 * i, " ".join(shared + [f"a{i}x{j}" for j in range(7)])), (2 * i + 1, " ".join(shared + [f"b{i}x{j}" for j in range(8)]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, content string")
+    regions = dartminhash.Regions()
+    of = [regions.of(t, 10) for _, t in rows]
+    names = dartminhash._short([dartminhash.class_of(r) for r in of]).tolist()
+    keys, _ = dartminhash._bands(dartminhash.DartMinHash(364).signatures(of), 7, 52)
+    meet = {tuple(sorted(names[2 * i : 2 * i + 2])) for i in range(3000) if (keys[2 * i] == keys[2 * i + 1]).any()}
+    got = {tuple(r) for r in dartminhash.candidate_pairs(dartminhash.band_rows(df, "doc_id", "content"), 0.7).collect()}
+    assert len(meet) > 2900 and len(meet - got) <= 3  # 0.1 %
+
+
 def test_signature_estimates_similarity():
     h = dartminhash.DartMinHash(512)
     regions = dartminhash.Regions()
