@@ -667,6 +667,19 @@ def _(spark, d):
     return docs.select("doc_id", H.highlight_content(F.col("content"), ["vector", "archive"]).alias("content"))
 
 
+# The SQL of q_match_positions and q_highlight_full leaves out documents beyond ASCII. These two take all; DuckDB has no Unicode word boundaries, so they have no SQL.
+
+
+@_query("q_match_positions_all")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.explode(H.match_positions(F.col("content"), ["vector"])).alias("m")).select("doc_id", F.col("m.start").alias("start"))
+
+
+@_query("q_highlight_full_all")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", H.highlight_content(F.col("content"), ["vector", "archive"]).alias("content"))
+
+
 @_query("q_truncate", "SELECT doc_id, CASE WHEN content IS NULL THEN '' WHEN length(content) <= 200 THEN content ELSE CASE WHEN c LIKE '% %' AND 200 - instr(reverse(c), ' ') > 160 THEN left(c, 200 - instr(reverse(c), ' ')) ELSE c END || '...' END AS text FROM (SELECT doc_id, content, left(content, 200) AS c FROM docs)")
 def _(spark, d):
     return _docs(spark, d).select("doc_id", X.truncate(F.col("content"), 200).alias("text"))
