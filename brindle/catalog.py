@@ -379,9 +379,15 @@ def _(spark, d):
 _ASCII_VOCAB = f"{_WITH}, v AS (SELECT DISTINCT raw AS term FROM post WHERE NOT regexp_matches(raw, '[^\\x00-\\x7F]'))"
 
 
+_WHOLE_VOCAB = f"{_WITH}, v AS (SELECT DISTINCT raw AS term FROM post)"
+
+
+def _whole_vocab(spark: SparkSession, d: str) -> DataFrame:
+    return I.raw_postings(_docs(spark, d)).select(F.col("raw").alias("term")).distinct()
+
+
 def _vocab(spark: SparkSession, d: str) -> DataFrame:
-    raw = I.raw_postings(_docs(spark, d)).select(F.col("raw").alias("term")).distinct()
-    return raw.where(~F.col("term").rlike("[^\\x00-\\x7F]"))
+    return _whole_vocab(spark, d).where(~F.col("term").rlike("[^\\x00-\\x7F]"))
 
 
 def _bigrams(word: str) -> str:
@@ -391,19 +397,31 @@ def _bigrams(word: str) -> str:
 _JACCARD = f"len(list_intersect(list_distinct({_bigrams('term')}), list_distinct({_bigrams('word')}))) / CAST(len(list_distinct(list_concat({_bigrams('term')}, {_bigrams('word')}))) AS DOUBLE)"
 
 
+def _edit_distance(vocab: DataFrame) -> DataFrame:
+    return vocab.select("term", X.edit_distance(F.col("term"), F.lit("vectr")).cast("bigint").alias("distance"))
+
+
 @_query("q_edit_distance", f"{_ASCII_VOCAB} SELECT term, levenshtein(term, 'vectr') AS distance FROM v")
 def _(spark, d):
-    return _vocab(spark, d).select("term", X.edit_distance(F.col("term"), F.lit("vectr")).cast("bigint").alias("distance"))
+    return _edit_distance(_vocab(spark, d))
+
+
+def _edit_distance_capped(vocab: DataFrame) -> DataFrame:
+    return vocab.select("term", X.edit_distance(F.col("term"), F.lit("vectr"), 3).cast("bigint").alias("distance"))
 
 
 @_query("q_edit_distance_capped", f"{_ASCII_VOCAB} SELECT term, least(levenshtein(term, 'vectr'), 4) AS distance FROM v")
 def _(spark, d):
-    return _vocab(spark, d).select("term", X.edit_distance(F.col("term"), F.lit("vectr"), 3).cast("bigint").alias("distance"))
+    return _edit_distance_capped(_vocab(spark, d))
+
+
+def _jaccard(vocab: DataFrame) -> DataFrame:
+    return vocab.select("term", F.round(X.jaccard(F.col("term"), F.lit("vectr")), 6).alias("similarity"))
 
 
 @_query("q_jaccard", f"{_ASCII_VOCAB} SELECT term, round({_JACCARD}, 6) AS similarity FROM (SELECT term, 'vectr' AS word FROM v)")
 def _(spark, d):
-    return _vocab(spark, d).select("term", F.round(X.jaccard(F.col("term"), F.lit("vectr")), 6).alias("similarity"))
+    return _jaccard(_vocab(spark, d))
 
 
 def _suggest_sql(words: list[str]) -> str:
@@ -417,10 +435,18 @@ all_of AS (SELECT * FROM scored UNION ALL SELECT word, word, 0, 0.0, 1.0 FROM w
 ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, edit_distance, term) AS rank FROM all_of)"""
 
 
+def _spell_suggest(vocab: DataFrame) -> DataFrame:
+    found = P.suggestions(vocab, ["vectr", "bukcet", "vector"], 5)
+    return found.select("word", "term", F.col("edit_distance").cast("bigint").alias("edit_distance"), F.round("jaccard", 6).alias("jaccard"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @_query("q_spell_suggest", f"{_suggest_sql(['vectr', 'bukcet', 'vector'])} SELECT word, term, edit_distance, jaccard, score, rank FROM ranked WHERE rank <= 5")
 def _(spark, d):
-    found = P.suggestions(_vocab(spark, d), ["vectr", "bukcet", "vector"], 5)
-    return found.select("word", "term", F.col("edit_distance").cast("bigint").alias("edit_distance"), F.round("jaccard", 6).alias("jaccard"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return _spell_suggest(_vocab(spark, d))
+
+
+def _correct_query(vocab: DataFrame) -> DataFrame:
+    return P.correct_query(vocab, "vectr archive bukcet").select("corrected_query", "has_corrections")
 
 
 @_query(
@@ -430,12 +456,16 @@ def _(spark, d):
     "SELECT string_agg(coalesce(b.term, q.word), ' ' ORDER BY nth) AS corrected_query, bool_or(b.term IS NOT NULL AND b.term <> q.word) AS has_corrections FROM q LEFT JOIN best b USING (word)",
 )
 def _(spark, d):
-    return P.correct_query(_vocab(spark, d), "vectr archive bukcet").select("corrected_query", "has_corrections")
+    return _correct_query(_vocab(spark, d))
+
+
+def _did_you_mean(vocab: DataFrame) -> DataFrame:
+    return S.did_you_mean(vocab, "vectr").select("term", F.col("edit_distance").cast("bigint").alias("edit_distance"), F.round("score", 6).alias("score"))
 
 
 @_query("q_did_you_mean", f"{_suggest_sql(['vectr'])} SELECT term, edit_distance, score FROM ranked WHERE rank = 1 AND edit_distance <= 2")
 def _(spark, d):
-    return S.did_you_mean(_vocab(spark, d), "vectr").select("term", F.col("edit_distance").cast("bigint").alias("edit_distance"), F.round("score", 6).alias("score"))
+    return _did_you_mean(_vocab(spark, d))
 
 
 _ASKED = ["search", "data", "big", "running", "system", "vector"]
@@ -764,9 +794,51 @@ def _(spark, d):
     return I.index_from_json(there_and_back).select("doc_id", "term", "pos")
 
 
+def _kgram_counts(vocab: DataFrame) -> DataFrame:
+    return vocab.select("term", F.size(X.kgrams(F.col("term"))).cast("bigint").alias("n"))
+
+
 @_query("q_kgram_counts", f"{_ASCII_VOCAB} SELECT term, len({_bigrams('term')}) AS n FROM v")
 def _(spark, d):
-    return _vocab(spark, d).select("term", F.size(X.kgrams(F.col("term"))).cast("bigint").alias("n"))
+    return _kgram_counts(_vocab(spark, d))
+
+
+# The SQL above takes the terms of ASCII letters only, since DuckDB's levenshtein counts bytes. These take the whole vocabulary, with SQL where it counts characters.
+
+
+@_query("q_edit_distance_all")
+def _(spark, d):
+    return _edit_distance(_whole_vocab(spark, d))
+
+
+@_query("q_edit_distance_capped_all")
+def _(spark, d):
+    return _edit_distance_capped(_whole_vocab(spark, d))
+
+
+@_query("q_jaccard_all", f"{_WHOLE_VOCAB} SELECT term, round({_JACCARD}, 6) AS similarity FROM (SELECT term, 'vectr' AS word FROM v)")
+def _(spark, d):
+    return _jaccard(_whole_vocab(spark, d))
+
+
+@_query("q_spell_suggest_all")
+def _(spark, d):
+    return _spell_suggest(_whole_vocab(spark, d))
+
+
+@_query("q_correct_query_all")
+def _(spark, d):
+    return _correct_query(_whole_vocab(spark, d))
+
+
+@_query("q_did_you_mean_all")
+def _(spark, d):
+    return _did_you_mean(_whole_vocab(spark, d))
+
+
+@_query("q_kgram_counts_all", f"{_WHOLE_VOCAB} SELECT term, len({_bigrams('term')}) AS n FROM v")
+def _(spark, d):
+    return _kgram_counts(_whole_vocab(spark, d))
 
 
 # ---- streaming ------------------------------------------------------------------------------------------------

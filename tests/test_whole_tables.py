@@ -1,5 +1,7 @@
 """Queries over all of a table, where the SQL of their namesakes leaves a part out: by hand and by brute force on small tables."""
 
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as entry
@@ -32,3 +34,53 @@ def test_highlight(spark, folder):
     assert marked[2] == "\u0648vector vector\u06f1 <mark>vector</mark>\u060c"
     assert marked[3] == "stra\u00dfe \u2013 <mark>archive</mark> \u00fcber <mark>VECTOR</mark>"
     assert marked[4] == "\u0130stanbul <mark>vector</mark>" and marked[5] is None and marked[6] == ""
+
+
+# ---- vocabulary
+
+WORDS = ["vectr\u00e9", "\u00fcber", "\u0648\u0698\u0647", "vektor", "v\u00e9ctr", "archive", "na\u00efve"]
+
+
+@pytest.fixture(scope="module")
+def words(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("words"))
+    spark.createDataFrame([(1, "", " ".join(WORDS))], "doc_id bigint, title string, content string").write.parquet(f"{path}/docs.parquet")
+    return path
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def grams(term):
+    return [f"${term}$"[i : i + 2] for i in range(len(term) + 1)]
+
+
+def likeness(a, b):
+    x, y = set(grams(a)), set(grams(b))
+    return len(x & y) / len(x | y)
+
+
+def test_whole_vocabulary(spark, words):
+    assert rows(spark, words, "q_edit_distance_all") == sorted((w, distance(w, "vectr")) for w in WORDS)
+    assert rows(spark, words, "q_edit_distance_capped_all") == sorted((w, min(4, distance(w, "vectr"))) for w in WORDS)
+    assert rows(spark, words, "q_jaccard_all") == sorted((w, round(likeness(w, "vectr"), 6)) for w in WORDS)
+    assert rows(spark, words, "q_kgram_counts_all") == sorted((w, len(w) + 1) for w in WORDS)
+
+
+def test_suggestions_beyond_ascii(spark, words):
+    def best(word):
+        shared = {w: sum(n for g, n in Counter(grams(word)).items() if g in grams(w)) for w in WORDS}
+        near = [w for w in WORDS if abs(len(w) - len(word)) <= 3 and shared[w] >= max(1, (len(word) + 1) // 4) and distance(w, word) <= 3]
+        scored = sorted((-round(1 / (1 + distance(w, word)) * (0.5 + 0.5 * likeness(w, word)), 6), distance(w, word), w) for w in near)
+        return [(w, d, -score) for score, d, w in scored[:5]]
+
+    got = [r for r in rows(spark, words, "q_spell_suggest_all") if r[0] == "vectr"]
+    assert [(r[1], r[2], r[4]) for r in sorted(got, key=lambda r: r[5])] == best("vectr")
+    assert rows(spark, words, "q_did_you_mean_all") == [best("vectr")[0]] and not best("vectr")[0][0].isascii()
+    assert rows(spark, words, "q_correct_query_all") == [(f"{best('vectr')[0][0]} archive bukcet", True)]
