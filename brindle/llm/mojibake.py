@@ -1,12 +1,13 @@
 """Garbled text from a wrong character encoding (problem 10).
 
-1. Every record throws its distinct adjacent character pairs and characters into a table of fixed size; the table gives in what
-   share of all records a pair and its two characters occur. The score of a pair is its pointwise mutual
+1. Every distinct text throws its distinct adjacent character pairs and characters into a table of fixed size; the table gives in what
+   share of all texts a pair and its two characters occur. Stretches beyond ASCII that decode to plausible UTF-8 are left out, so that however
+   frequent they are they do not vouch for themselves. The score of a pair is its pointwise mutual
    information over records, with the characters' shares floored: without the floor, characters that occur only in garbled
    records would vouch for each other.
 2. In each record with a character beyond ASCII (a text without any was not changed by any encoding treated
    here) improbable pairs score positive and probable ones negative, and maximum-scoring segments isolate the
-   improbable runs. Replacement characters between letters are a run by themselves, found but not restorable.
+   improbable runs; stretches that decode to plausible UTF-8 are runs, too, whatever their score. Replacement characters between letters are a run by themselves, found but not restorable.
 3. Inverse mappings are tested inside those runs only: encode with the wrong encoding, decode with the right one. A mapping holds
    if the restored run, read with its neighbours, is more probable by a margin; mappings are repeated for text that was garbled more than
    once. A mapping into UTF-8 that holds in one place is tried on the record's other stretches, too. Bytes that no longer make sense
@@ -56,23 +57,31 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def pair_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(cell, n): in how many records each pair cell and each character (behind the pair cells) occurs."""
+def pair_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """(cell, n): in how many distinct texts each pair cell and each character (behind the pair cells) occurs, outside suspect stretches."""
 
     def run(batches):
+        suspects = Suspects()
         counts = np.zeros(CELLS + _CHARS, dtype=np.int32)
         records = 0
         for batch in batches:
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).to_pylist():
                 if text:
                     codes = _codes(f" {text} ")
-                    counts[np.unique(_cells(codes))] += 1
+                    cells = _cells(codes)
+                    if not text.isascii() and (found := suspects.of(text)):
+                        outside = np.ones(len(codes), dtype=bool)
+                        for start, end in found:
+                            outside[start + 1 : end + 1] = False
+                        cells, codes = cells[outside[:-1] & outside[1:]], codes[outside]
+                    counts[np.unique(cells)] += 1
                     counts[CELLS + np.unique(codes).astype(np.int64)] += 1
                     records += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], records).astype(np.int64))], ["cell", "n"])
 
-    return map_batches(named(df, id_col, text_col), run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    texts = df.select(F.col(f"`{text_col}`").alias("text")).where("text <> ''").distinct()
+    return map_batches(texts, run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 class PairModel:
@@ -176,6 +185,67 @@ def _inverses(run: str, by_bytes: bool) -> list[tuple[str, str, str]]:
     return out
 
 
+_pair_of_stretch = re.compile(r"[^\x00-\x7f]{2,}")
+
+
+class Suspects:
+    """Stretches beyond ASCII that decode to plausible UTF-8 from an encoding that text is read in by mistake; no share of records enters.
+
+    A single character is plausible as Latin, Cyrillic, Greek, Arabic or common punctuation, and several of any script. Words of single-byte
+    alphabets and box drawings can be valid UTF-8 by chance: letters alone that give one character, and signs alone that give Latin
+    letters and touch none, are not suspect.
+    """
+
+    MEMORY = 1 << 16
+
+    def __init__(self) -> None:
+        self._known: dict[tuple[str, bool, bool], bool] = {}
+        self._never: set[str] = set()  # stretches that decode to nothing
+
+    def of(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the suspect stretches of a text."""
+        out = []
+        for m in _pair_of_stretch.finditer(text):
+            if m[0] in self._never:
+                continue
+            start, end = m.span()
+            key = (m[0], start > 0 and text[start - 1].isalpha(), end < len(text) and text[end].isalpha())
+            if key not in self._known:
+                if len(self._known) > self.MEMORY:
+                    self._known.clear()
+                if not _inverses(m[0], False):
+                    if len(self._never) > self.MEMORY:
+                        self._never.clear()
+                    self._never.add(m[0])
+                    continue
+                self._known[key] = self._suspect(*key)
+            if self._known[key]:
+                out.append((start, end))
+        return out
+
+    def _suspect(self, stretch: str, after_letter: bool, before_letter: bool) -> bool:
+        letters = [c.isalpha() for c in stretch]
+        for _, _, text in _inverses(stretch, False):
+            if _control.search(text):
+                if self._suspect(text, after_letter, before_letter):  # garbled more than once
+                    return True
+                continue
+            latin = all(ord(c) < 0x250 for c in text)
+            if len(text) > 1:
+                if any(map(str.isalpha, text)) and (any(letters) or after_letter or before_letter or not latin):
+                    return True
+            elif not all(letters) and self._plausible(text, before_letter) and (letters[0] or (text.isalpha() and (after_letter or before_letter or not latin))):
+                return True
+        return False
+
+    @staticmethod
+    def _plausible(char: str, before_letter: bool) -> bool:
+        code = ord(char)
+        if 0x100 <= code < 0x180:  # a capital and a closing quotation mark look the same at the end of a word
+            return before_letter
+        return 0xA0 <= code < 0x100 or 0x386 <= code < 0x3CF or 0x400 <= code < 0x460 or 0x60C <= code < 0x6D0 or 0x2010 <= code < 0x203B or code in (0x20AC, 0x2122)
+
+
 def _undone(run: str, path: tuple[tuple[str, str], ...]) -> str | None:
     """The run after a known sequence of mappings, or None where it does not allow them."""
     tables = dict(_tables())
@@ -213,6 +283,7 @@ class Repairer:
     def __init__(self, model: PairModel) -> None:
         self.model = model
         self._known: dict[tuple[str, str, str], tuple[str, tuple[Path, ...]] | None] = {}
+        self._suspects = Suspects()
 
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Improbable runs of a text as character ranges, with at least one character beyond ASCII in each."""
@@ -235,7 +306,9 @@ class Repairer:
                 out[-1] = (out[-1][0], max(end, out[-1][1]))
             else:
                 out.append((start, end))
-        return out
+        # a run takes in whole stretches, so a suspect one lies in a run or apart from all
+        apart = [(a, b) for a, b in self._suspects.of(text) if not any(start <= a < end for start, end in out)]
+        return sorted(out + apart)
 
     def restored(self, run: str, before: str = " ", after: str = " ") -> tuple[str, tuple[Path, ...]] | None:
         """The run as it was written and the mappings used, or None where no mapping makes it more probable."""
@@ -246,7 +319,13 @@ class Repairer:
             if len(self._known) > self.MEMORY:
                 self._known.clear()
             whole = self._best(before, run, after)
-            self._known[key] = (whole[0], (whole[1],)) if whole else self._by_stretches(before, run, after)
+            found = (whole[0], (whole[1],)) if whole else self._by_stretches(before, run, after)
+            if whole and any(right != "utf-8" for _, right in whole[1]) and self._suspects.of(run):
+                # suspect stretches are rare by construction, so that single bytes may seem right for a run that is garbled in part
+                other = self._by_stretches(before, run, after)
+                if other and self.model.cost(before + other[0] + after) < self.model.cost(before + whole[0] + after):
+                    found = other
+            self._known[key] = found
         return self._known[key]
 
     def _best(self, before: str, run: str, after: str) -> tuple[str, Path] | None:
@@ -296,7 +375,15 @@ class Repairer:
         return _stretch.sub(one, text)
 
     def examine(self, text: str | None) -> tuple[bool, str | None]:
-        """(whether the text holds a garbled run, the text with what could be restored)."""
+        """(whether the text holds a garbled run, the text with what could be restored); a restored text is read again, as it may hold more."""
+        garbled, made = self._examine(text)
+        for _ in range(2 if made != text else 0):
+            text, (_, made) = made, self._examine(made)
+            if made == text:
+                break
+        return garbled, made
+
+    def _examine(self, text: str | None) -> tuple[bool, str | None]:
         if not text or text.isascii():
             return False, text
         parts, paths, at = [], {}, 0
@@ -314,15 +401,15 @@ class Repairer:
         return True, "".join(t if done or not sure else self._rest(t, sure) for done, t in parts)
 
 
-def model_of(df: DataFrame, id_col: str, text_col: str) -> PairModel:
+def model_of(df: DataFrame, text_col: str) -> PairModel:
     """The pair model of a corpus. The driver gets at most CELLS plus the number of characters counters."""
-    counted = pair_counts(df, id_col, text_col).toPandas()
+    counted = pair_counts(df, text_col).toPandas()
     return PairModel(counted["cell"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
 
 
 def repair(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, garbled BOOLEAN, text) of every row: the text with its garbled runs restored where possible."""
-    model = df.sparkSession.sparkContext.broadcast(model_of(df, id_col, text_col))
+    model = df.sparkSession.sparkContext.broadcast(model_of(df, text_col))
 
     def run(batches):
         repairer = Repairer(model.value)

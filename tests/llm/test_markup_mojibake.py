@@ -125,6 +125,20 @@ def test_found_and_restored(spark):
     assert mojibake.repair(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [3, 10])
+@pytest.mark.parametrize("copies", [True, False])
+@pytest.mark.parametrize("wrong", ["latin-1", "cp1251", "cp437"])
+def test_frequent_garbling_is_found(spark, share, copies, wrong):
+    texts = clean_texts()
+    n = len(texts) // (share - 1)
+    sources = [texts[2]] * n if copies else [texts[4 * (i // 2) + 2 * (i % 2)] for i in range(n)]
+    rows = list(enumerate(texts + [f"{i if not copies else ''} {t}".encode().decode(wrong) for i, t in enumerate(sources)]))
+    got = {r.doc_id: (r.garbled, r.text) for r in mojibake.repair(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i for i, (g, _) in got.items() if g} == set(range(len(texts), len(rows)))
+    wanted = [f"{i if not copies else ''} {t}" for i, t in enumerate(sources)]
+    assert sum(got[len(texts) + i][1] == t for i, t in enumerate(wanted)) >= 0.9 * n
+
+
 def test_runs_are_maximal_scoring():
     import numpy as np
 
