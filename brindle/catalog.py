@@ -768,11 +768,24 @@ def _(spark, d):
     return docs.select("doc_id", F.date_format("date_added", "yyyy-MM").alias("month"), size.alias("size"))
 
 
+def _shown_sql(unit: int, name: str) -> str:
+    return rf"regexp_replace(printf('%.2f', ((file_size * 200 + {unit}) // (2 * {unit})) / 100.0), '\.?0+$', '') || ' {name}'"
+
+
+_SHOWN = " ".join(f"WHEN file_size < {1024 ** (i + 2)} THEN {_shown_sql(1024 ** (i + 1), u)}" for i, u in enumerate(("KB", "MB", "GB")))
+
+
+@_query("q_display_sizes", f"SELECT doc_id, CASE WHEN file_size <= 0 THEN '0 B' WHEN file_size < 1024 THEN file_size || ' B' {_SHOWN} ELSE {_shown_sql(1024**4, 'TB')} END AS size FROM docs")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", X.human_size(F.col("file_size")).alias("size"))
+
+
 @_query("q_index_add", f"{_WITH} SELECT raw AS term, count(*) AS cf FROM post GROUP BY raw")
 def _(spark, d):
     docs = _docs(spark, d)
-    part = I.raw_postings(docs.where("file_name is null"))
-    whole = part.unionByName(I.remove_documents(I.raw_postings(docs), docs.where("file_name is null")))
+    # of the documents added, those with an even id are in the index already and are replaced
+    index = I.postings(docs.where("file_name is not null or doc_id % 2 = 0"))
+    whole = I.add_documents(index, docs.where("file_name is null"))
     return whole.groupBy(F.col("raw").alias("term")).agg(F.count(F.lit(1)).alias("cf"))
 
 

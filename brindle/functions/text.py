@@ -135,7 +135,7 @@ def human_size(size: Column) -> Column:
     for step in range(len(units) - 1, -1, -1):
         shown = F.concat(F.regexp_replace(F.format_string("%.2f", size / float(1024**step)), r"\.?0+$", ""), F.lit(f" {units[step]}"))
         out = shown if out is None else F.when(size < 1024 ** (step + 1), shown).otherwise(out)
-    return F.when(size <= 0, F.lit("0 B")).otherwise(out)
+    return F.when(size <= 0, F.lit("0 B")).when(size.isNotNull(), out)
 
 
 def preview(text: Column, length: int = 220) -> Column:

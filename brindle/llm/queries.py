@@ -22,6 +22,10 @@ def p1_canonical_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.canonical(table(spark, sf_dir, "searches"), "event_id", "query")
 
 
+def p1_canonical_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canon.canonical(table(spark, sf_dir, "docs"), "doc_id", "content")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_terms(spark, sf_dir).where("mark is not null").select("term", "mark")
 
@@ -76,6 +80,10 @@ def p7_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse.collapse(table(spark, sf_dir, "searches"), "event_id", "query", ("ts", "result_count", "search_time_ms"))
 
 
+def p7_collapsed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse.collapse(table(spark, sf_dir, "query_stats"), "stat_id", "query", ("instance_id",))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -97,8 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_canonical_queries, p2_found, p2_terms, p3_found, p3_classes, p4_found, p4_scores, p5_found, p5_clean, p6_found, p6_top,
-            p7_found, p7_collapsed, p8_ids, p9_packed, p10_found, p10_repaired,
+            p1_found, p1_canonical_queries, p1_canonical_docs, p2_found, p2_terms, p3_found, p3_classes, p4_found, p4_scores, p5_found, p5_clean, p6_found, p6_top,
+            p7_found, p7_collapsed, p7_collapsed_stats, p8_ids, p9_packed, p10_found, p10_repaired,
         )
     }
 
@@ -142,6 +150,11 @@ WITH s AS (SELECT event_id, ts, result_count, search_time_ms, {_MARKER} AS marke
 SELECT min(event_id) AS keep_id, count(*) AS copies FROM s GROUP BY {_CANON}, ts, result_count, search_time_ms
 UNION ALL SELECT event_id, 1 FROM searches WHERE query IS NULL"""
 
+_COLLAPSED_STATS = f"""
+WITH q AS (SELECT stat_id, instance_id, {_MARKER} AS marked FROM query_stats WHERE query IS NOT NULL)
+SELECT min(stat_id) AS keep_id, count(*) AS copies FROM q GROUP BY {_CANON}, instance_id
+UNION ALL SELECT stat_id, 1 FROM query_stats WHERE query IS NULL"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -152,4 +165,5 @@ def oracle_sql() -> dict[str, str]:
         "p6_top": _FREQUENT,
         "p7_found": _COPIES,
         "p7_collapsed": _COLLAPSED,
+        "p7_collapsed_stats": _COLLAPSED_STATS,
     }

@@ -84,3 +84,26 @@ def test_suggestions_beyond_ascii(spark, words):
     assert [(r[1], r[2], r[4]) for r in sorted(got, key=lambda r: r[5])] == best("vectr")
     assert rows(spark, words, "q_did_you_mean_all") == [best("vectr")[0]] and not best("vectr")[0][0].isascii()
     assert rows(spark, words, "q_correct_query_all") == [(f"{best('vectr')[0][0]} archive bukcet", True)]
+
+
+def test_all_sizes(spark, tmp_path):
+    sizes = [0, 1023, 1024, 1536, 5 * 1024**2, 7 * 1024**3 // 2, 2 * 1024**4, None]
+    spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, file_size bigint").write.parquet(f"{tmp_path}/docs.parquet")
+    assert [r[1] for r in rows(spark, str(tmp_path), "q_display_sizes")] == ["0 B", "1023 B", "1 KB", "1.5 KB", "5 MB", "3.5 GB", "2 TB", None]
+
+
+def test_index_add_goes_through_add_documents(spark, folder, monkeypatch, tmp_path):
+    from brindle.operators import index
+
+    called, add = [], index.add_documents
+    monkeypatch.setattr(index, "add_documents", lambda *a: called.append(1) or add(*a))
+    spark.createDataFrame([(1, "", "alpha", None), (2, "", "alpha beta", None), (3, "", "beta", "x.md")], "doc_id bigint, title string, content string, file_name string").write.parquet(f"{tmp_path}/docs.parquet")
+    assert rows(spark, str(tmp_path), "q_index_add") == [("alpha", 2), ("beta", 2)] and called
+
+
+def test_other_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "\uff21 b"), (2, None)], "doc_id bigint, content string").write.parquet(f"{tmp_path}/docs.parquet")
+    assert len(rows(spark, str(tmp_path), "p1_canonical_docs")) == 2
+    stats = [(1, "A  b", 7), (2, "a b", 7), (3, "a b", 8), (4, None, 7)]
+    spark.createDataFrame(stats, "stat_id bigint, query string, instance_id bigint").write.parquet(f"{tmp_path}/query_stats.parquet")
+    assert rows(spark, str(tmp_path), "p7_collapsed_stats") == [(1, 2), (3, 1), (4, 1)]
