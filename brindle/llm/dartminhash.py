@@ -8,7 +8,8 @@ whatever the record's size, and each coordinate keeps its earliest dart; where a
 further darts. Two records keep the same dart at a coordinate with a probability equal to their similarity.
 
 Candidates come from banded joining: ``rows`` coordinates make a band, and records meet where a band is
-equal. Exact copies (equal term counts, a 128-bit fingerprint) are one class from the start: a band row names the class, a task
+equal. Exact copies (equal term counts, by the first 64 bits of a 128-bit fingerprint; different texts that agree there count as copies,
+about 3 % for one such event among 10^9 texts) are one class from the start: a band row names the class, a task
 sends each class once, and copies never meet each other as pairs. With each band row go 64 one-bit coordinates
 from other bands, and with the first band's row one bit of every coordinate, the sketch. A pair must agree in enough of the 64 in any one band in
 which it meets, then in enough of its sketches, where each coordinate counts once. Every remaining pair of classes is then
