@@ -7,7 +7,6 @@ and hyphen-minus in the lower-cased text that holds at least one letter. A null
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import cache
 
@@ -30,24 +29,31 @@ def _is_term_char(code: int) -> bool:
     return kind[0] == "L" or kind in ("Mn", "Nd", "Pc") or code == 0x2D
 
 
+# Planes beyond the basic one that hold letters, marks or digits: 1 to 3, and the variation selectors of plane 14; the rest is unassigned or private.
+_BEYOND = ((0x10000, 0x40000), (0xE0000, 0xE1000))
+
+
 @cache
 def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     """Runs in the basic plane, runs in any plane, and a test for a code point beyond the basic plane."""
     basic = _ranges(_is_term_char, 0, 0x10000)
-    rest = _ranges(_is_term_char, 0x10000, sys.maxunicode + 1)
+    rest = "".join(_ranges(_is_term_char, *plane) for plane in _BEYOND)
     return re.compile(f"[{basic}]+"), re.compile(f"[{basic}{rest}]+"), re.compile("[\U00010000-\U0010ffff]")
 
 
 _has_letter = re.compile(r"[^\W\d_]").search
 
 
+def has_letter(piece: str) -> bool:
+    # \w without digits and underscore still admits No/Nl characters, which are no letters
+    return _has_letter(piece) is not None and any(unicodedata.category(c)[0] == "L" for c in piece)
+
+
 class _Lettered(dict):
     """Whether a piece holds a letter, found out once for each piece."""
 
     def __missing__(self, piece: str) -> bool:
-        # \w without digits and underscore still admits No/Nl characters, which are no letters
-        found = _has_letter(piece) is not None and any(unicodedata.category(c)[0] == "L" for c in piece)
-        self[piece] = found
+        self[piece] = found = has_letter(piece)
         return found
 
 
@@ -60,11 +66,15 @@ class TermSplitter:
         self._basic, self._any, self._astral = _patterns()
         self._known = _Lettered()
 
-    def split(self, text: str | None) -> list[str]:
+    def pieces(self, text: str | None) -> list[str]:
+        """The runs of term characters, those without any letter, which are no terms, among them."""
         if not text:
             return []
         text = text.lower()
         run = self._basic if text.isascii() or not self._astral.search(text) else self._any
+        return run.findall(text)
+
+    def split(self, text: str | None) -> list[str]:
         if len(self._known) > self.LIMIT:
             self._known.clear()
-        return list(filter(self._known.__getitem__, run.findall(text)))
+        return list(filter(self._known.__getitem__, self.pieces(text)))

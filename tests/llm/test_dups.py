@@ -61,19 +61,76 @@ def test_classes(docs):
     assert dartminhash.classes_with_links(docs.limit(0), "doc_id", "content", 0.7).count() == 0
 
 
+def meeting(signatures):
+    keys = dartminhash.band_keys(signatures, 7, 52)
+    return (keys[::2] == keys[1::2]).any(axis=1)
+
+
 def test_pairs_that_meet_stay_candidates(spark):
     rows = []
     for i in range(3000):  # 35 of 50 terms in common: similarity 0.7
         shared = [f"s{i}x{j}" for j in range(35)]
         rows += [(2 * i, " ".join(shared + [f"a{i}x{j}" for j in range(7)])), (2 * i + 1, " ".join(shared + [f"b{i}x{j}" for j in range(8)]))]
     df = spark.createDataFrame(rows, "doc_id bigint, content string")
-    regions = dartminhash.Regions()
-    of = [regions.of(t, 10) for _, t in rows]
-    names = dartminhash._short([dartminhash.class_of(r) for r in of]).tolist()
-    keys, _ = dartminhash._bands(dartminhash.DartMinHash(364).signatures(of), 7, 52)
-    meet = {tuple(sorted(names[2 * i : 2 * i + 2])) for i in range(3000) if (keys[2 * i] == keys[2 * i + 1]).any()}
-    got = {tuple(r) for r in dartminhash.candidate_pairs(dartminhash.band_rows(df, "doc_id", "content"), 0.7).collect()}
+    regions = list(dartminhash.Regions().of_all([t for _, t in rows], 10))
+    meet = {(2 * i, 2 * i + 1) for i in np.flatnonzero(meeting(dartminhash.DartMinHash(364).signatures(regions))).tolist()}
+    signed = dartminhash.signed(df, "doc_id", "content").where("bands is not null").cache()
+    got = {tuple(r) for r in dartminhash.candidate_pairs(signed, 0.7).collect()}
     assert len(meet) > 2900 and len(meet - got) <= 3  # 0.1 %
+    assert meet <= {tuple(r) for r in dartminhash.candidate_pairs(signed, 0.7, slack=None).collect()}
+
+
+def test_bits_around_a_band():
+    # the numbers that the JVM cuts out of a sketch are those of the coordinates behind the band
+    signatures = dartminhash.DartMinHash(364).signatures([dartminhash.Regions().of(" ".join(f"x{i}" for i in range(40)), 1)])
+    bits = (dartminhash._mix(signatures[0]) & np.uint64(1)).tolist()
+    words = [int(w) for w in dartminhash.sketches(signatures)[0]]
+    whole = "".join(f"{w:064b}" for w in words)
+    for band in range(52):
+        first = (band + 1) * 7 % 364
+        assert [int(c) for c in whole[first : first + 64]] == [bits[(first + j) % 364] for j in range(64)]
+
+
+def test_bits_are_cut_in_the_jvm_as_in_python(spark):
+    df = spark.createDataFrame([(1, " ".join(f"x{i}" for i in range(40)))], "doc_id bigint, content string")
+    row = dartminhash.signed(df, "doc_id", "content").cache()
+    whole = "".join(f"{w % 2**64:064b}" for w in row.first().sketch)
+    got = {r.key: r.bits for r in dartminhash.band_rows(row).collect()}
+    keys = row.first().bands
+    assert {k: f"{got[k] % 2**64:064b}" for k in keys} == {k: whole[(b + 1) * 7 % 364 :][:64] for b, k in enumerate(keys)}
+
+
+def test_a_full_band_is_dealt_out(spark):
+    # 100,000 classes in one band and others of their own; every cell holds a bounded number of rows
+    n = 100_000
+    band = spark.range(n).select(F.lit(7).cast("bigint").alias("key"), F.col("id").alias("class"), F.lit(100).cast("smallint").alias("size"), F.xxhash64("id").alias("bits"))
+    alone = band.withColumn("key", F.col("class") + 100)
+    hot = dartminhash._hot_keys(band.unionByName(alone))
+    assert [tuple(r) for r in hot.collect()] == [(7, n)]
+    left, right = dartminhash._grid(band.join(hot, "key"))
+    for side in (left, right):
+        cells = side.groupBy("key", "i", "j").count()
+        most, number = cells.agg(F.max("count"), F.count(F.lit(1))).first()
+        assert most < 1.2 * dartminhash.BLOCK and number == 25 * 26 // 2
+    assert hot.count() == 1 and dartminhash._hot_keys(alone) is None
+
+
+def test_pairs_of_a_full_band(spark, monkeypatch):
+    # the classes of one band: i and i + 1000 agree in all bits, others hardly
+    monkeypatch.setattr(dartminhash, "HOT", 1500)
+    monkeypatch.setattr(dartminhash, "BLOCK", 100)
+    band = spark.range(2000).select(F.lit(7).cast("bigint").alias("key"), F.col("id").alias("class"), F.lit(100).cast("smallint").alias("size"), F.xxhash64(F.col("id") % 1000).alias("bits"))
+    got = [tuple(r) for r in dartminhash.meeting_pairs(band, 0.9).collect()]
+    assert len(got) == len(set(got)) and {(i, i + 1000) for i in range(1000)} <= set(got)
+    assert dartminhash.meeting_pairs(band, 0.9, None).count() == 2000 * 1999 // 2
+
+
+def test_hostile_rows(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text.upper()), (3, text + " twelve"), (4, None)], "doc_id bigint, content string")
+    df = df.withColumn("h1", F.lit("x")).withColumn("bands", F.lit("y"))
+    assert sorted(tuple(r) for r in dartminhash.record_pairs(df, "doc_id", "content", 0.7).collect()) == [(1, 2), (1, 3), (2, 3)]
+    assert sorted(tuple(r) for r in dartminhash.classes_with_links(df, "doc_id", "content", 0.7).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 1)]
 
 
 def test_signature_estimates_similarity():
