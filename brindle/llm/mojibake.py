@@ -5,22 +5,25 @@
    frequent they are they do not vouch for themselves. The score of a pair is its pointwise mutual
    information over records, with the characters' shares floored: without the floor, characters that occur only in garbled
    records would vouch for each other.
-2. In each record with a character beyond ASCII (a text without any was not changed by any encoding treated
-   here) improbable pairs score positive and probable ones negative, and maximum-scoring segments isolate the
-   improbable runs; stretches that decode to plausible UTF-8 are runs, too, whatever their score. Replacement characters between letters are a run by themselves, found but not restorable.
-3. Inverse mappings are tested inside those runs only: encode with the wrong encoding, decode with the right one. A mapping holds
+2. In each record with a character beyond ASCII improbable pairs score positive and probable ones negative, and maximum-scoring segments isolate the
+   improbable runs; stretches that decode to plausible UTF-8 are runs, too, whatever their score. Replacement characters, and question marks that
+   stand where words should be, are what an encoding without the letters leaves: found but not restorable.
+3. Inverse mappings are tested inside those runs only, whatever their length: encode with the wrong encoding, decode with the right one. A mapping holds
    if the restored run, read with its neighbours, is more probable by a margin; mappings are repeated for text that was garbled more than
-   once. A mapping into UTF-8 that holds in one place is tried on the record's other stretches, too. Bytes that no longer make sense
-   leave the run as it is.
+   once. A reading by single bytes, which fits anything, must also find the run's pairs among the rarest of the corpus and save further bits. A mapping into UTF-8
+   that holds in one place is tried on the record's other stretches, too. Bytes that no longer make sense leave the run as it is.
 
-Cases: null, empty and ASCII texts are never marked; every other text is whole, without a limit on length; an
+Cases: null and empty texts are never marked, ASCII texts only for lost words; every text is whole, without a limit on length; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import codecs
+import functools
+import operator
 import re
+from bisect import bisect_right
 from functools import cache
 
 import numpy as np
@@ -90,6 +93,8 @@ class PairModel:
     FLOOR = 2.0**-3  # share of records below which a character's share is not taken lower
     UNSEEN = 0.25  # count of a pair that no record has
 
+    RARE = 0.008  # the rarest pairs, those that together make up this part of all occurrences by text, are rare ones
+
     def __init__(self, cells: np.ndarray, counts: np.ndarray) -> None:
         # shares in eighths of a bit below 1 (a byte each)
         total = max(1, int(counts[cells < 0].sum()))
@@ -97,7 +102,10 @@ class PairModel:
         kept = cells >= 0
         level[cells[kept]] = np.minimum(255, np.round(-8 * np.log2(counts[kept] / total))).astype(np.uint8)
         self.levels = level
-        self.records = total
+        pairs = np.sort(counts[(cells >= 0) & (cells < CELLS)])
+        at = np.searchsorted(np.cumsum(pairs), self.RARE * pairs.sum())
+        self.rare = float(-np.log2(pairs[at] / total)) if len(pairs) else 0.0  # bits of the most frequent rare pair
+        self._costs = _Costs(level)
 
     @staticmethod
     def _level(share: float) -> int:
@@ -111,21 +119,44 @@ class PairModel:
 
     def cost(self, text: str) -> float:
         """Bits that it takes to meet all adjacent pairs of a text: the sum of -log2 of their shares of records."""
-        return float(self.levels[_cells(_codes(text))].sum()) / 8
+        if _folded(text):
+            text = text.translate(_FOLD)
+        if len(self._costs) > self._costs.MEMORY:
+            self._costs.clear()
+        return sum(map(self._costs.__getitem__, map(operator.add, text, text[1:]))) / 8
+
+
+class _Costs(dict):
+    """Level of a pair of characters, looked up once."""
+
+    MEMORY = 1 << 18
+
+    def __init__(self, levels: np.ndarray) -> None:
+        super().__init__()
+        self.levels = levels
+
+    def __missing__(self, pair: str) -> int:
+        self[pair] = level = int(self.levels[_cells(np.array([ord(pair[0]), ord(pair[1])], dtype=np.uint32))[0]])
+        return level
 
 
-def improbable_runs(information: np.ndarray, expected: float = -1.0, least: float = 1.0, drop: float = 6.0) -> list[tuple[int, int]]:
+def improbable_runs(information: np.ndarray, expected: float = -1.0, least: float = 1.0, drop: float = 6.0, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Maximum-scoring segments [start, end) of pairs, a pair scoring ``expected`` minus its information.
 
-    A segment ends where the score has fallen by ``drop`` below its height or to nothing, and counts if its height is at least ``least``.
+    A segment ends where the score has fallen by ``drop`` below its height or to nothing, and counts if its height is at least ``least``. Of the
+    segments only those near an ``asked`` pair are given, if some are.
     """
     sums = np.concatenate([[0.0], np.cumsum(expected - information)])
     gained = sums - np.minimum.accumulate(sums)
     zeros = np.flatnonzero(gained == 0)
     peaks = np.maximum.reduceat(gained, zeros)
     ends = np.append(zeros[1:], len(gained))
+    tall = peaks >= least
+    if asked is not None:
+        before = np.concatenate([[0], np.cumsum(asked), [asked.sum()]])
+        tall &= before[ends] > before[zeros]
     runs: list[tuple[int, int]] = []
-    for k in np.flatnonzero(peaks >= least).tolist():
+    for k in np.flatnonzero(tall).tolist():
         start = int(zeros[k])
         part = gained[start : ends[k]].tolist()
         low = high = part[0]
@@ -143,6 +174,9 @@ def improbable_runs(information: np.ndarray, expected: float = -1.0, least: floa
     return runs
 
 
+_pair_of_stretch = re.compile(r"[^\x00-\x7f]{2,}")
+
+
 @cache
 def _tables() -> list[tuple[str, object]]:
     """For each encoding that text is read in its encoding map; bytes that it leaves undefined stand for themselves."""
@@ -158,6 +192,17 @@ def _tables() -> list[tuple[str, object]]:
     return out
 
 
+class _Readable(dict):
+    """For each character the encodings that have it, as bits in the order of READ_AS."""
+
+    def __missing__(self, char: str) -> int:
+        self[char] = bits = sum(1 << i for i, (_, table) in enumerate(_tables()) if _encode(char, table) is not None)
+        return bits
+
+
+_readable_in = _Readable()
+
+
 def _encode(text: str, table: object) -> bytes | None:
     try:
         return codecs.charmap_encode(text, "strict", table)[0]
@@ -168,7 +213,12 @@ def _encode(text: str, table: object) -> bytes | None:
 def _inverses(run: str, by_bytes: bool) -> list[tuple[str, str, str]]:
     """(read as, written as, text) of every mapping that the run's characters allow and that changes it."""
     out, seen = [], {run}
-    for wrong, table in _tables():
+    if not by_bytes and not _pair_of_stretch.search(run):  # a byte above 127 alone is no UTF-8
+        return out
+    usable = functools.reduce(operator.and_, map(_readable_in.__getitem__, set(run)), -1)
+    for i, (wrong, table) in enumerate(_tables() if usable else ()):
+        if not usable >> i & 1:
+            continue
         raw = _encode(run, table)
         if raw is None or raw.isascii():
             continue
@@ -185,9 +235,6 @@ def _inverses(run: str, by_bytes: bool) -> list[tuple[str, str, str]]:
     return out
 
 
-_pair_of_stretch = re.compile(r"[^\x00-\x7f]{2,}")
-
-
 class Suspects:
     """Stretches beyond ASCII that decode to plausible UTF-8 from an encoding that text is read in by mistake; no share of records enters.
 
@@ -246,11 +293,15 @@ class Suspects:
         return 0xA0 <= code < 0x100 or 0x386 <= code < 0x3CF or 0x400 <= code < 0x460 or 0x60C <= code < 0x6D0 or 0x2010 <= code < 0x203B or code in (0x20AC, 0x2122)
 
 
+@cache
+def _table_of() -> dict[str, object]:
+    return dict(_tables())
+
+
 def _undone(run: str, path: tuple[tuple[str, str], ...]) -> str | None:
     """The run after a known sequence of mappings, or None where it does not allow them."""
-    tables = dict(_tables())
     for wrong, right in path:
-        raw = _encode(run, tables[wrong])
+        raw = _encode(run, _table_of()[wrong])
         try:
             run = raw.decode(right) if raw is not None else ""
         except UnicodeDecodeError:
@@ -261,10 +312,9 @@ def _undone(run: str, path: tuple[tuple[str, str], ...]) -> str | None:
 
 
 _control = re.compile("[\x7f-\x9f]")
-_lost = re.compile("[^\\W\\d_]?�+")
+# a replacement character; words of question marks side by side, or one that is longer than emphasis
+_lost = re.compile(r"\ufffd|(?<![^\s\"«(\[])\?{2,}(?:[.,;:!)\]\"»]*\s+\S*?(?<![^\s\"«(\[])\?{2,}|\?{3,})(?![^\W_])")
 _beyond = re.compile(r"[^\x00-\x7f]")
-# a UTF-8 reading needs two characters beyond ASCII side by side, a reading by single bytes a few of them
-_readable = re.compile(r"[^\x00-\x7f]{2}|(?:[^\x00-\x7f][\x00-\x7f]*){4}").search
 _stretch = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -276,8 +326,6 @@ class Repairer:
 
     MARGIN = 2.0  # bits that each character beyond ASCII of a garbled run must save by being restored
     SHORT = 12.0  # further bits, shared by them, that a reading by single bytes must save
-    FEW = 2  # characters beyond ASCII from which on readings by single bytes are tried
-    RARE, RARE_SHORT, SHORTER = 7.0, 9.0, 4  # bits that the pairs of such a run must take on average, and of one of fewer than SHORTER
     MEMORY = 1 << 17
 
     def __init__(self, model: PairModel) -> None:
@@ -287,7 +335,9 @@ class Repairer:
 
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Improbable runs of a text as character ranges, with at least one character beyond ASCII in each."""
-        found = improbable_runs(self.model.information(_codes(f" {text} ")))
+        codes = _codes(f" {text} ")
+        beyond = codes > 127
+        found = improbable_runs(self.model.information(codes), asked=beyond[:-1] | beyond[1:])
         out: list[tuple[int, int]] = []
         for a, b in found:
             # pair i joins the characters i - 1 and i of the text; a run takes in whole stretches beyond ASCII
@@ -307,13 +357,12 @@ class Repairer:
             else:
                 out.append((start, end))
         # a run takes in whole stretches, so a suspect one lies in a run or apart from all
-        apart = [(a, b) for a, b in self._suspects.of(text) if not any(start <= a < end for start, end in out)]
+        starts = [start for start, _ in out]
+        apart = [(a, b) for a, b in self._suspects.of(text) if not (k := bisect_right(starts, a)) or out[k - 1][1] <= a]
         return sorted(out + apart)
 
     def restored(self, run: str, before: str = " ", after: str = " ") -> tuple[str, tuple[Path, ...]] | None:
         """The run as it was written and the mappings used, or None where no mapping makes it more probable."""
-        if not _readable(run):
-            return None
         key = (before, run, after)
         if key not in self._known:
             if len(self._known) > self.MEMORY:
@@ -332,11 +381,11 @@ class Repairer:
         text, path = run, ()
         for _ in range(3):
             n = len(_beyond.findall(text))
-            if not n:
+            if not n or text.isspace():  # white space of any width is no sign of anything
                 break
             own = self.model.cost(before + text + after)
             # improbable throughout, not only at one place
-            by_bytes = n >= self.FEW and own >= (self.RARE if n >= self.SHORTER else self.RARE_SHORT) * (len(text) + 1)
+            by_bytes = own >= self.model.rare * (len(text) + 1)
             saved = [((own - self.model.cost(before + t + after) - (right != "utf-8") * self.SHORT - (_control.search(t) is not None) * self.SHORT) / n, t, (wrong, right)) for wrong, right, t in _inverses(text, by_bytes)]
             gain, made, mapping = max(saved, default=(0.0, None, None))
             if made is None or gain < self.MARGIN:
@@ -350,18 +399,31 @@ class Repairer:
         stretches = list(_stretch.finditer(run))
         if len(stretches) == 1 and stretches[0][0] == run:
             return None
-        whole, out, at, paths = before + run + after, [], 0, []
-        shift = len(before)
-        for m in stretches:
-            made = self._best(whole[shift + m.start() - 1], m[0], whole[shift + m.end()])
-            out += [run[at : m.start()], made[0] if made else m[0]]
+        whole, shift, paths = before + run + after, len(before), {}
+        restored: dict[int, str] = {}
+        for m in sorted(stretches, key=lambda m: (m.start() - m.end(), m.start())):  # the longest decide for the others
+            around = whole[shift + m.start() - 1], m[0], whole[shift + m.end()]
+            made = self._best(*around)
+            if paths and (made is None or made[1] not in paths):
+                other = self._as_before(around[1], around[0], around[2], paths)
+                made = (other[0], other[1][0]) if other else made
             if made:
-                paths.append(made[1])
-            at = m.end()
-        return ("".join(out) + run[at:], tuple(paths)) if paths else None
+                restored[m.start()] = made[0]
+                paths[made[1]] = None
+        return (_stretch.sub(lambda m: restored.get(m.start(), m[0]), run), tuple(paths)) if paths else None
+
+    def _as_before(self, run: str, before: str, after: str, paths: dict[Path, None]) -> tuple[str, tuple[Path, ...]] | None:
+        """The run by the first mapping that held in the record before and makes it more probable by the margin."""
+        least = self.model.cost(before + run + after) - self.MARGIN * len(_beyond.findall(run))
+        for path in paths:
+            made = _undone(run, path)
+            if made is not None and self.model.cost(before + made + after) <= least:
+                return made, (path,)
+        return None
 
-    def _rest(self, text: str, paths: list[Path]) -> str:
-        """The text with further stretches undone by mappings that hold elsewhere in it, where that makes them more probable at all."""
+    def _rest(self, text: str, paths: list[Path], doubtful: dict[Path, None]) -> str:
+        """The text with further stretches undone by mappings that hold elsewhere in it: where that makes them more probable at all, and
+        by the margin if the mapping is a reading by single bytes."""
 
         def one(m: re.Match) -> str:
             before, after = text[m.start() - 1 : m.start()] or " ", text[m.end() : m.end() + 1] or " "
@@ -370,6 +432,8 @@ class Repairer:
                 made = _undone(m[0], path)
                 if made is not None and (cost := self.model.cost(before + made + after)) < least:
                     best, least = made, cost
+            if best == m[0] and doubtful and not m[0].isspace() and (other := self._as_before(m[0], before, after, doubtful)):
+                return other[0]
             return best
 
         return _stretch.sub(one, text)
@@ -385,20 +449,28 @@ class Repairer:
 
     def _examine(self, text: str | None) -> tuple[bool, str | None]:
         if not text or text.isascii():
-            return False, text
-        parts, paths, at = [], {}, 0
-        for start, end in self.runs(text):
-            made = self.restored(text[start:end], text[start - 1] if start else " ", text[end] if end < len(text) else " ")
+            return bool(text and "??" in text and _lost.search(text)), text
+        found, paths = {}, {}
+        # long runs first: what was read wrongly in them decides for those that are too short to tell
+        for start, end in sorted(self.runs(text), key=lambda r: (r[0] - r[1], r[0])):
+            run, before, after = text[start:end], text[start - 1] if start else " ", text[end] if end < len(text) else " "
+            made = self.restored(run, before, after)
             if made is not None:
-                parts += [(False, text[at:start]), (True, made[0])]
+                if paths and not any(p in paths for p in made[1]):
+                    made = self._as_before(run, before, after, paths) or made
+                found[start] = (end, made[0])
                 paths |= dict.fromkeys(made[1])
-                at = end
         if not paths:
             return bool(_lost.search(text)), text
+        parts, at = [], 0
+        for start, (end, made) in sorted(found.items()):
+            parts += [(False, text[at:start]), (True, made)]
+            at = end
         parts.append((False, text[at:]))
         # only UTF-8 refuses most of what it was not; single bytes would fit anything
         sure = [p for p in paths if all(right == "utf-8" for _, right in p)]
-        return True, "".join(t if done or not sure else self._rest(t, sure) for done, t in parts)
+        doubtful = {p: None for p in paths if p not in sure}
+        return True, "".join(t if done else self._rest(t, sure, doubtful) for done, t in parts)
 
 
 def model_of(df: DataFrame, text_col: str) -> PairModel:

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import pytest
@@ -146,3 +147,57 @@ def test_runs_are_maximal_scoring():
     runs = mojibake.improbable_runs(info, expected=0.0, least=2.0, drop=6.0)
     assert runs == [(2, 4), (7, 10)]
     assert mojibake.improbable_runs(np.array([]), 0.0) == []
+
+
+# ---- restored texts, measured on texts that no margin was set on
+
+
+def misread(text, right, wrong):
+    out = []
+    for b in text.encode(right):
+        try:
+            out.append(bytes([b]).decode(wrong))
+        except UnicodeDecodeError:
+            out.append(chr(b))
+    return "".join(out)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_share_of_texts_restored_exactly(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    repairer = mojibake.Repairer(mojibake.model_of(docs, "text"))
+    texts = [r.text for r in docs.select("text").distinct().orderBy("text").collect() if r.text and not r.text.isascii()]
+    rnd = random.Random(11)
+    clean = [t for t in rnd.sample(texts, 1500) if not repairer.examine(t)[0]]
+    least = {("utf-8", "cp1252"): (0.99, 0.97), ("utf-8", "cp1251"): (0.99, 0.97), ("koi8-r", "cp1251"): (0.97, 0.85), ("cp1251", "cp1252"): (0.97, 0.8), ("cp1252", "mac-roman"): (0.9, 0.6)}
+    for (right, wrong), (found_least, exact_least) in least.items():
+        found = exact = n = 0
+        for text in clean:
+            words = text.split(" ")
+            start = rnd.randrange(len(words))
+            end = start + rnd.randint(3, 25)
+            part = " ".join(words[start:end])
+            try:
+                garbled = misread(part, right, wrong)
+            except UnicodeEncodeError:
+                continue
+            if garbled == part or n == 60:
+                continue
+            n += 1
+            marked, made = repairer.examine(" ".join([*words[:start], garbled, *words[end:]]))
+            found += marked
+            exact += made.translate(mojibake._FOLD) == text.translate(mojibake._FOLD)
+        assert n == 60 and found >= found_least * n and exact >= exact_least * n, (right, wrong, n, found, exact)
+
+
+def test_lost_words_are_found(spark):
+    rows = [(1, "?????? ?? ????????? ???? word."), (2, "What??? Yes! Really??"), (3, "why ?? because"), (4, "in a ?????????. text"), (5, "\xa0"), (6, "caf�"), (7, None)]
+    got = {r.doc_id: (r.garbled, r.text) for r in mojibake.repair(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i for i, (g, _) in got.items() if g} == {1, 4, 6} and all(got[i][1] == t for i, t in rows)
+
+
+def test_a_short_run_follows_the_long_one(spark):
+    plain = ["и в не для поиска словарь и индекс в базе", "не и в для документов и слов", "la maison est près de la rivière"] * 40
+    texts = [(i, f"{t} {i}") for i, t in enumerate(plain)] + [(900, misread("для поиска и словарь в базе", "cp1251", "cp1252"))]
+    got = {r.doc_id: r.text for r in mojibake.repair(spark.createDataFrame(texts, "doc_id bigint, text string")).where("garbled").collect()}
+    assert got == {900: "для поиска и словарь в базе"}
