@@ -104,7 +104,7 @@ class PairModel:
         self.levels = level
         pairs = np.sort(counts[(cells >= 0) & (cells < CELLS)])
         at = np.searchsorted(np.cumsum(pairs), self.RARE * pairs.sum())
-        self.rare = float(-np.log2(pairs[at] / total)) if len(pairs) else 0.0  # bits of the most frequent rare pair
+        self.rare = self._level(pairs[at] / total) / 8 if len(pairs) else 0.0  # bits of the most frequent rare pair
         self._costs = _Costs(level)
 
     @staticmethod
