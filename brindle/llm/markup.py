@@ -1,25 +1,33 @@
 """Markup residue in text documents (problem 5).
 
-A document is given its one notation (HTML, Markdown, wiki text, LaTeX or none) by weighted evidence, of which the file name is
+A document is given its one notation (HTML, Markdown, wiki text, LaTeX or none) by a linear classifier over evidence, of which the file name is
 only a little. A scanner for that notation cuts it into blocks and names the structure in each. A minimum cut
-then labels the blocks content or boilerplate (see mincut): the costs come from a linear classifier
-over block features, neighbouring blocks and blocks under the same parent element are tied together. The clean
+then labels the blocks content or boilerplate (see mincut): the costs come from a linear classifier over what a block is by
+itself; neighbouring blocks, blocks under the same parent element, and blocks and the element of the page's frame that holds them are tied together. The clean
 text is made of the content blocks: headings are written with #, list items with -, code between fences, formulas between
 dollar signs, links and emphasis as their text.
 
+Both classifiers are fitted on a bounded sample of the collection (``FIT_ROWS`` records, ``FIT_BLOCKS`` blocks each) and held to a prior: the notation's labels are the
+file names that the text does not contradict, a block's label is its kind where that gives it away. Without such rows the prior stands.
+
 Cases: null and empty contents and texts without markup are plain: no notation, no elements, the text as it is; a
-wrong, missing or odd file name only withdraws its small weight; texts are read to their end, whatever their length, and
-unclosed tags, fences or environments run to the end of the text; an empty table gives no rows.
+wrong, missing or odd file name only withdraws its small weight; texts are read to their end, whatever their length, in time
+in proportion to it; unclosed tags, fences or environments run to the end of the text; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from brindle.llm.arrow import map_batches, named
 from brindle.llm.mincut import label
@@ -37,6 +45,7 @@ class Block:
     level: int = 0
     elements: set[str] = field(default_factory=set)
     links: int = 0
+    frame: int = 0  # number of the element of the page's frame, such as its head, that holds the block
 
 
 # ---- notation ------------------------------------------------------------------------------------------------
@@ -47,53 +56,55 @@ EXTENSIONS = {
     "wiki": "wiki", "mediawiki": "wiki", "tex": "latex", "latex": "latex", "ltx": "latex",
 }
 
-# Evidence: (notation, weight of one occurrence, most that counts, pattern).
-_EVIDENCE = [
-    ("html", 6.0, 12.0, re.compile(r"<!doctype\s+html|</?(?:html|head|body)\b", re.I)),
-    ("html", 2.0, 10.0, re.compile(r"<(?:p|ul|ol|li|div|table|tr|td|h[1-6]|pre)(?:\s[^<>]*)?>", re.I)),
-    ("html", 1.2, 2.4, re.compile(r"<(?:a\s[^<>]*href[^<>]*|b|i|em|strong|span(?:\s[^<>]*)?|i\s[^<>]*|br\s*/?)>", re.I)),
-    ("html", 1.0, 1.0, re.compile(r"&(?:nbsp|amp|lt|gt|quot|#\d+);")),
-    ("html", 2.0, 2.0, re.compile(r"<math[^<>]*>\s*<m\w+>")),
-    ("markdown", 3.0, 9.0, re.compile(r"^ {0,3}(?:```|~~~)", re.M)),
-    ("markdown", 2.5, 7.5, re.compile(r"(?:\A|\n\s*\n) {0,3}#{1,6}[ \t]+\S[^\n]*(?=\n\s*\n|\s*\Z|\n {0,3}(?:[-*+>]|\d))")),
-    ("markdown", 2.5, 7.5, re.compile(r"^[^\s#>*+=-][^\n]*\n(?:={3,}|-{3,})[ \t]*$", re.M)),
-    ("markdown", 4.0, 12.0, re.compile(r"(?<!\])\[[^\[\]\n]+\](?:\(<?[^\s()<>]+>?[^()\n]*\)|\[[^\[\]\n]*\])")),
-    ("markdown", 3.0, 6.0, re.compile(r"^\[[^\[\]\n]+\]:\s+\S+", re.M)),
-    ("markdown", 4.0, 4.0, re.compile(r"<https?://[^\s<>]+>")),
-    ("markdown", 2.0, 6.0, re.compile(r"(?<![\w*\\])(\*\*?\*?)(?=[^\s*])[^*\n]*[^\s*]\1(?![\w*])")),
-    ("markdown", 2.0, 6.0, re.compile(r"(?<![\w_\\])(__?_?)(?=[^\s_])[^_\n]*[^\s_]\1(?![\w_])")),
-    ("markdown", 2.0, 6.0, re.compile(r"(?:\A|\n\s*\n)(?:[ ]{0,3}(?:[-*+]|\d+[.)]) [^\n]+\n?){2,}")),
-    ("markdown", 2.0, 4.0, re.compile(r"^ *[-*+] \[[ xX]\] ", re.M)),
-    ("markdown", 1.0, 3.0, re.compile(r"^ {2,4}[-*+] \S", re.M)),
-    ("markdown", 1.5, 3.0, re.compile(r"^ {0,3}(?:(?:- ?){3,}|(?:\* ?){3,}|(?:_ ?){3,})$", re.M)),
-    ("markdown", 1.5, 3.0, re.compile(r"^> \S", re.M)),
-    ("markdown", 2.0, 2.0, re.compile(r"(?:\A|\n\s*\n) {4}\S")),
-    ("markdown", 2.5, 5.0, re.compile(r"(?<![\\$\w])\$(?=[^\s$])[^$\n]*[^\s$\\]\$(?![\d$\w])|^\$\$", re.M)),
-    ("markdown", 1.6, 3.2, re.compile(r"\\\([^\n]+?\\\)|\\\[")),
-    ("markdown", 2.0, 4.0, re.compile(r"(?<!`)`[^`\n]+`(?!`)")),
-    ("wiki", 3.5, 10.5, re.compile(r"^(={2,6})[ \t]*[^=\s][^\n]*?[ \t]*\1[ \t]*$", re.M)),
-    ("wiki", 4.0, 12.0, re.compile(r"\[\[[^\[\]\n]+\]\]")),
-    ("wiki", 4.0, 8.0, re.compile(r"\{\{[^{}\n]+\}\}|^\{\|", re.M)),
-    ("wiki", 4.0, 12.0, re.compile(r"(?<!')'{2,5}(?=[^\s'])[^'\n]*[^\s']'{2,5}(?!')")),
-    ("wiki", 5.0, 10.0, re.compile(r"<(?:syntaxhighlight|source|ref|nowiki)\b[^<>]*>", re.I)),
-    ("wiki", 4.0, 8.0, re.compile(r"(?<!\[)\[https?://[^\s\[\]]+[^\[\]\n]*\]")),
-    ("wiki", 3.0, 6.0, re.compile(r"<math[^<>]*>(?!\s*<)")),
-    ("wiki", 2.5, 7.5, re.compile(r"^(?:\*{1,4}|#{1,4})[^\s*#][^\n]*$(?:\n(?:[*#])[^\n]*$)", re.M)),
-    ("wiki", 2.5, 7.5, re.compile(r"^#+ ?\S[^\n]*\n#+ ?\S", re.M)),
-    ("wiki", 3.0, 6.0, re.compile(r"^\*{2,4} ?[^\s*][^*\n]*$", re.M)),
-    ("wiki", 1.0, 1.0, re.compile(r"^\*+ \S", re.M)),
-    ("wiki", 2.0, 4.0, re.compile(r"^:+[^\s:]", re.M)),
-    ("latex", 6.0, 12.0, re.compile(r"\\(?:documentclass|usepackage|begin\{|end\{)")),
-    ("latex", 4.0, 12.0, re.compile(r"\\(?:(?:sub)*section|chapter|paragraph|textbf|textit|emph|href|url|cite|label|item|noindent|ldots)\b")),
-    ("latex", 3.0, 6.0, re.compile(r"\{\\(?:bf|it|em)\b")),
-    ("latex", 1.0, 1.0, re.compile(r"\\[&%#_]")),
-    ("latex", 1.5, 1.5, re.compile(r"^%", re.M)),
-    ("latex", 1.5, 3.0, re.compile(r"\\\([^\n]+?\\\)|\\\[|(?<![\\$\w])\$(?=[^\s$])[^$\n]*[^\s$\\]\$(?![\d$\w])")),
+# Evidence: (notation, weight of the first occurrence before anything is fitted, pattern). Every pattern takes time in proportion to a text's length:
+# what may be long ends at the next mark or is never given back.
+EVIDENCE = [
+    ("html", 6.0, re.compile(r"<!doctype\s+html|</?(?:html|head|body)\b", re.I)),
+    ("html", 3.0, re.compile(r"<(?:p|ul|ol|li|div|table|tr|td|h[1-6]|pre)(?:\s[^<>]*)?>", re.I)),
+    ("html", 1.3, re.compile(r"<(?:a\s(?:(?!href)[^<>])*+href[^<>]*|b|i|em|strong|span(?:\s[^<>]*)?|i\s[^<>]*|br\s?/?)>", re.I)),
+    ("html", 1.0, re.compile(r"&(?:nbsp|amp|lt|gt|quot|#\d+);")),
+    ("html", 2.0, re.compile(r"<math[^<>]*>\s?<m\w+>")),
+    ("markdown", 3.0, re.compile(r"^ {0,3}(?:```|~~~)", re.M)),
+    ("markdown", 2.5, re.compile(r"(?:\A|\n\n) {0,3}#{1,6}[ \t]\S?[^\n]*(?=\n\n|\Z|\n {0,3}(?:[-*+>]|\d))")),
+    ("markdown", 2.5, re.compile(r"^[^\s#>*+=-][^\n]*\n(?:={3,}|-{3,})$", re.M)),
+    ("markdown", 4.0, re.compile(r"(?<!\])\[[^\[\]\n]+\](?:\(<?[^\s()<>]++>?[^()\n]*+\)|\[[^\[\]\n]*\])")),
+    ("markdown", 3.0, re.compile(r"^\[[^\[\]\n]+\]:[ \t]\S", re.M)),
+    ("markdown", 4.0, re.compile(r"<https?://[^\s<>]+>")),
+    ("markdown", 2.0, re.compile(r"(?<![\w*\\])(\*\*?\*?)(?=[^\s*])[^*\n]*[^\s*]\1(?![\w*])")),
+    ("markdown", 2.0, re.compile(r"(?<![\w_\\])(__?_?)(?=[^\s_])[^_\n]*[^\s_]\1(?![\w_])")),
+    ("markdown", 2.0, re.compile(r"(?:\A|\n\n)(?:[ ]{0,3}(?:[-*+]|\d{1,9}[.)]) [^\n]+\n?){2,}")),
+    ("markdown", 2.0, re.compile(r"^ {0,8}[-*+] \[[ xX]\] ", re.M)),
+    ("markdown", 1.0, re.compile(r"^ {2,4}[-*+] \S", re.M)),
+    ("markdown", 1.5, re.compile(r"^ {0,3}(?:(?:- ?){3,}|(?:\* ?){3,}|(?:_ ?){3,})$", re.M)),
+    ("markdown", 1.5, re.compile(r"^> \S", re.M)),
+    ("markdown", 2.0, re.compile(r"(?:\A|\n\n) {4}\S")),
+    ("markdown", 2.5, re.compile(r"(?<![\\$\w])\$(?=[^\s$])[^$\n]*[^\s$\\]\$(?![\d$\w])|^\$\$", re.M)),
+    ("markdown", 1.6, re.compile(r"\\\((?:(?!\\[()])[^\n])++\\\)|\\\[")),
+    ("markdown", 2.0, re.compile(r"(?<!`)`[^`\n]+`(?!`)")),
+    ("wiki", 3.5, re.compile(r"^(={2,6})[ \t]?[^=\s][^\n]*\1$", re.M)),
+    ("wiki", 4.0, re.compile(r"\[\[[^\[\]\n]+\]\]")),
+    ("wiki", 4.0, re.compile(r"\{\{[^{}\n]+\}\}|^\{\|", re.M)),
+    ("wiki", 4.0, re.compile(r"(?<!')'{2,5}(?=[^\s'])[^'\n]*[^\s']'{2,5}(?!')")),
+    ("wiki", 5.0, re.compile(r"<(?:syntaxhighlight|source|ref|nowiki)\b[^<>]*>", re.I)),
+    ("wiki", 4.0, re.compile(r"(?<!\[)\[https?://[^\s\[\]]++[^\[\]\n]*+\]")),
+    ("wiki", 3.0, re.compile(r"<math[^<>]*>(?!\s?<)")),
+    ("wiki", 2.5, re.compile(r"^(?:\*{1,4}|#{1,4})[^\s*#][^\n]*$(?:\n(?:[*#])[^\n]*$)", re.M)),
+    ("wiki", 2.5, re.compile(r"^#+ ?\S[^\n]*\n#+ ?\S", re.M)),
+    ("wiki", 3.0, re.compile(r"^\*{2,4} ?[^\s*][^*\n]*$", re.M)),
+    ("wiki", 1.0, re.compile(r"^\*+ \S", re.M)),
+    ("wiki", 2.0, re.compile(r"^:+[^\s:]", re.M)),
+    ("latex", 6.0, re.compile(r"\\(?:documentclass|usepackage|begin\{|end\{)")),
+    ("latex", 4.0, re.compile(r"\\(?:(?:sub)*section|chapter|paragraph|textbf|textit|emph|href|url|cite|label|item|noindent|ldots)\b")),
+    ("latex", 3.0, re.compile(r"\{\\(?:bf|it|em)\b")),
+    ("latex", 1.0, re.compile(r"\\[&%#_]")),
+    ("latex", 1.5, re.compile(r"^%", re.M)),
+    ("latex", 1.5, re.compile(r"\\\((?:(?!\\[()])[^\n])++\\\)|\\\[|(?<![\\$\w])\$(?=[^\s$])[^$\n]*[^\s$\\]\$(?![\d$\w])")),
 ]
-NAME_WEIGHT = 1.5  # evidence that an extension gives
-LEAST = 2.0  # evidence below which a text is plain
+NOTATIONS = ("plain", "html", "markdown", "wiki", "latex")
+NAME_WEIGHT = 1.5  # weight of an extension before anything is fitted
+LEAST = 1.9  # evidence that makes up for the prior of a plain text
 
-_marks = re.compile(r"[<>#*_`\[\]{}\\$='~&|]|^\s*(?:[-+>:]|\d+[.)])\s|^ {4}|^-{3,}$", re.M)
+_marks = re.compile(r"[<>#*_`\[\]{}\\$='~&|]|^[ \t]*(?:[-+>:]|\d+[.)])\s|^ {4}|^-{3,}$", re.M)
 _fence = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
 _raw_code = re.compile(
     r"(<(pre|syntaxhighlight|source)\b[^<>]*>).*?(</\2>|\Z)|(\\begin\{(verbatim|lstlisting|minted)\}).*?(\\end\{\5\}|\Z)", re.I | re.S
@@ -106,48 +117,91 @@ def _without_code(text: str) -> str:
     return _fence.sub(lambda m: f"{m[1]}\n{m[1]}", text)
 
 
-def notation(text: str | None, file_name: str | None = None) -> str | None:
-    """html, markdown, wiki, latex, or None for a plain text."""
-    if not text or not _marks.search(text):
-        return None
-    body = _without_code(text.lstrip("\ufeff"))
-    score = dict.fromkeys(("html", "markdown", "wiki", "latex"), 0.0)
-    for kind, weight, most, pattern in _EVIDENCE:
-        n = 0
-        for _ in pattern.finditer(body):
-            n += 1
-            if n * weight >= most:
-                break
-        score[kind] += min(most, n * weight)
-    if file_name and "." in file_name and (hint := EXTENSIONS.get(file_name.rsplit(".", 1)[1].strip().lower())) and score[hint] > 0:
-        score[hint] += NAME_WEIGHT
-    # tags inside the other notations belong to those
-    if score["html"] and (score["markdown"] > 4 or score["wiki"] > 3 or score["latex"] > 6) and not _document.search(body):
-        block_tags = len(_block_tag.findall(body))
-        if block_tags < 2 or score["wiki"] >= 4 + score["html"] or score["markdown"] >= 4 + score["html"]:
-            score["html"] *= 0.3
-    best = max(score, key=score.get)
-    return best if score[best] >= LEAST else None
+def _tidy(text: str) -> str:
+    """Lines without white space at their ends, blank ones never side by side."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        line = line.rstrip()
+        if line or (out and out[-1]):
+            out.append(line)
+    return "\n".join(out).rstrip("\n")
 
 
 _document = re.compile(r"\A\s*<(?:!doctype|html)", re.I)
 _block_tag = re.compile(r"<(?:p|ul|ol|li|div|h[1-6])(?:\s[^<>]*)?>", re.I)
+_hints = tuple(NOTATIONS[1:])
+
+
+def evidence(text: str, file_name: str | None) -> np.ndarray:
+    """What speaks for a notation: log2(1 + occurrences) of every pattern, a whole HTML document, block tags, the notation that the name suggests
+    if anything in the text does, too, and one."""
+    text = text.lstrip("\ufeff")
+    body = _tidy(_without_code(text))
+    counts = [sum(1 for _ in pattern.finditer(body)) for _, _, pattern in EVIDENCE]
+    hint = hint_of(file_name)
+    blocks_of = sum(1 for _ in _block_tag.finditer(body)) if "<" in body else 0
+    there = {kind for (kind, _, _), n in zip(EVIDENCE, counts, strict=True) if n}
+    rest = [float(_document.search(body) is not None), np.log2(1 + blocks_of), *[float(hint == n and n in there) for n in _hints], 1.0]
+    return np.concatenate([np.log2(1 + np.array(counts)), rest])
+
+
+def hint_of(file_name: str | None) -> str | None:
+    """The notation that a file name suggests."""
+    return EXTENSIONS.get(file_name.rsplit(".", 1)[1].strip().lower()) if file_name and "." in file_name else None
+
+
+N_EVIDENCE = len(EVIDENCE) + 3 + len(_hints)
+
+
+def prior_weights() -> np.ndarray:
+    """Weights of the evidence for each of NOTATIONS where nothing is fitted."""
+    w = np.zeros((len(NOTATIONS), N_EVIDENCE))
+    for i, (kind, weight, _) in enumerate(EVIDENCE):
+        w[NOTATIONS.index(kind), i] = weight
+    at = len(EVIDENCE)
+    w[1, at], w[1, at + 1] = 6.0, 1.0
+    for j, kind in enumerate(_hints):
+        w[NOTATIONS.index(kind), at + 2 + j] = NAME_WEIGHT
+    w[0, -1] = LEAST
+    return w
+
+
+@dataclass(slots=True)
+class Model:
+    """Weights of the notation's evidence, a row for each of NOTATIONS, and of a block's features."""
+
+    notation: np.ndarray = field(default_factory=prior_weights)
+    block: np.ndarray = field(default_factory=lambda: np.array([BLOCK_PRIOR[f] for f in BLOCK_FEATURES]))
+
+
+@cache
+def _prior() -> Model:
+    return Model()
+
+
+def notation(text: str | None, file_name: str | None = None, model: Model | None = None) -> str | None:
+    """html, markdown, wiki, latex, or None for a plain text."""
+    if not text or not _marks.search(text):
+        return None
+    found = evidence(text, file_name)
+    if not found[: len(EVIDENCE)].any():
+        return None
+    score = (model or _prior()).notation @ found
+    best = int(np.argmax(score[1:])) + 1
+    return NOTATIONS[best] if score[best] >= score[0] else None
+
 
 # ---- inline structure ----------------------------------------------------------------------------------------
 
 _tag_emphasis = re.compile(r"<(b|strong|i|em)(?:\s[^<>]*)?>", re.I)
 _tag_link = re.compile(r"<a\s[^<>]*href\s*=", re.I)
-_tag = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
+_tag = re.compile(r"</?[a-zA-Z][^<>]*>")
 _tag_math = re.compile(r"<math\b[^<>]*>(.*?)(?:</math>|\Z)", re.I | re.S)
-_tex_inline = re.compile(r"\\\((.+?)\\\)|\\\[(.+?)\\\]", re.S)
 _dollar = re.compile(r"(?<![\\$])\$\$(.+?)\$\$|(?<![\\$\w])\$(?=[^\s$])([^$\n]*?[^\s$\\])\$(?![\d$\w])|(?<![\\$\w])\$([^\s$\\])\$(?![\d$\w])", re.S)
-_md_code = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
-_md_link = re.compile(r"(!?)\[([^\[\]]*)\]\((?:<[^<>\n]*>|[^\s()<>]+)(?:\s+[\"'(][^\n]*?[\"')])?\)")
+_md_link = re.compile(r"(!?)\[([^\[\]]*)\]\((?:<[^<>\n]*>|[^\s()<>]++)(?:\s++(?:\"[^\"\n]*\"|'[^'\n]*'|\([^()\n]*\)))?\)")
 _md_reference = re.compile(r"\[([^\[\]]+)\]\[([^\[\]]*)\]")
 _md_definition = re.compile(r"^ {0,3}\[([^\[\]\n]+)\]:[ \t]+(\S+)[^\n]*$", re.M)
 _md_auto = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
-_md_star = re.compile(r"(?<![\\*])(\*{1,3})(?=[^\s*])(.+?)(?<=[^\s*\\])\1(?!\*)", re.S)
-_md_under = re.compile(r"(?<![\w\\])(_{1,3})(?=[^\s_])(.+?)(?<=[^\s_\\])\1(?!\w)", re.S)
 _wiki_link = re.compile(r"\[\[:?([^\[\]|\n]+)(?:\|([^\[\]\n]*))?\]\]")
 _wiki_url = re.compile(r"(?<!\[)\[((?:https?|ftp)://[^\s\[\]]+)(?:\s+([^\[\]\n]*))?\]")
 _wiki_quotes = re.compile(r"(?<!')('{5}|'{3}|'{2})(?!')(.+?)(?<!')\1(?!')")
@@ -175,35 +229,119 @@ def _tags(text: str, block: Block) -> str:
     return html.unescape(text) if "&" in text else text
 
 
+# Characters that stand for pieces taken out of a text for a while; a text that holds them has them exchanged for others until it is done.
+HELD = "\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5"
+
+
+def _without_held(text: str) -> tuple[str, dict[int, str]]:
+    """The text without the characters of HELD, and the table that brings them back."""
+    used = [c for c in HELD if c in text]
+    if not used:
+        return text, {}
+    known = set(text)
+    free = (chr(c) for c in range(0xF0000, 0x110000) if chr(c) not in known)
+    there = {ord(c): next(free) for c in used}
+    return text.translate(there), {ord(f): chr(c) for c, f in there.items()}
+
+
+def _between(text: str, openers: dict[str, str]):
+    """(start, end, inside) of the pieces between an opener and the next of its closers, not empty; one pass."""
+    at, gone = 0, set()
+    opener = re.compile("|".join(map(re.escape, openers)))
+    while m := opener.search(text, at):
+        end = -1 if m[0] in gone else text.find(openers[m[0]], m.end() + 1)
+        if end < 0:
+            gone.add(m[0])  # there is no closer behind this place
+            at = m.end()
+            continue
+        yield m.start(), end + len(openers[m[0]]), text[m.end() : end]
+        at = end + len(openers[m[0]])
+
+
 def _formulas(text: str, block: Block, dollars: bool = True) -> tuple[str, list[str]]:
     """The text with formulas noted and taken out of the way of other marks, and what ``_put_back`` puts in their places."""
     held: list[str] = []
 
-    def keep(m: re.Match) -> str:
+    def hold(inside: str) -> str:
         _note(block, "formula")
-        held.append(f"${next(g for g in m.groups() if g is not None).strip()}$")
+        held.append(f"${inside.strip()}$")
         return f"\ufdd1{len(held) - 1}\ufdd2"
 
     if "\\(" in text or "\\[" in text:
-        text = _tex_inline.sub(keep, text)
+        out, at = [], 0
+        for start, end, inside in _between(text, {"\\(": "\\)", "\\[": "\\]"}):
+            out += [text[at:start], hold(inside)]
+            at = end
+        text = "".join(out) + text[at:]
     if dollars and "$" in text:
-        text = _dollar.sub(keep, text)
+        text = _dollar.sub(lambda m: hold(next(g for g in m.groups() if g is not None)), text)
     return text, held
 
 
+_backticks = re.compile(r"`+")
+
+
+def _code_spans(text: str) -> tuple[str, list[str]]:
+    """The text with code spans taken out, and their insides; a span ends at the next run of as many backticks."""
+    runs = [(m.start(), m.end()) for m in _backticks.finditer(text)]
+    later: dict[int, list[int]] = {}
+    for i in range(len(runs) - 1, -1, -1):
+        later.setdefault(runs[i][1] - runs[i][0], []).append(i)
+    out, code, at, i = [], [], 0, 0
+    while i < len(runs):
+        start, end = runs[i]
+        same = later[end - start]
+        while same and same[-1] <= i:
+            same.pop()
+        if same:
+            close = runs[same[-1]]
+            out += [text[at:start], f"\ufdd3{len(code)}\ufdd4"]
+            code.append(text[end : close[0]])
+            at, i = close[1], same[-1]
+        i += 1
+    return "".join(out) + text[at:], code
+
+
+_runs = {"*": re.compile(r"\*+"), "_": re.compile(r"_+")}
+
+
+def _emphasis(text: str, mark: str) -> str:
+    """The text without the outermost pairs of runs of one to three marks around a text; underscores only at the borders of words."""
+    openers, closers = [], {1: [], 2: [], 3: []}
+    for m in _runs[mark].finditer(text):
+        n = m.end() - m.start()
+        if n > 3:
+            continue
+        before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        inside = mark == "_"
+        if before != "\\" and after and not after.isspace() and not (inside and before.isalnum()):
+            openers.append((m.start(), n))
+        if before and before != "\\" and not before.isspace() and not (inside and after.isalnum()):
+            closers[n].append(m.start())
+    gone, at = [], 0
+    for start, n in openers:
+        if start < at:
+            continue
+        k = bisect_right(closers[n], start)
+        if k < len(closers[n]):
+            end = closers[n][k]
+            gone += [(start, n), (end, n)]
+            at = end + n
+    out, at = [], 0
+    for start, n in gone:
+        out.append(text[at:start])
+        at = start + n
+    return "".join(out) + text[at:]
+
+
 def _put_back(text: str, held: list[str]) -> str:
-    return re.sub("\ufdd1(\\d+)\ufdd2", lambda m: held[int(m[1])], text) if held else text
+    return re.sub("\ufdd1([0-9]+)\ufdd2", lambda m: held[int(m[1])], text) if held else text
 
 
 def _inline_markdown(text: str, block: Block, names: dict[str, str]) -> str:
     code: list[str] = []
-
-    def keep(m: re.Match) -> str:
-        code.append(m[2])
-        return f"\ufdd3{len(code) - 1}\ufdd4"
-
     if "`" in text:
-        text = _md_code.sub(keep, text)
+        text, code = _code_spans(text)
     text, held = _formulas(text, block)
     if "[" in text:
 
@@ -229,26 +367,43 @@ def _inline_markdown(text: str, block: Block, names: dict[str, str]) -> str:
         text = _tags(text, block)
     elif "&" in text:
         text = html.unescape(text)
-    for pattern in (_md_star, _md_under):
-        if ("*" if pattern is _md_star else "_") in text:
-            changed = pattern.sub(r"\2", text)
+    for mark in "*_":
+        if mark in text:
+            changed = _emphasis(text, mark)
             if changed != text:
                 _note(block, "emphasis")
-                text = pattern.sub(r"\2", changed)
+                text = _emphasis(changed, mark)
     if code:
-        text = re.sub("\ufdd3(\\d+)\ufdd4", lambda m: code[int(m[1])], text)
+        text = re.sub("\ufdd3([0-9]+)\ufdd4", lambda m: code[int(m[1])], text)
     return _put_back(text, held)
 
 
 # Prefixes of page links that are no links to pages.
 NO_PAGES = ("category", "file", "image", "media", "kategorie", "catégorie", "categoría", "رده", "категория", "datei", "fichier", "archivo")
 _template = re.compile(r"\{\{[^{}]*\}\}")
-_ref = re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", re.I | re.S)
+_ref = re.compile(r"<ref\b[^<>]*>", re.I)
+_ref_end = re.compile(r"</ref\s?>", re.I)
+
+
+def _without_references(text: str) -> str:
+    """The text without notes; a note that is not closed stays, but for its tag."""
+    ends = [(m.start(), m.end()) for m in _ref_end.finditer(text)]
+    out, at = [], 0
+    for m in _ref.finditer(text):
+        if m.start() < at:
+            continue
+        out.append(text[at : m.start()])
+        at = m.end()
+        if not m[0].endswith("/>") and (k := bisect_right(ends, (m.end(), -1))) < len(ends):
+            at = ends[k][1]
+    return "".join(out) + text[at:]
+
+
 
 
 def _inline_wiki(text: str, block: Block) -> str:
-    if "<ref" in text:
-        text = _ref.sub("", text)
+    if "<ref" in text.lower():
+        text = _without_references(text)
     if "{{" in text:
         text = _template.sub("", text)
     if "<" in text:
@@ -276,9 +431,9 @@ def _inline_wiki(text: str, block: Block) -> str:
     return text
 
 
-_tex_command = re.compile(r"\\(?:label|cite[tp]?|ref|eqref|vspace|hspace|includegraphics)\*?(?:\[[^\]]*\])?\{[^{}]*\}|\\(?:noindent|centering|clearpage|newpage|maketitle|tableofcontents|par)\b[ ]?")
+_tex_command = re.compile(r"\\(?:label|cite[tp]?|ref|eqref|vspace|hspace|includegraphics)\*?(?:\[[^\[\]\n]*\])?\{[^{}]*\}|\\(?:noindent|centering|clearpage|newpage|maketitle|tableofcontents|par)\b[ ]?")
 _tex_escape = re.compile(r"\\([&%#_$\{}])")
-_tex_other = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?|[{}]")
+_tex_other = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\[\]\n]*\])?|[{}]")
 
 
 def _inline_latex(text: str, block: Block) -> str:
@@ -299,24 +454,30 @@ def _inline_latex(text: str, block: Block) -> str:
 # ---- blocks --------------------------------------------------------------------------------------------------
 
 _comment = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_html_piece = re.compile(r"<!--.*?(?:-->|\Z)|<!\w[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s[^<>]*)?)/?>|[^<]+|<", re.S)
+_html_piece = re.compile(r"<!--.*?(?:-->|\Z)|<!\w[^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s[^<>]*)?)/?>|[^<]+|<", re.S)
 _chrome = {"head", "style", "script", "nav", "footer", "aside", "form", "title"}
 _breaks = {"p", "div", "li", "ul", "ol", "table", "tr", "section", "article", "body", "html", "br", "hr", "dl", "dt", "dd", "blockquote", "main", "header"} | _chrome
 _inline_tags = {"b", "strong", "i", "em"}
+_no_container = {"p", "li", "tr", "dt", "dd"}
 
 
 def _blocks_html(text: str) -> list[Block]:
+    """Blocks with the number of the element that holds them as parent, and that of the element of ``_chrome`` as frame."""
     blocks: list[Block] = []
-    parents, number, fresh = [0], 0, Block("text", "")
+    parents, number = [0], 0
     path: list[str] = []
+    open_tags: Counter[str] = Counter()
+    frames = [0]
+    fresh, parts = Block("text", ""), []
 
     def close() -> None:
-        nonlocal fresh
-        if fresh.text.strip() or fresh.elements or fresh.kind not in ("text", "item"):
-            fresh.text = html.unescape(fresh.text).strip() if fresh.kind != "code" else html.unescape(fresh.text).strip("\n")
+        nonlocal fresh, parts
+        text = html.unescape("".join(parts))
+        text = text.strip("\n") if fresh.kind == "code" else text.strip()
+        if text or fresh.elements or fresh.kind not in ("text", "item"):
+            fresh.text = text
             blocks.append(fresh)
-        chrome = next((p for p in reversed(path) if p in _chrome), None)
-        fresh = Block("chrome" if chrome else "text", "", parents[-1])
+        fresh, parts = Block("text", "", parents[-1], frame=frames[-1]), []
 
     raw = math = None
     for m in _html_piece.finditer(text):
@@ -327,33 +488,33 @@ def _blocks_html(text: str) -> list[Block]:
                 close()
                 raw = None
             elif not tag or raw in ("style", "script"):
-                fresh.text += "" if piece.startswith("<!--") else piece
+                parts.append("" if piece.startswith("<!--") else piece)
             continue
         if math:
             if tag == "math" and closing:
-                fresh.text += "$"
+                parts.append("$")
                 math = None
             elif not tag:
-                fresh.text += piece
+                parts.append(piece)
             continue
         if piece.startswith("<!"):
             close()
-            blocks.append(Block("comment", piece, parents[-1]))
+            blocks.append(Block("comment", piece, parents[-1], frame=frames[-1]))
             continue
         if not tag:
             if "\\(" in piece or "\\[" in piece:
                 piece = _put_back(*_formulas(piece, fresh, dollars=False))
-            fresh.text += piece
+            parts.append(piece)
             continue
         if tag in ("pre", "style", "script") and not closing:
             close()
-            fresh.kind = "code" if tag == "pre" else "chrome"
-            if tag == "pre" and not any(p in _chrome for p in path):
+            fresh.kind = "code" if tag == "pre" else "script"
+            if tag == "pre":
                 fresh.elements.add("code")
             raw = tag
         elif tag == "math" and not closing:
             fresh.elements.add("formula")
-            fresh.text += "$"
+            parts.append("$")
             math = tag
         elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             close()
@@ -365,18 +526,25 @@ def _blocks_html(text: str) -> list[Block]:
             if tag in ("br", "hr"):
                 continue
             if closing:
-                if tag in path:
-                    while path.pop() != tag:
+                if open_tags[tag]:
+                    while True:
+                        last = path.pop()
                         parents.pop()
-                    parents.pop()
-            elif tag not in ("p", "li", "tr", "dt", "dd"):
+                        open_tags[last] -= 1
+                        if last in _chrome:
+                            frames.pop()
+                        if last == tag:
+                            break
+            elif tag not in _no_container:
                 number += 1
                 path.append(tag)
+                open_tags[tag] += 1
                 parents.append(number)
-            fresh.parent = parents[-1]
-            fresh.kind = "chrome" if any(p in _chrome for p in path) else "text"
+                if tag in _chrome:
+                    frames.append(number)
+            fresh.parent, fresh.frame = parents[-1], frames[-1]
             if tag == "li" and not closing:
-                fresh.kind, fresh.level = "item", sum(p in ("ul", "ol") for p in path)
+                fresh.kind, fresh.level = "item", open_tags["ul"] + open_tags["ol"]
                 fresh.elements.add("list")
         elif not closing:
             if tag in _inline_tags:
@@ -390,7 +558,8 @@ def _blocks_html(text: str) -> list[Block]:
 
 
 _md_fence_open = re.compile(r"^ {0,3}(`{3,}|~{3,})")
-_md_atx = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_md_atx = re.compile(r" {0,3}(#{1,6})(?:[ \t]|$)")
+_md_quote = re.compile(r"(?:> ?)+")
 _md_rule = re.compile(r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$")
 _md_setext = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 _md_item = re.compile(r"^([ \t]*)(?:[-*+]|\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?(.*)$")
@@ -415,8 +584,8 @@ def _blocks_markdown(text: str) -> list[Block]:
 
     while i < len(lines):
         line = lines[i]
-        while line.startswith(">"):
-            line = line[2:] if line.startswith("> ") else line[1:]
+        if line.startswith(">"):
+            line = line[_md_quote.match(line).end() :]
         if m := _md_fence_open.match(line):
             close()
             mark, body = m[1], []
@@ -441,7 +610,9 @@ def _blocks_markdown(text: str) -> list[Block]:
         elif m := _md_atx.match(line):
             close()
             section += 1
-            paragraph.append(m[2] or "")
+            title = line[m.end() :].strip(" \t")
+            bare = title.rstrip("#")
+            paragraph.append(bare.rstrip(" \t") if not bare or bare[-1] in " \t" else title)
             close("heading", len(m[1]))
             in_list = False
         elif paragraph and not in_list and (m := _md_setext.match(line)):
@@ -481,9 +652,18 @@ def _blocks_markdown(text: str) -> list[Block]:
     return blocks
 
 
-_wiki_heading = re.compile(r"^(={1,6})[ \t]*(.+?)[ \t]*\1[ \t]*$")
+def _wiki_heading(line: str) -> tuple[int, str] | None:
+    """(level, text) of a line between as many equals signs, up to six, on both sides."""
+    line = line.rstrip(" \t")
+    if line[:1] != "=" or line[-1] != "=":
+        return None
+    level = min(len(line) - len(line.lstrip("=")), len(line) - len(line.rstrip("=")), 6, (len(line) - 1) // 2)
+    inside = line[level : len(line) - level].strip(" \t")
+    return (level, inside) if level and inside else None
+
+
 _wiki_item = re.compile(r"^([*#]+)[ \t]*(.*)$")
-_wiki_category = re.compile(r"^\s*(?:\[\[[^\[\]|]+:[^\[\]]*\]\]\s*)+$")
+_wiki_category = re.compile(r"(?:\[\[[^\[\]|:]+:[^\[\]]*\]\]\s*+)++\Z")
 
 
 def _blocks_wiki(text: str) -> list[Block]:
@@ -503,18 +683,18 @@ def _blocks_wiki(text: str) -> list[Block]:
         for line in text[at : m.start() if m else None].split("\n"):
             if not line.strip():
                 close()
-            elif h := _wiki_heading.match(line):
+            elif h := _wiki_heading(line):
                 close()
                 section += 1
-                b = Block("heading", "", section, len(h[1]), {"heading"})
-                b.text = _inline_wiki(h[2], b)
+                b = Block("heading", "", section, h[0], {"heading"})
+                b.text = _inline_wiki(h[1], b)
                 blocks.append(b)
             elif h := _wiki_item.match(line):
                 close()
                 b = Block("item", "", section, len(h[1]), {"list"})
                 b.text = _inline_wiki(h[2], b)
                 blocks.append(b)
-            elif _wiki_category.match(line) and line.strip().strip("[").split(":", 1)[0].strip().lower() in NO_PAGES:
+            elif _wiki_category.match(line.strip()) and line.strip().strip("[").split(":", 1)[0].strip().lower() in NO_PAGES:
                 close()
                 blocks.append(Block("category", line.strip(), section))
             else:
@@ -533,11 +713,11 @@ TEX_CODE = ("verbatim", "lstlisting", "minted", "Verbatim")
 TEX_LISTS = ("itemize", "enumerate", "description")
 TEX_FORMULAS = ("equation", "align", "gather", "multline", "eqnarray", "displaymath", "math", "alignat", "flalign")
 
-_tex_code = re.compile(r"\\begin\{(verbatim\*?|Verbatim|lstlisting|minted)\}(?:\[[^\]]*\])?(?:\{[^{}]*\})?(.*?)(?:\\end\{\1\}|\Z)", re.S)
+_tex_code = re.compile(r"\\begin\{(verbatim\*?|Verbatim|lstlisting|minted)\}(?:\[[^\[\]\n]*\])?(?:\{[^{}\n]*\})?(.*?)(?:\\end\{\1\}|\Z)", re.S)
 _tex_comment = re.compile(r"(?<!\\)%[^\n]*")
 _tex_formula = re.compile(r"\\begin\{((?:" + "|".join(TEX_FORMULAS) + r")\*?)\}(.*?)(?:\\end\{\1\}|\Z)|\\\[(.+?)(?:\\\]|\Z)|(?<!\\)\$\$(.+?)(?:\$\$|\Z)", re.S)
-_tex_heading = re.compile(r"\\(part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}")
-_tex_structure = re.compile(r"\\(?:begin|end)\{(\w+\*?)\}(?:\[[^\]]*\])?|\\item\b(?:\[[^\]]*\])?")
+_tex_heading = re.compile(r"\\(part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?(?:\[[^\[\]\n]*\])?\{((?:[^{}]++|\{[^{}]*+\})*+)\}")
+_tex_structure = re.compile(r"\\(?:begin|end)\{(\w+\*?)\}(?:\[[^\[\]\n]*\])?|\\item\b(?:\[[^\[\]\n]*\])?")
 _tex_preamble = re.compile(r"\\(?:documentclass|usepackage|title|author|date|newcommand|input|bibliography\w*)\b[^\n]*")
 
 
@@ -612,26 +792,47 @@ def blocks(text: str, syntax: str) -> list[Block]:
 
 # ---- content and boilerplate ---------------------------------------------------------------------------------
 
-# Classifier: evidence for content (positive) or boilerplate (negative) by kind, and for features of the block.
-KIND_WEIGHT = {"text": 1.0, "heading": 3.0, "item": 2.5, "code": 4.0, "formula": 4.0, "chrome": -6.0, "comment": -6.0, "preamble": -6.0, "category": -6.0, "definition": -5.0, "rule": -3.0}
-WORD_WEIGHT, MOST_WORDS, LINK_WEIGHT, ELEMENT_WEIGHT = 0.15, 20, -0.4, 1.5
-NEXT_WEIGHT, PARENT_WEIGHT, NEAR = 0.5, 0.3, 3
+# Features of a block by itself; what holds it and what stands beside it is the business of the edges.
+BLOCK_FEATURES = (
+    "text", "heading", "item", "code", "formula", "script", "comment", "preamble", "category", "definition", "rule",
+    "words", "sentence", "marked", "links",
+)
+# Weights where nothing is fitted.
+BLOCK_PRIOR = {
+    "text": 0.5, "heading": 3.0, "item": 2.5, "code": 4.0, "formula": 4.0, "script": -6.0, "comment": -6.0, "preamble": -6.0, "category": -6.0, "definition": -5.0, "rule": -3.0,
+    "words": 0.5, "sentence": 1.0, "marked": 1.5, "links": -4.0,
+}
+NEXT_WEIGHT, PARENT_WEIGHT, NEAR = 0.5, 0.5, 3
+FRAME_WEIGHT, FRAME_COST = 2.5, 6.0  # tie of a block to the element of the frame that holds it, and what calling that element content costs
+_sentence = re.compile(r"[.!?:;…؟。]\W*\Z")
+
+
+def block_features(b: Block) -> list[float]:
+    words = b.text.count(" ") + bool(b.text)
+    kinds = [float(b.kind == f) for f in BLOCK_FEATURES[:11]]
+    return [*kinds, float(np.log2(1 + words)), float(_sentence.search(b.text[-20:]) is not None), float(not b.elements.isdisjoint(("emphasis", "formula"))), b.links / (1 + words)]
 
 
-def labels(found: list[Block]) -> list[bool]:
-    """True for the content blocks: the minimum cut over classifier costs, adjacency and nearness under a parent."""
-    own = []
-    for b in found:
-        words = b.text.count(" ") + 1
-        weight = KIND_WEIGHT[b.kind]
-        if weight > 0:
-            weight += WORD_WEIGHT * min(MOST_WORDS, words) + LINK_WEIGHT * min(b.links, 3) + ELEMENT_WEIGHT * bool(b.elements - {"link"})
-        own.append(weight)
-    edges = [(i, i + 1, NEXT_WEIGHT) for i in range(len(found) - 1)]
-    edges += [
-        (i, j, PARENT_WEIGHT / (j - i)) for i in range(len(found)) for j in range(i + 2, min(i + 1 + NEAR, len(found))) if found[i].parent == found[j].parent
-    ]
-    return label([max(0.0, w) for w in own], [max(0.0, -w) for w in own], edges)
+def own_costs(found: list[Block], model: Model | None = None) -> list[float]:
+    """What speaks for content in each block by itself."""
+    return (np.array([block_features(b) for b in found]) @ (model or _prior()).block).tolist()
+
+
+def labels(found: list[Block], model: Model | None = None) -> list[bool]:
+    """True for the content blocks, by the minimum cut.
+
+    Nodes are the blocks, at the classifier's costs, and the elements of a page's frame, which are boilerplate. Ties join neighbours, near blocks under the same
+    parent, and blocks with the element of the frame that holds them.
+    """
+    if not found:
+        return []
+    own, n = own_costs(found, model), len(found)
+    edges = [(i, i + 1, NEXT_WEIGHT) for i in range(n - 1)]
+    edges += [(i, j, PARENT_WEIGHT / (j - i)) for i in range(n) for j in range(i + 1, min(i + 1 + NEAR, n)) if found[i].parent == found[j].parent]
+    frames = {f: n + k for k, f in enumerate(sorted({b.frame for b in found if b.frame}))}
+    edges += [(i, frames[b.frame], FRAME_WEIGHT) for i, b in enumerate(found) if b.frame]
+    own += [-FRAME_COST] * len(frames)
+    return label([max(0.0, w) for w in own], [max(0.0, -w) for w in own], edges)[:n]
 
 
 def _write(b: Block) -> str:
@@ -646,28 +847,114 @@ def _write(b: Block) -> str:
     return b.text
 
 
-def convert(text: str | None, file_name: str | None = None) -> tuple[str | None, list[str], str | None]:
+def convert(text: str | None, file_name: str | None = None, model: Model | None = None) -> tuple[str | None, list[str], str | None]:
     """(notation, kinds of elements in the content, clean text) of one document."""
-    syntax = notation(text, file_name)
+    syntax = notation(text, file_name, model)
     if syntax is None:
         return None, [], text
+    text, back = _without_held(text)
     found = blocks(text, syntax)
-    content = [b for b, keep in zip(found, labels(found), strict=True) if keep]
+    content = [b for b, keep in zip(found, labels(found, model), strict=True) if keep]
     elements = set().union(*(b.elements for b in content))
     clean = []
     for k, b in enumerate(content):
         if k:
             clean.append("\n" if b.kind == "item" and content[k - 1].kind == "item" else "\n\n")
         clean.append(_write(b))
-    return syntax, [e for e in ELEMENTS if e in elements], "".join(clean)
+    made = "".join(clean)
+    return syntax, [e for e in ELEMENTS if e in elements], made.translate(back) if back else made
+
+
+# ---- fit -----------------------------------------------------------------------------------------------------
+
+FIT_ROWS = 3000  # records that the classifiers are fitted on
+FIT_BLOCKS = 40  # blocks of each of them
+HOLD_NOTATION, HOLD_BLOCK = 3.0, 3.0  # strength of the prior, in records and blocks
+
+
+def fit_notation(x: np.ndarray, y: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Softmax regression over the notations on labelled evidence, held to the prior weights; labels are those of the file names.
+
+    Rows whose name the prior contradicts are taken for misnamed and left out. Names tell nothing about plain texts, so their row
+    stays as it is and what makes a text plain is the lack of evidence.
+    """
+    w0 = prior_weights()
+    named_well = np.argmax((x @ w0.T)[:, 1:], axis=1) + 1 == y
+    x, y = x[named_well], y[named_well]
+    if not len(x):
+        return w0
+    w, v = w0.copy(), np.zeros_like(w0)
+    target = np.eye(len(NOTATIONS))[y]
+    rate = 0.5 / (1.0 + (x**2).sum(axis=1).mean())
+    for _ in range(steps):
+        z = x @ w.T
+        z[:, 0] = -np.inf
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        slope = (e / e.sum(axis=1, keepdims=True) - target).T @ x / len(x) + HOLD_NOTATION / len(x) * (w - w0)
+        slope[0] = 0.0
+        v = 0.9 * v - rate * slope
+        w = w + v
+    return w
+
+
+def fit_blocks(x: np.ndarray, y: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Logistic regression on blocks whose kind gives their label away, held to the prior weights."""
+    w0 = Model().block
+    w, v = w0.copy(), np.zeros_like(w0)
+    rate = 2.0 / (1.0 + (x**2).sum(axis=1).mean())
+    for _ in range(steps):
+        slope = x.T @ (1 / (1 + np.exp(-(x @ w))) - y) / len(x) + HOLD_BLOCK / len(x) * (w - w0)
+        v = 0.9 * v - rate * slope
+        w = w + v
+    return w
+
+
+_FRAME = ("script", "comment", "preamble", "category", "definition", "rule")
+
+
+def sample_of(text: str | None, file_name: str | None) -> tuple[list[float] | None, int, list[list[float]], list[bool]]:
+    """Evidence and label of a record (None and -1 where its name tells nothing), features and labels of its first blocks."""
+    if not text or not _marks.search(text):
+        return None, -1, [], []
+    hint = hint_of(file_name)
+    found = evidence(text, None)  # the name is the label, so it is no evidence here
+    y = NOTATIONS.index(hint) if hint and found[: len(EVIDENCE)].any() else -1
+    syntax = NOTATIONS[int(np.argmax(_prior().notation @ found))]
+    seen = blocks(_without_held(text)[0], syntax)[:FIT_BLOCKS] if syntax != "plain" else []
+    sure = [b for b in seen if b.kind in _FRAME or not b.frame]  # other blocks inside the frame are left to the cut
+    return found.tolist() if y >= 0 else None, y, [block_features(b) for b in sure], [b.kind not in _FRAME for b in sure]
 
 
-def clean_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "content", name_col: str = "file_name") -> DataFrame:
+def fit(df: DataFrame, text_col: str = "content", name_col: str = "file_name", rows: int = FIT_ROWS) -> Model:
+    """The classifiers, fitted on the first ``rows`` records with a text; of each the driver gets evidence and features of at most ``FIT_BLOCKS`` blocks."""
+
+    def run(batches):
+        for batch in batches:
+            got = [sample_of(t, n) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.int32()),
+                 pa.array([sum(g[2], []) for g in got], pa.list_(pa.float64())), pa.array([g[3] for g in got], pa.list_(pa.bool_()))],
+                ["evidence", "y", "features", "labels"],
+            )
+
+    texts = df.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{name_col}`").alias("name")).where("text <> ''").limit(rows)
+    got = texts.mapInArrow(run, "evidence array<double>, y int, features array<double>, labels array<boolean>").collect()
+    model = Model()
+    if known := [g for g in got if g.evidence is not None]:
+        model.notation = fit_notation(np.array([g.evidence for g in known]), np.array([g.y for g in known]))
+    if marked := [g for g in got if g.labels]:
+        x = np.concatenate([np.array(g.features).reshape(-1, len(BLOCK_FEATURES)) for g in marked])
+        model.block = fit_blocks(x, np.concatenate([np.array(g.labels, dtype=float) for g in marked]))
+    return model
+
+
+def clean_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "content", name_col: str = "file_name", fit_rows: int = FIT_ROWS) -> DataFrame:
     """(id_col, syntax, elements ARRAY<STRING>, text) of every row; syntax is null for plain documents."""
+    model = fit(df, text_col, name_col, fit_rows)
 
     def run(batches):
         for batch in batches:
-            rows = [convert(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = [convert(t, n, model) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.string())],
                 ["id", "syntax", "elements", "text"],

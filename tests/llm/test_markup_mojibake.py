@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -201,3 +202,79 @@ def test_a_short_run_follows_the_long_one(spark):
     texts = [(i, f"{t} {i}") for i, t in enumerate(plain)] + [(900, misread("для поиска и словарь в базе", "cp1251", "cp1252"))]
     got = {r.doc_id: r.text for r in mojibake.repair(spark.createDataFrame(texts, "doc_id bigint, text string")).where("garbled").collect()}
     assert got == {900: "для поиска и словарь в базе"}
+
+
+# ---- markup: hostile texts, the fit and the cut
+
+
+@pytest.mark.parametrize("text", ["# a\n\n$x$ b \ufdd19\ufdd2 c\n", "# a\n\n`x` b \ufdd39\ufdd4 c\n", "\\section{a}\n\n\\emph{b} \\(x\\) \ufdd10\ufdd2 \ufdd5 c", "<p>\\(x\\) \ufdd10\ufdd2 \ufdd3\ufdd4\ufdd5 <b>c</b></p>", "== a ==\n\n[[b]] \ufdd10\ufdd2\ufdd5"])
+def test_characters_of_the_scanners_are_kept(text):
+    syntax, _, made = markup.convert(text)
+    kept = [c for c in text if c in markup.HELD]
+    assert syntax and [c for c in made if c in markup.HELD] == kept
+
+
+LONG = {
+    "references": "a <ref>", "parentheses": "\\( a ", "stars": "**a ", "underscores": "_a ", "elements": "<div>", "comments": "<!--", "declarations": "<!a", "quotes": ">", "lines": "\n",
+    "cite": "\\cite[", "sections": "\\section{", "links": '[a](b "', "brackets": "[", "braces": "{{", "dollars": "$$ a ", "apostrophes": "''a '''b ", "items": "<ul><li>a", "attributes": "href ",
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_a_megabyte_of_unclosed_marks(name):
+    text = {"attributes": "<a ", "lines": "# a"}.get(name, "") + LONG[name] * (1_000_000 // len(LONG[name]))
+    began = time.process_time()
+    for syntax in ("html", "markdown", "wiki", "latex"):
+        found = markup.blocks(text, syntax)
+        assert len(markup.labels(found)) == len(found)
+    markup.notation(text)
+    assert time.process_time() - began < 45
+
+
+def test_the_cut_changes_labels_and_is_right(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/docs.parquet")
+    model = markup.fit(docs)
+    right = wrong = 0
+    for r in docs.select("content", "file_name").collect():
+        if syntax := markup.notation(r.content, r.file_name, model):
+            found = markup.blocks(r.content, syntax)
+            for b, kept, own in zip(found, markup.labels(found, model), markup.own_costs(found, model) if found else [], strict=True):
+                if kept != (own >= 0):
+                    # the titles of pages: text by itself, but in the head
+                    right += kept == (not b.frame and b.kind not in markup._FRAME)
+                    wrong += kept != (not b.frame and b.kind not in markup._FRAME)
+    assert right >= 20 and wrong == 0
+
+
+def test_navigation_is_no_content():
+    links = "".join(f"<li><a href='/{i}'>p{i}</a></li>" for i in range(6))
+    page = f"<html><body><div><h1>Title</h1><p>A long paragraph of text that says something. It goes on for a while.</p></div><nav><ul>{links}</ul></nav></body></html>"
+    _, elements, made = markup.convert(page)
+    assert elements == ["heading"] and "long paragraph" in made and "p3" not in made
+    # links of an article stay, and so does an article in the frame
+    _, elements, made = markup.convert(page.replace("nav>", "div>"))
+    assert "list" in elements and "p3" in made
+    _, _, made = markup.convert(page.replace("<div><h1>", "<aside><h1>").replace("</p></div>", "</p></aside>"))
+    assert "long paragraph" in made
+
+
+def test_fit_on_nothing(spark):
+    model = markup.fit(spark.createDataFrame([(1, None, None), (2, "", "a.md")], "doc_id bigint, content string, file_name string"))
+    assert (model.notation == markup.prior_weights()).all()
+    assert markup.hint_of(None) is None and markup.hint_of("x") is None and markup.hint_of("x.MD ") == "markdown"
+
+
+def test_maximum_flow_of_long_chains():
+    rnd = random.Random(3)
+    n = 20_000
+    own = [rnd.uniform(-1, 1) for _ in range(n)]
+    edges = [(i, i + 1, 1.0) for i in range(n - 1)]
+    got = mincut.label([max(0, w) for w in own], [max(0, -w) for w in own], edges)
+    # along a chain the cheapest labelling can be found step by step
+    keep, drop, back = 0.0, 0.0, []
+    for i, w in enumerate(own):
+        a, b = (keep, drop + 1.0) if i else (0.0, 0.0)
+        c, d = (drop, keep + 1.0) if i else (0.0, 0.0)
+        back.append((a <= b, c <= d))
+        keep, drop = min(a, b) + max(0, -w), min(c, d) + max(0, w)
+    assert cost(got, [max(0, w) for w in own], [max(0, -w) for w in own], edges) == pytest.approx(min(keep, drop))
