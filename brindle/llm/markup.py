@@ -102,7 +102,7 @@ EVIDENCE = [
 ]
 NOTATIONS = ("plain", "html", "markdown", "wiki", "latex")
 NAME_WEIGHT = 1.5  # weight of an extension before anything is fitted
-LEAST = 1.9  # evidence that makes up for the prior of a plain text
+LEAST = 1.75  # evidence that makes up for the prior of a plain text
 
 _marks = re.compile(r"[<>#*_`\[\]{}\\$='~&|]|^[ \t]*(?:[-+>:]|\d+[.)])\s|^ {4}|^-{3,}$", re.M)
 _fence = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
@@ -803,7 +803,7 @@ BLOCK_PRIOR = {
     "words": 0.5, "sentence": 1.0, "marked": 1.5, "links": -4.0,
 }
 NEXT_WEIGHT, PARENT_WEIGHT, NEAR = 0.5, 0.5, 3
-FRAME_WEIGHT, FRAME_COST = 2.5, 6.0  # tie of a block to the element of the frame that holds it, and what calling that element content costs
+FRAME_WEIGHT, FRAME_COST = 2.5, 1e6  # tie of a block to the element of the frame that holds it; such an element itself is never content
 _sentence = re.compile(r"[.!?:;…؟。]\W*\Z")
 
 
