@@ -1,13 +1,16 @@
 """Queries of the text search over the test tables, and the SQL to hold them against.
 
-Documents are the table docs, the log is searches and clicks. Words are those of the collection: ``vector``, ``archive``, ``bucket`` and others.
+Documents are the table docs, the log is searches and clicks. Words are those of the collection: ``vector``, ``archive``, ``bucket`` and others. The SQL has its
+own copies of the stop words, file types and size categories; stems and synonyms are taken from the rules and the dictionary.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as X
@@ -23,7 +26,7 @@ from brindle.operators import search as S
 from brindle.operators import spell as P
 from brindle.operators import stats as T
 from brindle.plans.compiler import compile_query
-from brindle.session import table
+from brindle.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,9 +62,27 @@ def _clicks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "clicks")
 
 
+_WRITTEN: set[tuple[str, str]] = set()
+
+
+def _index(spark: SparkSession, d: str) -> I.StoredIndex:
+    """The index of a folder's docs, written to the application's shared folder when it is first asked for."""
+    key = (spark.sparkContext.applicationId, d)
+    path = f"{shared_folder(spark)}/index-{zlib.crc32(d.encode()):08x}"
+    if key not in _WRITTEN:
+        docs = _docs(spark, d)
+        I.write_index(I.postings(docs), docs, path)
+        _WRITTEN.add(key)
+    return I.read_index(spark, path)
+
+
 # ---- SQL building blocks --------------------------------------------------------------------------------------
 
-_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+# The stop words.
+_STOP = """'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'he', 'in', 'is', 'it', 'its', 'of', 'on', 'that', 'the', 'to', 'was', 'were', 'will', 'with',
+'this', 'but', 'they', 'have', 'been', 'being', 'had', 'having', 'do', 'does', 'did', 'doing', 'would', 'should', 'could', 'ought', 'i', 'you', 'we', 'she', 'him', 'her', 'their', 'them',
+'what', 'which', 'who', 'when', 'where', 'why', 'how', 'all', 'each', 'every', 'both', 'few', 'more', 'most', 'other', 'some', 'such', 'no', 'nor', 'not', 'only', 'own', 'same', 'so',
+'than', 'too', 'very', 'can', 'just'"""
 _KEEP = rf"length(t) <= 30 AND length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) >= 2 AND t NOT IN ({_STOP})"
 
 
@@ -102,8 +123,7 @@ scores AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2
 
 @_query("q_tokenize", f"{_WITH} SELECT raw AS token, count(*) AS n FROM post GROUP BY raw")
 def _(spark, d):
-    arrays = I.token_arrays(_docs(spark, d))
-    return arrays.select(F.explode(F.concat("title_tokens", "content_tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return I.word_stats(_docs(spark, d)).select(F.col("raw").alias("token"), F.col("cf").alias("n"))
 
 
 @_query("q_normalize", rf"SELECT doc_id, trim(regexp_replace(lower(title), '[^\p{{L}}\p{{Mn}}\p{{Nd}}\p{{Pc}}\-]+', ' ', 'g')) AS norm FROM docs")
@@ -127,7 +147,7 @@ def _(spark, d):
 
 @_query("q_term_stats", f"{_WITH} SELECT raw AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM post GROUP BY raw")
 def _(spark, d):
-    return I.term_stats(I.raw_postings(_docs(spark, d)), "raw").withColumnRenamed("raw", "term")
+    return I.word_stats(_docs(spark, d)).withColumnRenamed("raw", "term")
 
 
 @_query("q_term_count", f"{_WITH} SELECT count(DISTINCT raw) AS n_terms FROM post")
@@ -140,9 +160,10 @@ def _(spark, d):
     return I.range_scan(I.raw_postings(_docs(spark, d)), "ba", "bo", "raw").select(F.col("raw").alias("term")).distinct()
 
 
-@_query("q_vocabulary", f"{_WITH} SELECT DISTINCT raw AS term FROM post")
+@_query("q_vocabulary", f"{_WITH} SELECT term, row_number() OVER (ORDER BY term) AS rank FROM (SELECT DISTINCT raw AS term FROM post)")
 def _(spark, d):
-    return I.vocabulary(I.raw_postings(_docs(spark, d)), "raw").withColumnRenamed("raw", "term")
+    words = I.vocabulary(I.raw_postings(_docs(spark, d)), "raw").withColumnRenamed("raw", "term")
+    return R.in_places(words, F.col("term"))
 
 
 @_query("q_stem_vocab", f"{_WITH} {stem_sql('SELECT raw FROM post').replace('WITH words AS', ', words AS', 1)}")
@@ -175,9 +196,54 @@ def _(spark, d):
     return I.kgram_report(I.raw_postings(_docs(spark, d)).select("raw").distinct(), 2, "raw")
 
 
-@_query("q_index_layout")
+@_query("q_index_layout", f"{_STEMMED} SELECT min(term) AS first_term, max(term) AS last_term, count(*) AS n_postings, count(DISTINCT term) AS n_terms, 0 AS n_split FROM spost")
+def _(spark, d):
+    # the layout of an index ordered by term: its parts follow one another, so that no term is in two of them
+    parts = I.index_layout(I.postings(_docs(spark, d)).repartitionByRange("term")).withColumn("after", F.lead("first_term").over(Window.orderBy("first_term")))
+    return parts.agg(
+        F.min("first_term").alias("first_term"), F.max("last_term").alias("last_term"), F.sum("n_postings").alias("n_postings"), F.sum("n_terms").alias("n_terms"),
+        F.count_if(F.col("after") <= F.col("last_term")).cast("int").alias("n_split"),
+    )
+
+
+@_query("q_index_build", f"{_STEMMED} SELECT (SELECT count(*) FROM lens) AS n_docs, round((SELECT avg(total_terms) FROM lens), 6) AS avg_len, count(DISTINCT term) AS n_terms, count(*) AS n_postings FROM spost")
+def _(spark, d):
+    docs, path = _docs(spark, d), f"{shared_folder(spark)}/built-{uuid.uuid4().hex}"
+    I.write_index(I.postings(docs), docs, path)
+    built = I.read_index(spark, path)
+    figures = built.figures.select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+    return figures.withColumn("n_terms", built.vocabulary.agg(F.count(F.lit(1))).scalar()).withColumn("n_postings", built.postings.agg(F.count(F.lit(1))).scalar())
+
+
+@_query("q_index_lookup", f"{_STEMMED} {_has(stem('migrations'), 'term', 'spost')}")
+def _(spark, d):
+    return I.lookup(_index(spark, d).postings, stem("migrations"))
+
+
+@_query("q_index_range", f"{_STEMMED} SELECT DISTINCT term FROM spost WHERE term BETWEEN 'ba' AND 'bo'")
+def _(spark, d):
+    return I.range_scan(_index(spark, d).vocabulary, "ba", "bo").select("term")
+
+
+@_query("q_index_vocabulary", f"{_STEMMED} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM spost GROUP BY term")
+def _(spark, d):
+    return _index(spark, d).vocabulary
+
+
+@_query("q_index_kgrams", f"""{_STEMMED}, v AS (SELECT DISTINCT term, '$' || term || '$' AS p FROM spost)
+SELECT DISTINCT substr(p, CAST(i AS INT), 2) AS kgram, term, CAST(length(term) AS INT) AS len FROM (SELECT term, p, unnest(range(1, length(p))) AS i FROM v)""")
+def _(spark, d):
+    return _index(spark, d).kgrams
+
+
+@_query("q_index_bm25", f"{_STEMMED}, {_bm25([stem('migrations'), stem('vectors')], 'term', 'spost')} SELECT doc_id, score FROM scores")
+def _(spark, d):
+    return _rounded(S.ranked(_docs(spark, d), "migrations vectors", index=_index(spark, d)))
+
+
+@_query("q_index_boolean", f"{_STEMMED} ({_has(stem('vectors'), 'term', 'spost')} UNION {_has(stem('migrations'), 'term', 'spost')}) EXCEPT {_has('index', 'term', 'spost')}")
 def _(spark, d):
-    return I.index_layout(I.postings(_docs(spark, d)).repartitionByRange("term"))
+    return compile_query(_docs(spark, d), "(vectors OR migrations) AND NOT index", "stem", _index(spark, d))
 
 
 @_query("q_index_summary", f"{_STEMMED} SELECT (SELECT count(*) FROM docs) AS n_docs, (SELECT count(*) FROM docs WHERE is_indexed) AS n_indexed, count(DISTINCT term) AS n_terms, count(*) AS n_postings FROM spost")
@@ -286,25 +352,30 @@ def _(spark, d):
 
 @_query("q_phrase_search", f"{_WITH} SELECT doc_id FROM ({_phrase('notes', 'about')})")
 def _(spark, d):
-    return S.matches(_docs(spark, d), "notes about", "raw")
+    return S.matches(_docs(spark, d), "notes about", "raw", _index(spark, d))
 
 
 @_query("q_or_fallback", f"{_WITH} {_has('vector')} UNION {_has('zzz')}")
 def _(spark, d):
-    return S.matches(_docs(spark, d), "vector zzz", "raw")
+    return S.matches(_docs(spark, d), "vector zzz", "raw", _index(spark, d))
+
+
+_WEIGHTED = """SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT doc_id, CAST(sum(CASE WHEN field = 'title' THEN 2 ELSE 1 END) AS DOUBLE) AS score FROM {source} WHERE {key} IN ({terms}) GROUP BY doc_id)"""
 
 
-_WEIGHTED = "SELECT doc_id, CAST(sum(CASE WHEN field = 'title' THEN 2 ELSE 1 END) AS DOUBLE) AS score FROM {source} WHERE {key} IN ({terms}) GROUP BY doc_id"
+def _placed(found: DataFrame) -> DataFrame:
+    return R.in_places(found, F.desc("score"), F.col("doc_id"))
 
 
 @_query("q_relevance_simple", f"{_WITH} {_WEIGHTED.format(source='post', key='raw', terms=repr('vector') + ', ' + repr('zzz'))}")
 def _(spark, d):
-    return S.simple_search(_docs(spark, d), "vector zzz", "raw")
+    return _placed(S.simple_search(_docs(spark, d), "vector zzz", "raw", _index(spark, d)))
 
 
 @_query("q_relevance_stem", f"{_STEMMED} {_WEIGHTED.format(source='spost', key='term', terms=repr(stem('migrations')))}")
 def _(spark, d):
-    return S.simple_search(_docs(spark, d), "migrations")
+    return _placed(S.simple_search(_docs(spark, d), "migrations"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -313,7 +384,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @_query("q_bm25_raw", f"{_WITH}, {_bm25(['vector', 'archive'], 'raw', 'post')} SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id LIMIT 10")
 def _(spark, d):
-    return _rounded(R.page(_rounded(S.ranked(_docs(spark, d), "vector archive", "raw")), 0, 10))
+    return _rounded(R.page(_rounded(S.ranked(_docs(spark, d), "vector archive", "raw", _index(spark, d))), 0, 10))
 
 
 @_query("q_bm25_all", f"{_WITH}, {_bm25(['vector', 'archive'], 'raw', 'post')} SELECT doc_id, score FROM scores")
@@ -323,12 +394,12 @@ def _(spark, d):
 
 @_query("q_bm25_stem", f"{_STEMMED}, {_bm25([stem('migrations'), stem('vectors')], 'term', 'spost')} SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id LIMIT 10")
 def _(spark, d):
-    return R.page(_rounded(S.ranked(_docs(spark, d), "migrations vectors")), 0, 10)
+    return R.page(_rounded(S.ranked(_docs(spark, d), "migrations vectors", index=_index(spark, d))), 0, 10)
 
 
 @_query("q_bm25_page2", f"{_WITH}, {_bm25(['vector'], 'raw', 'post')} SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id LIMIT 10 OFFSET 10")
 def _(spark, d):
-    return R.page(_rounded(S.ranked(_docs(spark, d), "vector", "raw")), 1, 10)
+    return R.page(_rounded(S.ranked(_docs(spark, d), "vector", "raw", _index(spark, d))), 1, 10)
 
 
 @_query("q_page_meta", f"{_WITH}, {_bm25(['vector'], 'raw', 'post')} SELECT count(*) AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM scores")
@@ -336,13 +407,6 @@ def _(spark, d):
     return S.ranked(_docs(spark, d), "vector", "raw").agg(F.count(F.lit(1)).alias("total"), F.ceil(F.count(F.lit(1)) / 10).alias("pages"))
 
 
-@_query("q_result_page")
-def _(spark, d):
-    docs = _docs(spark, d)
-    top = R.page(S.ranked(docs, "vector archive", "raw"), 0, 10).join(docs, "doc_id")
-    return top.select("doc_id", "score", "title", H.best_snippet(F.col("content"), ["vector", "archive"]).alias("snippet")).orderBy(F.desc("score"), "doc_id")
-
-
 # ---- statistics -----------------------------------------------------------------------------------------------
 
 
@@ -376,18 +440,16 @@ def _(spark, d):
 
 # ---- spelling and expansion -----------------------------------------------------------------------------------
 
-_ASCII_VOCAB = f"{_WITH}, v AS (SELECT DISTINCT raw AS term FROM post WHERE NOT regexp_matches(raw, '[^\\x00-\\x7F]'))"
-
+_VOCAB = f"{_WITH}, v AS (SELECT DISTINCT raw AS term FROM post)"
 
-_WHOLE_VOCAB = f"{_WITH}, v AS (SELECT DISTINCT raw AS term FROM post)"
 
-
-def _whole_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return I.raw_postings(_docs(spark, d)).select(F.col("raw").alias("term")).distinct()
+def _vocab(spark: SparkSession, d: str) -> DataFrame:
+    return I.word_stats(_docs(spark, d)).select(F.col("raw").alias("term"))
 
 
-def _vocab(spark: SparkSession, d: str) -> DataFrame:
-    return _whole_vocab(spark, d).where(~F.col("term").rlike("[^\\x00-\\x7F]"))
+def _levenshtein(term: str, word: str) -> str:
+    """DuckDB's distance counts bytes: of a term, what is beyond ASCII becomes a character that no ASCII word holds."""
+    return rf"levenshtein(regexp_replace({term}, '[^\x00-\x7F]', '#', 'g'), {word})"
 
 
 def _bigrams(word: str) -> str:
@@ -401,7 +463,7 @@ def _edit_distance(vocab: DataFrame) -> DataFrame:
     return vocab.select("term", X.edit_distance(F.col("term"), F.lit("vectr")).cast("bigint").alias("distance"))
 
 
-@_query("q_edit_distance", f"{_ASCII_VOCAB} SELECT term, levenshtein(term, 'vectr') AS distance FROM v")
+@_query("q_edit_distance", f"{_VOCAB} SELECT term, {_levenshtein('term', repr('vectr'))} AS distance FROM v")
 def _(spark, d):
     return _edit_distance(_vocab(spark, d))
 
@@ -410,7 +472,7 @@ def _edit_distance_capped(vocab: DataFrame) -> DataFrame:
     return vocab.select("term", X.edit_distance(F.col("term"), F.lit("vectr"), 3).cast("bigint").alias("distance"))
 
 
-@_query("q_edit_distance_capped", f"{_ASCII_VOCAB} SELECT term, least(levenshtein(term, 'vectr'), 4) AS distance FROM v")
+@_query("q_edit_distance_capped", f"{_VOCAB} SELECT term, least({_levenshtein('term', repr('vectr'))}, 4) AS distance FROM v")
 def _(spark, d):
     return _edit_distance_capped(_vocab(spark, d))
 
@@ -419,18 +481,18 @@ def _jaccard(vocab: DataFrame) -> DataFrame:
     return vocab.select("term", F.round(X.jaccard(F.col("term"), F.lit("vectr")), 6).alias("similarity"))
 
 
-@_query("q_jaccard", f"{_ASCII_VOCAB} SELECT term, round({_JACCARD}, 6) AS similarity FROM (SELECT term, 'vectr' AS word FROM v)")
+@_query("q_jaccard", f"{_VOCAB} SELECT term, round({_JACCARD}, 6) AS similarity FROM (SELECT term, 'vectr' AS word FROM v)")
 def _(spark, d):
     return _jaccard(_vocab(spark, d))
 
 
 def _suggest_sql(words: list[str]) -> str:
     values = ", ".join(f"('{w}')" for w in words)
-    return f"""{_ASCII_VOCAB}, w(word) AS (VALUES {values}),
+    return f"""{_VOCAB}, w(word) AS (VALUES {values}),
 pairs AS (SELECT word, term FROM w, v WHERE word NOT IN (SELECT term FROM v) AND abs(length(term) - length(word)) <= 3
           AND len(list_filter({_bigrams('word')}, lambda g: list_contains({_bigrams('term')}, g))) >= greatest(1, (length(word) + 1) // 4)),
-scored AS (SELECT word, term, levenshtein(term, word) AS edit_distance, round({_JACCARD}, 6) AS jaccard, round(1.0 / (1 + levenshtein(term, word)) * (0.5 + 0.5 * {_JACCARD}), 6) AS score
-           FROM pairs WHERE levenshtein(term, word) <= 3),
+scored AS (SELECT word, term, {_levenshtein('term', 'word')} AS edit_distance, round({_JACCARD}, 6) AS jaccard, round(1.0 / (1 + {_levenshtein('term', 'word')}) * (0.5 + 0.5 * {_JACCARD}), 6) AS score
+           FROM pairs WHERE {_levenshtein('term', 'word')} <= 3),
 all_of AS (SELECT * FROM scored UNION ALL SELECT word, word, 0, 0.0, 1.0 FROM w WHERE word IN (SELECT term FROM v)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, edit_distance, term) AS rank FROM all_of)"""
 
@@ -517,12 +579,16 @@ def _(spark, d):
 # ---- facets and filters ---------------------------------------------------------------------------------------
 
 _EXT = r"CASE WHEN regexp_extract(file_name, '\.([^./\\]+)$', 1) = '' THEN 'unknown' ELSE lower(regexp_extract(file_name, '\.([^./\\]+)$', 1)) END"
-_TYPE_NAME = "CASE value " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in X.FILE_TYPES.items()) + " ELSE upper(value) || ' Files' END"
+# Names of file types, and the size categories.
+_TYPE_NAME = """CASE value WHEN 'pdf' THEN 'PDF Documents' WHEN 'txt' THEN 'Text Files' WHEN 'md' THEN 'Markdown Files' WHEN 'doc' THEN 'Word Documents' WHEN 'docx' THEN 'Word Documents'
+  WHEN 'xls' THEN 'Excel Spreadsheets' WHEN 'xlsx' THEN 'Excel Spreadsheets' WHEN 'html' THEN 'Web Pages' WHEN 'htm' THEN 'Web Pages' WHEN 'json' THEN 'JSON Files' WHEN 'xml' THEN 'XML Files'
+  ELSE upper(value) || ' Files' END"""
+_SIZES = (("0", "1", "2", "3", "4"), ("'Tiny'", "'Small'", "'Medium'", "'Large'", "'VeryLarge'"), ("'< 1 KB'", "'1-10 KB'", "'10-100 KB'", "'100 KB - 1 MB'", "'> 1 MB'"))
 
 
 def _size_sql(field: int) -> str:
-    shown = [f"'{c[field]}'" if isinstance(c[field], str) else str(c[field]) for c in X.SIZE_CATEGORIES]
-    return "CASE " + " ".join(f"WHEN file_size < {c[3]} THEN {s}" for c, s in zip(X.SIZE_CATEGORIES[:-1], shown, strict=False)) + f" ELSE {shown[-1]} END"
+    a, b, c, d, e = _SIZES[field]
+    return f"CASE WHEN file_size < 1024 THEN {a} WHEN file_size < 10240 THEN {b} WHEN file_size < 102400 THEN {c} WHEN file_size < 1048576 THEN {d} ELSE {e} END"
 
 
 _TYPE_FACET = f"SELECT value, {_TYPE_NAME} AS display_name, count(*) AS count FROM (SELECT {_EXT} AS value FROM docs WHERE coalesce(file_name, '') <> '') GROUP BY value"
@@ -582,11 +648,9 @@ def _(spark, d):
     return C.apply_filters(_docs(spark, d), required=["vector"], excluded=["bucket"]).select("doc_id")
 
 
-@_query("q_filter_all", f"SELECT doc_id FROM docs WHERE coalesce(file_name, '') <> '' AND {_EXT} IN ('txt', 'html') AND file_size >= 300 AND lower(content) LIKE '%vector%' AND {_size_sql(0)} IN (0, 1)")
+@_query("q_filter_all", f"SELECT doc_id FROM docs WHERE coalesce(file_name, '') <> '' AND {_EXT} IN ('txt', 'html') AND file_size >= 300 AND (lower(title) LIKE '%vector%' OR lower(content) LIKE '%vector%') AND {_size_sql(0)} IN (0, 1)")
 def _(spark, d):
-    # a title with the word but a content without it is told apart by the second filter
-    found = C.apply_filters(_docs(spark, d), types=["txt", "html"], size_from=300, required=["vector"], sizes=[0, 1])
-    return found.where(F.lower("content").contains("vector")).select("doc_id")
+    return C.apply_filters(_docs(spark, d), types=["txt", "html"], size_from=300, required=["vector"], sizes=[0, 1]).select("doc_id")
 
 
 @_query("q_filter_options", f"SELECT array_to_string(list_sort(list(DISTINCT e)), ' ') AS types, min(date_added) AS date_from, max(date_added) AS date_to, min(file_size) AS size_from, max(file_size) AS size_to, count(*) AS n_docs FROM (SELECT *, CASE WHEN coalesce(file_name, '') <> '' THEN {_EXT} END AS e FROM docs)")
@@ -613,10 +677,10 @@ def _(spark, d):
     return rolled.select("query", "n_searches", "total_results", F.round("total_time_ms", 3).alias("total_time_ms"), "first_searched", "last_searched")
 
 
-@_query("q_ctr", f"SELECT s.query, coalesce(c.n, 0) AS n_clicked_docs, round(coalesce(c.n, 0) / s.n_searches, 6) AS ctr, round(total_results / n_searches, 6) AS avg_results FROM ({_ROLLUP}) s LEFT JOIN (SELECT {_Q} AS query, count(DISTINCT doc_id) AS n FROM clicks WHERE query IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1) c USING (query)")
+@_query("q_ctr", f"SELECT s.query, coalesce(c.k, 0) AS n_clicks, coalesce(c.n, 0) AS n_clicked_docs, round(coalesce(c.k, 0) / s.n_searches, 6) AS ctr, round(total_results / n_searches, 6) AS avg_results FROM ({_ROLLUP}) s LEFT JOIN (SELECT {_Q} AS query, count(*) AS k, count(DISTINCT doc_id) AS n FROM clicks WHERE query IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1) c USING (query)")
 def _(spark, d):
     rolled = A.query_rollup(_searches(spark, d), _clicks(spark, d))
-    return rolled.select("query", "n_clicked_docs", F.round("ctr", 6).alias("ctr"), F.round("avg_results", 6).alias("avg_results"))
+    return rolled.select("query", "n_clicks", "n_clicked_docs", F.round("ctr", 6).alias("ctr"), F.round("avg_results", 6).alias("avg_results"))
 
 
 @_query("q_top_queries", f"SELECT {_Q} AS query, count(*) AS n_searches FROM searches WHERE query IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -669,45 +733,105 @@ def _(spark, d):
 # ---- highlighting ---------------------------------------------------------------------------------------------
 
 
-@_query("q_match_positions", r"SELECT doc_id, CAST(pos AS INT) AS start FROM (SELECT doc_id, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * 6)) AS pos, unnest(range(1, len(parts))) AS i, parts FROM (SELECT doc_id, string_split(lower(content), 'vector') AS parts FROM docs WHERE NOT regexp_matches(content, '[^\x00-\x7F]'))) WHERE NOT regexp_matches(right(parts[i], 1), '[a-z0-9]') AND NOT regexp_matches(left(parts[i + 1], 1), '[a-z0-9]')")
+def _matches_sql(words: tuple[str, ...], source: str) -> str:
+    """(doc_id, start, end, term) of whole words: the places between the pieces of the lower-cased text, with no letter or digit beside them."""
+    one = """SELECT doc_id, CAST(pos AS INT) AS start, CAST(pos + {n} AS INT) AS "end", '{w}' AS term FROM (
+  SELECT doc_id, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * {n})) AS pos, unnest(range(1, len(parts))) AS i, parts
+  FROM (SELECT doc_id, string_split(lower(content), '{w}') AS parts FROM {s}))
+WHERE NOT regexp_matches(right(parts[i], 1), '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(left(parts[i + 1], 1), '[\\p{{L}}\\p{{N}}]')"""
+    return " UNION ALL ".join(one.format(w=w, n=len(w), s=source) for w in words)
+
+
+@_query("q_match_positions", f"SELECT doc_id, start FROM ({_matches_sql(('vector',), 'docs')})")
 def _(spark, d):
-    docs = _docs(spark, d).where(~F.col("content").rlike("[^\\x00-\\x7F]"))
-    return docs.select("doc_id", F.explode(H.match_positions(F.col("content"), ["vector"])).alias("m")).select("doc_id", F.col("m.start").alias("start"))
+    return _docs(spark, d).select("doc_id", F.explode(H.match_positions(F.col("content"), ["vector"])).alias("m")).select("doc_id", F.col("m.start").alias("start"))
 
 
-@_query("q_clusters")
+def _clusters_sql(distance: int) -> str:
+    return f"""gaps AS (SELECT *, coalesce(start - lag("end") OVER (PARTITION BY doc_id ORDER BY start, "end") >= {distance}, true) AS opens FROM m),
+numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS c FROM gaps),
+grouped AS (SELECT doc_id, c, min(start) AS first_start, max("end") AS last_end, count(*) AS n, sum(start) AS total FROM numbered GROUP BY doc_id, c),
+clusters AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, c) AS INT) AS rank FROM grouped)"""
+
+
+@_query("q_clusters", f"WITH m AS ({_matches_sql(('vector', 'bucket'), 'docs')}), {_clusters_sql(150)} SELECT doc_id, rank, first_start, last_end, n FROM clusters")
 def _(spark, d):
     found = _docs(spark, d).select("doc_id", F.explode(H.match_positions(F.col("content"), ["vector", "bucket"])).alias("m")).select("doc_id", "m.start", "m.end")
     return H.clusters(found, 150)
 
 
-@_query("q_snippet")
-def _(spark, d):
-    return _docs(spark, d).where(F.lower("content").contains("vector")).select("doc_id", H.best_snippet(F.col("content"), ["vector", "archive"]).alias("snippet"))
+_WS = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+
+
+def _marked_sql(text: str, letters: str = r"\p{L}\p{N}_") -> str:
+    runs = f"regexp_extract_all({text}, '[{letters}]+|[^{letters}]+')"
+    return f"array_to_string(list_transform({runs}, lambda w: CASE WHEN lower(w) IN ('archive', 'vector') THEN '<mark>' || w || '</mark>' ELSE w END), '')"
 
 
-@_query("q_multi_snippet")
+def _cut_sql(length: int) -> str:
+    return f"""CASE WHEN length(content) <= {length} THEN content ELSE
+  CASE WHEN left(content, {length}) LIKE '% %' AND {length} - instr(reverse(left(content, {length})), ' ') > {length} * 0.8 THEN left(content, {length} - instr(reverse(left(content, {length})), ' '))
+  ELSE left(content, {length}) END || '...' END"""
+
+
+# windows (doc_id, content, low, high) to (..., wide_low, wide_high) and the marked text between
+_WIDE = rf"""wide AS (SELECT *, low - length(regexp_extract(left(content, low), '[^{_WS}]*$')) AS wide_low, high + length(regexp_extract(substr(content, high + 1), '^[^{_WS}]*')) AS wide_high FROM windows),
+texts AS (SELECT *, CASE WHEN wide_low > 0 THEN '...' ELSE '' END || regexp_replace(substr(content, wide_low + 1, wide_high - wide_low), '^[{_WS}]+|[{_WS}]+$', '', 'g')
+  || CASE WHEN wide_high < length(content) THEN '...' ELSE '' END AS cut FROM wide)"""
+
+
+def _snippet_sql(source: str) -> str:
+    """(doc_id, text, snippet_start, snippet_end, total_matches, n_inside) of the documents of ``source``."""
+    return f"""m AS ({_matches_sql(('vector', 'archive'), source)}),
+tried AS (SELECT a.doc_id, greatest(0, a.start - 50) AS low, count(b.start) AS n FROM m a JOIN m b ON b.doc_id = a.doc_id AND b.start >= greatest(0, a.start - 50) AND b."end" <= greatest(0, a.start - 50) + 200
+  GROUP BY a.doc_id, a.start, a.term),
+best AS (SELECT doc_id, arg_max(low, n * 10000000 - low) AS low FROM tried GROUP BY doc_id),
+windows AS (SELECT doc_id, content, low, least(length(content), low + 200) AS high FROM best JOIN {source} USING (doc_id)),
+{_WIDE},
+snippets AS (SELECT doc_id, {_marked_sql('cut')} AS text, CAST(low AS INT) AS snippet_start, CAST(high AS INT) AS snippet_end,
+    CAST((SELECT count(*) FROM m WHERE m.doc_id = t.doc_id) AS INT) AS total_matches, CAST((SELECT count(*) FROM m WHERE m.doc_id = t.doc_id AND m.start >= low AND m."end" <= high) AS INT) AS n_inside FROM texts t
+  UNION ALL SELECT doc_id, {_cut_sql(200)}, 0, 0, 0, 0 FROM {source} WHERE doc_id NOT IN (SELECT doc_id FROM m))"""
+
+
+def _flat(snippet: str) -> list:
+    fields = [F.col(f"{snippet}.{c}").alias(c) for c in ("text", "snippet_start", "snippet_end", "total_matches")]
+    return [*fields, F.size(f"{snippet}.match_positions").alias("n_inside")]
+
+
+@_query("q_snippet", f"WITH asked AS (SELECT doc_id, content FROM docs WHERE lower(content) LIKE '%vector%'), {_snippet_sql('asked')} SELECT * FROM snippets")
 def _(spark, d):
-    return _docs(spark, d).where(F.lower("content").contains("vector")).select("doc_id", H.multiple_snippets(F.col("content"), ["vector", "archive"]).alias("snippets"))
+    found = _docs(spark, d).where(F.lower("content").contains("vector"))
+    return found.select("doc_id", H.best_snippet(F.col("content"), ["vector", "archive"]).alias("snippet")).select("doc_id", *_flat("snippet"))
 
 
-@_query("q_highlight_full", r"SELECT doc_id, regexp_replace(content, '(?i)\b(archive|vector)\b', '<mark>\1</mark>', 'g') AS content FROM docs WHERE NOT regexp_matches(content, '[^\x00-\x7F]')")
+@_query("q_multi_snippet", f"""WITH asked AS (SELECT doc_id, content FROM docs WHERE lower(content) LIKE '%vector%'), m AS ({_matches_sql(('vector', 'archive'), 'asked')}), {_clusters_sql(150)},
+windows AS (SELECT doc_id, content, rank, n, greatest(0, CAST(total // n AS BIGINT) - 75) AS low, least(length(content), greatest(0, CAST(total // n AS BIGINT) - 75) + 150) AS high FROM clusters JOIN asked USING (doc_id) WHERE rank <= 3),
+{_WIDE}
+SELECT doc_id, CAST(rank - 1 AS INT) AS nth, {_marked_sql('cut')} AS text, CAST(wide_low AS INT) AS snippet_start, CAST(wide_high AS INT) AS snippet_end, CAST(n AS INT) AS total_matches FROM texts
+UNION ALL SELECT doc_id, 0, {_cut_sql(150)}, 0, 0, 0 FROM asked WHERE doc_id NOT IN (SELECT doc_id FROM m)""")
 def _(spark, d):
-    docs = _docs(spark, d).where(~F.col("content").rlike("[^\\x00-\\x7F]"))
-    return docs.select("doc_id", H.highlight_content(F.col("content"), ["vector", "archive"]).alias("content"))
+    found = _docs(spark, d).where(F.lower("content").contains("vector"))
+    several = found.select("doc_id", F.posexplode(H.multiple_snippets(F.col("content"), ["vector", "archive"])).alias("nth", "snippet"))
+    return several.select("doc_id", "nth", *_flat("snippet")[:4])
 
 
-# The SQL of q_match_positions and q_highlight_full leaves out documents beyond ASCII. These two take all; DuckDB has no Unicode word boundaries, so they have no SQL.
+# the word characters of the JVM's Unicode word boundaries
+_HIGHLIGHTED = _marked_sql("content", r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}")
 
 
-@_query("q_match_positions_all")
+@_query("q_highlight_full", f"SELECT doc_id, CASE WHEN content = '' THEN '' ELSE {_HIGHLIGHTED} END AS content FROM docs")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(H.match_positions(F.col("content"), ["vector"])).alias("m")).select("doc_id", F.col("m.start").alias("start"))
+    return _docs(spark, d).select("doc_id", H.highlight_content(F.col("content"), ["vector", "archive"]).alias("content"))
 
 
-@_query("q_highlight_full_all")
+@_query("q_result_page", f"""{_WITH}, {_bm25(['vector', 'archive'], 'raw', 'post')}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores ORDER BY score DESC, doc_id LIMIT 10),
+asked AS (SELECT doc_id, content FROM docs SEMI JOIN top USING (doc_id)), {_snippet_sql('asked')}
+SELECT rank, doc_id, score, title, text, snippet_start, snippet_end, total_matches, n_inside FROM top JOIN docs USING (doc_id) JOIN snippets USING (doc_id)""")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", H.highlight_content(F.col("content"), ["vector", "archive"]).alias("content"))
+    docs = _docs(spark, d)
+    top = S.ranked_page(_rounded(S.ranked(docs, "vector archive", "raw", _index(spark, d))), 0, 10).join(docs, "doc_id")
+    shown = top.select(F.col("rank").cast("bigint").alias("rank"), "doc_id", "score", "title", H.best_snippet(F.col("content"), ["vector", "archive"]).alias("snippet")).orderBy("rank")
+    return shown.select("rank", "doc_id", "score", "title", *_flat("snippet"))
 
 
 @_query("q_truncate", "SELECT doc_id, CASE WHEN content IS NULL THEN '' WHEN length(content) <= 200 THEN content ELSE CASE WHEN c LIKE '% %' AND 200 - instr(reverse(c), ' ') > 160 THEN left(c, 200 - instr(reverse(c), ' ')) ELSE c END || '...' END AS text FROM (SELECT doc_id, content, left(content, 200) AS c FROM docs)")
@@ -723,9 +847,9 @@ def _(spark, d):
 # ---- documents ------------------------------------------------------------------------------------------------
 
 
-@_query("q_newest_first", "SELECT doc_id, title, date_added FROM docs")
+@_query("q_newest_first", "SELECT doc_id, title, date_added, row_number() OVER (ORDER BY date_added DESC, doc_id) AS rank FROM docs")
 def _(spark, d):
-    return D.newest_first(_docs(spark, d)).select("doc_id", "title", "date_added")
+    return R.in_places(D.newest_first(_docs(spark, d)).select("doc_id", "title", "date_added"), F.desc("date_added"), F.col("doc_id"))
 
 
 @_query("q_crud_upsert", "SELECT doc_id, CASE WHEN file_name IS NULL THEN 'untitled file' ELSE title END AS title FROM docs UNION ALL SELECT -doc_id, 'copy' FROM docs WHERE file_name IS NULL")
@@ -761,13 +885,6 @@ def _(spark, d):
     return D.by_id(_docs(spark, d), 5_000_000_005).select("doc_id", "title")
 
 
-@_query("q_display", "SELECT doc_id, strftime(date_added, '%Y-%m') AS month, CASE WHEN file_size <= 0 THEN '0 B' WHEN file_size < 1024 THEN file_size || ' B' ELSE 'larger' END AS size FROM docs")
-def _(spark, d):
-    docs = _docs(spark, d)
-    size = F.when(F.col("file_size") < 1024, X.human_size(F.col("file_size"))).otherwise("larger")
-    return docs.select("doc_id", F.date_format("date_added", "yyyy-MM").alias("month"), size.alias("size"))
-
-
 def _shown_sql(unit: int, name: str) -> str:
     return rf"regexp_replace(printf('%.2f', ((file_size * 200 + {unit}) // (2 * {unit})) / 100.0), '\.?0+$', '') || ' {name}'"
 
@@ -775,9 +892,10 @@ def _shown_sql(unit: int, name: str) -> str:
 _SHOWN = " ".join(f"WHEN file_size < {1024 ** (i + 2)} THEN {_shown_sql(1024 ** (i + 1), u)}" for i, u in enumerate(("KB", "MB", "GB")))
 
 
-@_query("q_display_sizes", f"SELECT doc_id, CASE WHEN file_size <= 0 THEN '0 B' WHEN file_size < 1024 THEN file_size || ' B' {_SHOWN} ELSE {_shown_sql(1024**4, 'TB')} END AS size FROM docs")
+@_query("q_display", f"SELECT doc_id, strftime(date_added, '%Y-%m') AS month, strftime(date_added, '%b %d, %Y') AS day, CASE WHEN file_size <= 0 THEN '0 B' WHEN file_size < 1024 THEN file_size || ' B' {_SHOWN} ELSE {_shown_sql(1024**4, 'TB')} END AS size FROM docs")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", X.human_size(F.col("file_size")).alias("size"))
+    docs = _docs(spark, d)
+    return docs.select("doc_id", F.date_format("date_added", "yyyy-MM").alias("month"), X.shown_date(F.col("date_added")).alias("day"), X.human_size(F.col("file_size")).alias("size"))
 
 
 @_query("q_index_add", f"{_WITH} SELECT raw AS term, count(*) AS cf FROM post GROUP BY raw")
@@ -811,68 +929,43 @@ def _kgram_counts(vocab: DataFrame) -> DataFrame:
     return vocab.select("term", F.size(X.kgrams(F.col("term"))).cast("bigint").alias("n"))
 
 
-@_query("q_kgram_counts", f"{_ASCII_VOCAB} SELECT term, len({_bigrams('term')}) AS n FROM v")
+@_query("q_kgram_counts", f"{_VOCAB} SELECT term, len({_bigrams('term')}) AS n FROM v")
 def _(spark, d):
     return _kgram_counts(_vocab(spark, d))
 
 
-# The SQL above takes the terms of ASCII letters only, since DuckDB's levenshtein counts bytes. These take the whole vocabulary, with SQL where it counts characters.
+# ---- streaming
 
 
-@_query("q_edit_distance_all")
-def _(spark, d):
-    return _edit_distance(_whole_vocab(spark, d))
-
-
-@_query("q_edit_distance_capped_all")
-def _(spark, d):
-    return _edit_distance_capped(_whole_vocab(spark, d))
-
-
-@_query("q_jaccard_all", f"{_WHOLE_VOCAB} SELECT term, round({_JACCARD}, 6) AS similarity FROM (SELECT term, 'vectr' AS word FROM v)")
-def _(spark, d):
-    return _jaccard(_whole_vocab(spark, d))
-
-
-@_query("q_spell_suggest_all")
-def _(spark, d):
-    return _spell_suggest(_whole_vocab(spark, d))
-
-
-@_query("q_correct_query_all")
-def _(spark, d):
-    return _correct_query(_whole_vocab(spark, d))
-
+def _run(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The table of an aggregating stream over a whole log, in the application's shared folder."""
+    from brindle.streaming import analytics as Z
 
-@_query("q_did_you_mean_all")
-def _(spark, d):
-    return _did_you_mean(_whole_vocab(spark, d))
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return Z.run_to_folder(stream, f"{path}/table", keys, f"{path}/checkpoint")
 
 
-@_query("q_kgram_counts_all", f"{_WHOLE_VOCAB} SELECT term, len({_bigrams('term')}) AS n FROM v")
+@_query("q_stream_volume", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n_searches FROM searches GROUP BY 1")
 def _(spark, d):
-    return _kgram_counts(_whole_vocab(spark, d))
-
+    from brindle.streaming import analytics as Z
 
-# ---- streaming ------------------------------------------------------------------------------------------------
+    stream = Z.with_event_time(Z.read_log(spark, f"{d}/searches.parquet"))
+    return _run(spark, Z.volume_by_hour(stream), ["hour"]).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n_searches")
 
 
-@_query("q_stream_volume", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n_searches FROM searches GROUP BY 1")
+@_query("q_stream_last_day", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n_searches FROM searches GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM searches) - INTERVAL 24 HOUR")
 def _(spark, d):
     from brindle.streaming import analytics as Z
 
     stream = Z.with_event_time(Z.read_log(spark, f"{d}/searches.parquet"))
-    Z.run_to_table(Z.volume_by_hour(stream), "stream_volume").stop()
-    return spark.table("stream_volume").select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n_searches")
+    return Z.last_hours(_run(spark, Z.volume_by_hour(stream), ["hour"])).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n_searches")
 
 
 @_query("q_stream_query_stats", f"SELECT query, n_searches, total_results FROM ({_ROLLUP})")
 def _(spark, d):
     from brindle.streaming import analytics as Z
 
-    stream = Z.read_log(spark, f"{d}/searches.parquet")
-    Z.run_to_table(Z.query_rollup(stream), "stream_query_stats").stop()
-    return spark.table("stream_query_stats").select("query", "n_searches", "total_results")
+    return _run(spark, Z.query_rollup(Z.read_log(spark, f"{d}/searches.parquet")), ["query"]).select("query", "n_searches", "total_results")
 
 
 @_query("q_stream_once", "SELECT DISTINCT click_id FROM clicks")
@@ -880,13 +973,22 @@ def _(spark, d):
     from brindle.streaming import analytics as Z
 
     clicks = Z.with_event_time(Z.read_log(spark, f"{d}/clicks.parquet"))
-    Z.run_to_table(Z.without_redelivery(clicks, "click_id").select("click_id"), "stream_once", "append").stop()
-    return spark.table("stream_once")
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return Z.append_to_folder(Z.without_redelivery(clicks, "click_id").select("click_id"), f"{path}/table", f"{path}/checkpoint")
 
 
 @_query("q_stream_clicks", "SELECT doc_id, count(*) AS n_clicks FROM clicks WHERE doc_id IS NOT NULL GROUP BY 1")
 def _(spark, d):
     from brindle.streaming import analytics as Z
 
-    Z.run_to_table(Z.click_counts(Z.read_log(spark, f"{d}/clicks.parquet")), "stream_clicks").stop()
-    return spark.table("stream_clicks")
+    return _run(spark, Z.click_counts(Z.read_log(spark, f"{d}/clicks.parquet")), ["doc_id"])
+
+
+@_query("q_stream_newest", "SELECT event_id, query, ts FROM searches ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def _(spark, d):
+    from brindle.streaming import analytics as Z
+
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = Z.read_log(spark, f"{d}/searches.parquet").select("event_id", "query", "ts")
+    Z.run_batches(stream, Z.keep_newest(f"{path}/table"), f"{path}/checkpoint")
+    return Z.newest(spark, f"{path}/table")

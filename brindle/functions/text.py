@@ -53,6 +53,12 @@ def kgrams(term: Column, k: int = 2, least: int = 1) -> Column:
     return F.when((F.length(term) >= least) & (count >= 1), grams).otherwise(F.array().cast("array<string>"))
 
 
+def query_kgrams(word: str, k: int = 2) -> list[str]:
+    """``kgrams`` for one string on the driver."""
+    padded = f"${word}$"
+    return [padded[i : i + k] for i in range(len(padded) - k + 1)]
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Jaccard similarity of the bigram sets of two terms; 0 where both are empty."""
     a, b = F.array_distinct(kgrams(left)), F.array_distinct(kgrams(right))
@@ -166,3 +172,19 @@ def like_pattern(wildcard: str) -> str:
     """LIKE pattern of a wildcard term: * any characters, ? one character."""
     escaped = wildcard.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
     return escaped.replace("*", "%").replace("?", "_")
+
+
+def shown_number(value: Column, places: int) -> Column:
+    """A number rounded to some places, as it is displayed: scores with 2 or 3, averages with 1 or 0."""
+    return F.format_string(f"%.{places}f", F.round(value.cast("double"), places))
+
+
+def shown_date(when: Column, zone: str = "UTC", long: bool = False) -> Column:
+    """A UTC time in a zone, short as ``Jan 31, 2024``, long with the weekday and the time."""
+    local = F.from_utc_timestamp(when.cast("timestamp"), zone)
+    return F.date_format(local, "EEEE, MMMM d, yyyy h:mm:ss a" if long else "MMM dd, yyyy")
+
+
+def pager(pages: int, most: int = 5) -> list[int]:
+    """Numbers of the pages that a pager offers, from 0."""
+    return list(range(min(pages, most)))

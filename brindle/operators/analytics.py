@@ -13,22 +13,22 @@ from brindle.functions.text import log_form
 
 
 def query_rollup(searches: DataFrame, clicks: DataFrame | None = None) -> DataFrame:
-    """(query, n_searches, total_results, total_time_ms, first_searched, last_searched, n_clicked_docs, avg_results, avg_time_ms, ctr).
+    """(query, n_searches, total_results, total_time_ms, first_searched, last_searched, n_clicks, n_clicked_docs, avg_results, avg_time_ms, ctr).
 
-    Clicks of queries that were never searched count in no rollup. Averages and click-through are 0 without searches.
+    Clicks of queries that were never searched count in no rollup. The click-through rate is clicks, not clicked documents, by searches.
     """
     stats = searches.where(F.col("query").isNotNull()).groupBy(log_form(F.col("query")).alias("query")).agg(
         F.count(F.lit(1)).alias("n_searches"), F.coalesce(F.sum("result_count"), F.lit(0)).alias("total_results"), F.coalesce(F.sum("search_time_ms"), F.lit(0.0)).alias("total_time_ms"),
         F.min("ts").alias("first_searched"), F.max("ts").alias("last_searched"),
     )
     if clicks is None:
-        joined = stats.withColumn("n_clicked_docs", F.lit(0).cast("bigint"))
+        joined = stats.withColumn("n_clicks", F.lit(0).cast("bigint")).withColumn("n_clicked_docs", F.lit(0).cast("bigint"))
     else:
-        per_query = clicks.where("query is not null and doc_id is not null").groupBy(log_form(F.col("query")).alias("query")).agg(F.countDistinct("doc_id").alias("n_clicked_docs"))
-        joined = stats.join(per_query, "query", "left").withColumn("n_clicked_docs", F.coalesce("n_clicked_docs", F.lit(0)))
+        per_query = clicks.where("query is not null and doc_id is not null").groupBy(log_form(F.col("query")).alias("query")).agg(F.count(F.lit(1)).alias("n_clicks"), F.countDistinct("doc_id").alias("n_clicked_docs"))
+        joined = stats.join(per_query, "query", "left").fillna(0, ["n_clicks", "n_clicked_docs"])
     return joined.select(
         "*", (F.col("total_results") / F.col("n_searches")).alias("avg_results"), (F.col("total_time_ms") / F.col("n_searches")).alias("avg_time_ms"),
-        (F.col("n_clicked_docs") / F.col("n_searches")).alias("ctr"),
+        (F.col("n_clicks") / F.col("n_searches")).alias("ctr"),
     )
 
 
@@ -65,9 +65,8 @@ def recent_searches(searches: DataFrame, most: int = 50, id_col: str | None = No
 
 def volume_by_hour(searches: DataFrame, as_of=None, hours: int = 24) -> DataFrame:
     """(hour, n_searches) of the last ``hours`` before ``as_of`` (the newest search if not given)."""
-    if as_of is None:
-        as_of = searches.agg(F.max("ts")).first()[0]
-    recent = searches.where(F.col("ts") >= F.lit(as_of) - F.make_interval(hours=F.lit(hours)))
+    until = searches.agg(F.max("ts")).scalar() if as_of is None else F.lit(as_of)
+    recent = searches.where(F.col("ts") >= until - F.make_interval(hours=F.lit(hours)))
     return recent.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n_searches"))
 
 
@@ -85,6 +84,6 @@ def summary(searches: DataFrame, clicks: DataFrame) -> DataFrame:
 
 
 def query_suggestions(searches: DataFrame, prefix: str, most: int = 5) -> DataFrame:
-    """(query, n_searches): the most frequent queries that start with a prefix."""
-    wanted = prefix.strip().lower()
+    """(query, n_searches): the most frequent queries that start with a prefix, white space at its ends included."""
+    wanted = prefix.lower()
     return _counted(searches.where(log_form(F.col("query")).startswith(wanted))).orderBy(F.desc("n_searches"), "query").limit(most)

@@ -46,9 +46,15 @@ def term_facet(docs: DataFrame, most: int = MOST_TERMS, least: int = LEAST_DOCUM
 
 def extract_facets(docs: DataFrame) -> DataFrame:
     """(facet, value, display_name, count) of all four facets."""
-    parts = {"file_type": type_facet(docs), "date": month_facet(docs), "size": size_facet(docs), "term": term_facet(docs)}
-    rows = [df.select(F.lit(name).alias("facet"), "value", "display_name", "count") for name, df in parts.items()]
-    return reduce(DataFrame.unionByName, rows)
+    ext, month, size = file_extension(F.col("file_name")), F.trunc("date_added", "month"), F.col("file_size")
+    # one scan of the small columns for three facets; the term facet reads the texts
+    entries = F.array(
+        F.when(_named(), F.struct(F.lit("file_type").alias("facet"), ext.alias("value"), file_type_name(ext).alias("display_name"))),
+        F.struct(F.lit("date").alias("facet"), F.date_format(month, "yyyy-MM").alias("value"), F.date_format(month, "MMMM yyyy").alias("display_name")),
+        F.struct(F.lit("size").alias("facet"), size_category_name(size).alias("value"), size_category_label(size).alias("display_name")),
+    )
+    small = docs.select(F.explode(F.array_compact(entries)).alias("_e")).groupBy("_e.facet", "_e.value", "_e.display_name").count()
+    return small.unionByName(term_facet(docs).select(F.lit("term").alias("facet"), "value", "display_name", "count"))
 
 
 def document_filter(

@@ -53,12 +53,18 @@ def best_window(matches: list[tuple[int, int, str]], length: int, size: int) ->
     return best, min(size, best + length)
 
 
-def cut_out(text: str, start: int, end: int) -> str:
-    """The text between two places, widened to white space, trimmed, with three dots on the sides where something is left out."""
+def widened(text: str, start: int, end: int) -> tuple[int, int]:
+    """The two places moved outwards to white space."""
     while start > 0 and not text[start - 1].isspace():
         start -= 1
     while end < len(text) and not text[end].isspace():
         end += 1
+    return start, end
+
+
+def cut_out(text: str, start: int, end: int) -> str:
+    """The text between two places, widened to white space, trimmed, with three dots on the sides where something is left out."""
+    start, end = widened(text, start, end)
     return ("..." if start > 0 else "") + text[start:end].strip() + ("..." if end < len(text) else "")
 
 
@@ -108,7 +114,7 @@ def snippets(text: str | None, terms: list[str], most: int = 3, length: int = 15
     out = []
     for cluster in groups(matches, length)[:most]:
         low = max(0, sum(m[0] for m in cluster) // len(cluster) - length // 2)
-        high = min(len(text), low + length)
+        low, high = widened(text, low, min(len(text), low + length))
         out.append(dict(text=mark(cut_out(text, low, high), terms), match_positions=[], snippet_start=low, snippet_end=high, total_matches=len(cluster)))
     return out
 

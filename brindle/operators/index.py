@@ -2,13 +2,15 @@
 
 Canonical table: postings(doc_id, field, pos, raw, term). Positions run on from the title into the content, stop words
 are taken out before numbering. ``term`` is the stem of ``raw``. Everything else is derived: vocabulary, document
-lengths, term frequencies, posting lists, k-grams. A persisted index is written once per build, range-partitioned and sorted by
-term, so that lookups and range scans read the row groups that hold the term.
+lengths, term frequencies, posting blocks, k-grams. A persisted index is written once per build, range-partitioned and sorted by
+term, so that lookups and range scans read the row groups that hold the term; with it go the lengths, the collection's figures, the
+vocabulary and the k-grams, so that a search over a written index reads no text.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
@@ -98,14 +100,32 @@ def mark_indexed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("is_indexed", F.lit(True))
 
 
-def posting_lists(index: DataFrame, key: str = "term") -> DataFrame:
-    """(term, doc_ids) with each document once, in order. A list is as long as the term's documents; for stop-word-like terms use ``posting_blocks``."""
-    return index.groupBy(key).agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+def posting_blocks(index: DataFrame, key: str = "term", per_block: int = 100_000) -> DataFrame:
+    """(term, block, doc_ids): posting lists in blocks of about ``per_block`` documents, whatever their ids, so that no list grows without bound.
 
+    A term's number of blocks follows its document frequency; a document's block follows its id's hash.
+    """
+    once = index.select(key, "doc_id").distinct()
+    sized = once.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / per_block).alias("_blocks"))
+    dealt = once.join(sized, key).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")))
+    return dealt.groupBy(key, "block").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+
+
+def term_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, raw, tf) of every distinct token of every document; counted inside the row, by sorting its tokens."""
+    sorted_tokens = F.array_sort(F.concat("title_tokens", "content_tokens"))
+    rows = token_arrays(docs).select("doc_id", sorted_tokens.alias("_s"), F.size("title_tokens").alias("_t"))
+    first = F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (F.element_at("_s", i) != F.element_at("_s", F.greatest(i - 1, F.lit(1)))))
+    runs = rows.where(F.size("_s") > 0).withColumn("_at", first)
+    counted = F.transform(
+        "_at", lambda p, k: F.struct(F.element_at("_s", p).alias("raw"), (F.coalesce(F.get("_at", k + 1), F.size("_s") + 1) - p).alias("tf"))
+    )
+    return runs.select("doc_id", F.explode(counted).alias("_e")).select("doc_id", "_e.*")
 
-def posting_blocks(index: DataFrame, key: str = "term", per_block: int = 100_000) -> DataFrame:
-    """(term, block, doc_ids): posting lists cut by ranges of document ids, so that no list grows without bound."""
-    return index.groupBy(key, F.floor(F.col("doc_id") / per_block).alias("block")).agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+
+def word_stats(docs: DataFrame) -> DataFrame:
+    """(raw, df, cf) of the words of documents: one shuffle, counted on the map side."""
+    return term_rows(docs).groupBy("raw").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def positions(index: DataFrame) -> DataFrame:
@@ -161,18 +181,57 @@ def kgram_report(terms: DataFrame, k: int = 2, key: str = "term") -> DataFrame:
     return grams.agg(F.lit(k).alias("k"), F.countDistinct("kgram").alias("n_kgrams"), F.countDistinct("term").alias("n_terms"))
 
 
-def write_index(index: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Write an index once, sorted by term within ranges of terms.
+@dataclass(frozen=True)
+class StoredIndex:
+    """An index that was written: postings, (doc_id, total_terms), one row (n_docs, avg_len), (term, df, cf), (kgram, term, len)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    figures: DataFrame
+    vocabulary: DataFrame
+    kgrams: DataFrame
+
+
+_PARTS = ("postings", "lengths", "figures", "vocabulary", "kgrams")
+K = 2  # of the written k-grams
 
-    A term that fills more than one range is split by document id, so that no file grows with the most frequent term.
+
+def write_index(index: DataFrame, docs: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Write postings of ``docs`` once, sorted by term within ranges of terms, and what is derived from them.
+
+    A term that fills more than one range is split by document id, so that no file grows with the most frequent term. The derived tables
+    are made from the written postings; of the documents only the ids are read.
     """
     keys = ["term", "doc_id"]
     placed = index.repartitionByRange(partitions, *keys) if partitions else index.repartitionByRange(*keys)
-    placed.sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(path)
+    placed.sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+    written = docs.sparkSession.read.parquet(f"{path}/postings")
+    lengths_of(written, docs).write.mode("overwrite").parquet(f"{path}/lengths")
+    figures_of(docs.sparkSession.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/figures")
+    term_stats(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    grams = kgram_index(docs.sparkSession.read.parquet(f"{path}/vocabulary").select("term"), K)
+    grams.repartitionByRange("kgram", "term").sortWithinPartitions("kgram", "term").write.mode("overwrite").parquet(f"{path}/kgrams")
+
+
+def read_index(spark, path: str) -> StoredIndex:
+    return StoredIndex(*(spark.read.parquet(f"{path}/{part}") for part in _PARTS))
+
+
+def postings_of(index: DataFrame | StoredIndex) -> DataFrame:
+    return index.postings if isinstance(index, StoredIndex) else index
+
+
+def lengths_of(index: DataFrame | StoredIndex, docs: DataFrame) -> DataFrame:
+    """(doc_id, total_terms): as written, or counted from the postings; documents without tokens have 0."""
+    if isinstance(index, StoredIndex):
+        return index.lengths
+    counted = index.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("total_terms"))
+    return docs.select("doc_id").join(counted, "doc_id", "left").select("doc_id", F.coalesce("total_terms", F.lit(0)).alias("total_terms"))
 
 
-def read_index(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def figures_of(lengths: DataFrame) -> DataFrame:
+    """One row (n_docs, avg_len)."""
+    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("total_terms"), F.lit(0.0)).alias("avg_len"))
 
 
 def index_from_json(exported: DataFrame) -> DataFrame:

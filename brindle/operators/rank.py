@@ -11,13 +11,13 @@ from functools import reduce
 from operator import and_, or_
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.stem import stem_arrays
-from brindle.operators.index import may_hold, token_arrays
+from brindle.operators.index import StoredIndex, figures_of, lengths_of, may_hold, token_arrays
 from brindle.operators.stats import document_lengths, term_frequencies
-from brindle.session import one_row
+from brindle.session import materialise, one_row
 
 K1, B = 1.2, 0.75
 
@@ -77,15 +77,20 @@ def rank_documents(docs: DataFrame, terms: list[str], ranking: Ranking | None =
     return each.groupBy("doc_id").agg(F.sum(ranking.score()).alias("score"))
 
 
-def rank_postings(postings: DataFrame, docs: DataFrame, terms: list[str], ranking: Ranking | None = None, require_all: bool = True, key: str = "term") -> DataFrame:
-    """(doc_id, score) from postings that hold (at least) the query's terms: filtered first, then joined with lengths."""
+def rank_postings(
+    postings: DataFrame, docs: DataFrame, terms: list[str], ranking: Ranking | None = None, require_all: bool = True, key: str = "term", index: DataFrame | StoredIndex | None = None
+) -> DataFrame:
+    """(doc_id, score) from postings that hold (at least) the query's terms: filtered first, then joined with lengths.
+
+    Lengths and figures are those of the whole ``index``; only without one are they counted from the texts.
+    """
     ranking = ranking or BM25()
     wanted = list(dict.fromkeys(terms))
     if not wanted:
         return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     tf = term_frequencies(postings.where(F.col(key).isin(*wanted)), key)
-    lengths = document_lengths(docs)
-    figures = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("total_terms"), F.lit(0.0)).alias("avg_len"))
+    lengths = document_lengths(docs) if index is None else lengths_of(index, docs)
+    figures = index.figures if isinstance(index, StoredIndex) else figures_of(lengths)
     df = tf.groupBy(key).agg(F.count(F.lit(1)).alias("df"))  # one row per query term
     rows = tf.join(F.broadcast(df), key).join(lengths, "doc_id").withColumn("_f", one_row(figures)).select("*", "_f.*")
     scored = rows.groupBy("doc_id").agg(F.sum(ranking.score()).alias("score"), F.countDistinct(key).alias("_n"))
@@ -111,3 +116,13 @@ def page(ranked: DataFrame, number: int = 0, size: int = 10) -> DataFrame:
 def page_count(total: int, size: int) -> int:
     """Number of pages; one where the size is 0 or less."""
     return -(-total // size) if size > 0 else 1
+
+
+def in_places(rows: DataFrame, *order: Column) -> DataFrame:
+    """The rows with ``rank``, their place in an order, from 1; each range of the sorted rows counts its own, and the ranges before it are added."""
+    ordered = materialise(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ordered.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))  # a row for each range
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    placed = ordered.withColumn("_n", within).join(F.broadcast(sizes), "_part")
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_n")).cast("bigint").alias("rank"))

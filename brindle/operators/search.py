@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.stem import stem
 from brindle.functions.text import tokenize_query
 from brindle.operators.highlight import best_snippet
-from brindle.operators.index import hits, stem_hits
-from brindle.operators.rank import page, page_count, rank_documents, rank_postings, weighted_count
+from brindle.operators.index import StoredIndex, hits, postings_of, stem_hits
+from brindle.operators.rank import Ranking, in_places, page, page_count, rank_documents, rank_postings
 from brindle.operators.spell import correct_query, suggestions
-from brindle.operators.stats import term_frequencies
 from brindle.plans import ast
 from brindle.plans.compiler import compile_node, moved
 
@@ -41,38 +41,48 @@ def analyze(query: str, analyzer: str = "stem") -> list[str]:
     return [stem(w) for w in words] if analyzer == "stem" else words
 
 
-def _postings(docs: DataFrame, words: list[str], analyzer: str, index: DataFrame | None) -> DataFrame:
+Index = DataFrame | StoredIndex
+
+
+def _postings(docs: DataFrame, words: list[str], analyzer: str, index: Index | None) -> DataFrame:
+    """(doc_id, field, pos, term) of the query's words; in an index, sorted by stems, words as they stand are sought under theirs."""
     key = "term" if analyzer == "stem" else "raw"
     if index is not None:
-        return index.where(F.col(key).isin(*words)).select("doc_id", "field", "pos", F.col(key).alias("term"))
+        asked = F.col("term").isin(*(words if analyzer == "stem" else {stem(w) for w in words}))
+        return postings_of(index).where(asked & F.col(key).isin(*words)).select("doc_id", "field", "pos", F.col(key).alias("term"))
     rows = stem_hits(docs, words) if analyzer == "stem" else hits(docs, words)
     return rows.select("doc_id", "field", "pos", F.col(key).alias("term"))
 
 
-def matches(docs: DataFrame, query: str, analyzer: str = "stem", index: DataFrame | None = None) -> DataFrame:
-    """(doc_id) of the documents that hold the query as a phrase, or, where there are none, any of its words."""
-    words = analyze(query, analyzer)
-    if not words:
-        return docs.select("doc_id").limit(0)
+def _found(docs: DataFrame, words: list[str], analyzer: str, index: Index | None) -> DataFrame:
+    """(doc_id, score) of phrase matches, or of documents with any word where there are none; one aggregation by document."""
     rows = _postings(docs, words, analyzer, index)
-    per_doc = rows.groupBy("doc_id").agg(*[F.collect_list(F.when(F.col("term") == w, F.col("pos"))).alias(f"at_{i}") for i, w in enumerate(words)])
+    weight = F.lit(0)
+    for w, n in Counter(words).items():
+        weight = F.when(F.col("term") == w, n).otherwise(weight)
+    places = [F.collect_list(F.when(F.col("term") == w, F.col("pos"))).alias(f"at_{i}") for i, w in enumerate(words)]
+    per_doc = rows.groupBy("doc_id").agg(F.sum(weight * F.when(F.col("field") == "title", 2).otherwise(1)).cast("double").alias("score"), *places)
     starts = F.col("at_0")
     for i in range(1, len(words)):
         starts = F.array_intersect(starts, moved(F.col(f"at_{i}"), -i))
-    marked = per_doc.select("doc_id", (F.size(starts) > 0).alias("as_phrase"))
+    marked = per_doc.select("doc_id", "score", (F.size(starts) > 0).alias("as_phrase"))
     any_phrase = marked.agg(F.coalesce(F.bool_or("as_phrase"), F.lit(False)).alias("any_phrase"))
     found = marked.where(F.col("as_phrase") | ~any_phrase.scalar())
-    return found.select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    return found.select("doc_id", "score").join(docs.select("doc_id"), "doc_id", "left_semi")
+
+
+def matches(docs: DataFrame, query: str, analyzer: str = "stem", index: Index | None = None) -> DataFrame:
+    """(doc_id) of the documents that hold the query as a phrase, or, where there are none, any of its words."""
+    words = analyze(query, analyzer)
+    return _found(docs, words, analyzer, index).select("doc_id") if words else docs.select("doc_id").limit(0)
 
 
-def simple_search(docs: DataFrame, query: str, analyzer: str = "stem", index: DataFrame | None = None) -> DataFrame:
+def simple_search(docs: DataFrame, query: str, analyzer: str = "stem", index: Index | None = None) -> DataFrame:
     """(doc_id, score) of ``matches``, by weighted count of the words, best first."""
     words = analyze(query, analyzer)
     if not words:
         return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    rows = _postings(docs, words, analyzer, index)
-    scores = weighted_count(term_frequencies(rows), words)
-    return matches(docs, query, analyzer, index).join(scores, "doc_id").orderBy(F.desc("score"), "doc_id")
+    return _found(docs, words, analyzer, index).orderBy(F.desc("score"), "doc_id")
 
 
 def did_you_mean(vocab: DataFrame, query: str) -> DataFrame:
@@ -81,34 +91,45 @@ def did_you_mean(vocab: DataFrame, query: str) -> DataFrame:
     return found.select("term", "edit_distance", "score")
 
 
-def ranked(docs: DataFrame, query: str, analyzer: str = "stem", index: DataFrame | None = None) -> DataFrame:
-    """(doc_id, score) of the documents that hold all words of the query, by BM25."""
+def ranked(docs: DataFrame, query: str, analyzer: str = "stem", index: Index | None = None, ranking: Ranking | None = None) -> DataFrame:
+    """(doc_id, score) of the documents that hold all words of the query, by BM25 or a given ranking."""
     words = analyze(query, analyzer)
     if index is None:
-        return rank_documents(docs, words, stems=analyzer == "stem")
-    return rank_postings(_postings(docs, words, analyzer, index), docs, words)
+        return rank_documents(docs, words, ranking, stems=analyzer == "stem")
+    return rank_postings(_postings(docs, words, analyzer, index), docs, words, ranking, index=index)
+
+
+def ranked_page(scored: DataFrame, number: int = 0, size: int = 10) -> DataFrame:
+    """One page of (doc_id, score) with ``rank``, the place among all results, from 1."""
+    first = max(0, number * size) if size > 0 else 0
+    shown = page(scored, number, size)
+    if size <= 0:  # all results: their places are counted over sorted ranges, not in one task
+        return in_places(scored, F.desc("score"), F.col("doc_id"))
+    # a window without keys over the rows of one page
+    return shown.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")) + first)
 
 
 def ranked_search(
-    docs: DataFrame, query: str, number: int = 0, size: int = 10, analyzer: str = "stem", index: DataFrame | None = None,
-    vocab: DataFrame | None = None, highlight: bool = True, safe: bool = False,
+    docs: DataFrame, query: str, number: int = 0, size: int = 10, analyzer: str = "stem", index: Index | None = None,
+    vocab: DataFrame | None = None, highlight: bool = True, safe: bool = False, grams: DataFrame | None = None, ranking: Ranking | None = None,
 ) -> Response:
-    """One page of ranked results with title, score and highlighted snippet; the snippet is made for the page's rows only.
+    """One page of ranked results with rank, title, score and highlighted snippet; the snippet is made for the page's rows only.
 
-    With a vocabulary the spelling correction is reported, never applied. With ``safe`` an error is text in the response.
+    The scores are kept, so that counting and showing them is one evaluation. With a vocabulary the spelling correction is reported, never applied. With ``safe`` an
+    error is text in the response.
     """
     began = time.perf_counter()
     out = Response(query, None, page=number, page_size=size)
     try:
         if vocab is not None:
-            out.correction = correct_query(vocab, query).first()
-        scored = ranked(docs, query, analyzer, index)
+            out.correction = correct_query(vocab, query, grams=grams).first()
+        scored = ranked(docs, query, analyzer, index, ranking).persist()
         out.total = scored.count()
         out.pages = page_count(out.total, size)
-        rows = page(scored, number, size).join(docs, "doc_id")
+        rows = ranked_page(scored, number, size).join(docs, "doc_id")
         if highlight:
             rows = rows.withColumn("snippet", best_snippet(F.col("content"), analyze(query, analyzer)))
-        out.results = rows.orderBy(F.desc("score"), "doc_id")
+        out.results = rows.orderBy("rank")
     except Exception as e:  # the caller asked for errors as text
         if not safe:
             raise
@@ -117,6 +138,6 @@ def ranked_search(
     return out
 
 
-def boolean_search(docs: DataFrame, node: ast.Node | None, analyzer: str = "raw", index: DataFrame | None = None) -> DataFrame:
+def boolean_search(docs: DataFrame, node: ast.Node | None, analyzer: str = "raw", index: Index | None = None) -> DataFrame:
     """(doc_id) of a parsed boolean query."""
     return compile_node(docs, node, analyzer, index)

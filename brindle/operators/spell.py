@@ -2,37 +2,40 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.stem import stem
-from brindle.functions.text import edit_distance, jaccard, kgrams, tokenize_query
+from brindle.functions.text import edit_distance, jaccard, query_kgrams, tokenize_query
+from brindle.operators.index import kgram_index
 
 MOST_DISTANCE, LENGTH_BAND, FOR_CORRECTION = 3, 3, 2
 
 
-def candidates(vocab: DataFrame, words: list[str], k: int = 2, key: str = "term") -> DataFrame:
+def candidates(grams: DataFrame, words: list[str], k: int = 2) -> DataFrame:
     """(word, term): terms that share at least a quarter of the word's k-grams (one at least) and are of similar length.
 
-    The words are a few literals, so their k-grams are matched inside each term's row: a scan of the vocabulary, no shuffle.
-    Repeated k-grams of the word count again, those of the term once.
+    ``grams`` are (kgram, term, len) rows, each k-gram of a term once. The words' k-grams are a few literals, by which a written k-gram table
+    is pruned, and are joined by equality; repeated k-grams of a word count again.
     """
-    spark = vocab.sparkSession
-    asked = spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string")
-    terms = vocab.select(F.col(key).alias("term"), F.array_distinct(kgrams(F.col(key), k)).alias("_grams"))
-    pairs = terms.join(F.broadcast(asked.withColumn("_asked", kgrams(F.col("word"), k))), F.abs(F.length("term") - F.length("word")) <= LENGTH_BAND)
-    shared = F.size(F.filter("_asked", lambda g: F.array_contains(F.col("_grams"), g)))
-    return pairs.where(shared >= F.greatest(F.lit(1), F.floor(F.size("_asked") / 4))).select("word", "term")
+    asked = [(w, len(w), g, n) for w in dict.fromkeys(words) for g, n in Counter(query_kgrams(w, k)).items()]
+    literal = grams.sparkSession.createDataFrame(asked, "word string, word_len int, kgram string, times int")
+    met = grams.where(F.col("kgram").isin(*{g for _, _, g, _ in asked})).join(F.broadcast(literal), "kgram")
+    shared = met.where(F.abs(F.col("len") - F.col("word_len")) <= LENGTH_BAND).groupBy("word", "word_len", "term").agg(F.sum("times").alias("shared"))
+    # a word of n characters has n + 3 - k k-grams
+    return shared.where(F.col("shared") >= F.greatest(F.lit(1), F.floor((F.col("word_len") + 3 - k) / 4))).select("word", "term")
 
 
-def suggestions(vocab: DataFrame, words: list[str], most: int = 5, k: int = 2, key: str = "term") -> DataFrame:
+def suggestions(vocab: DataFrame, words: list[str], most: int = 5, k: int = 2, key: str = "term", grams: DataFrame | None = None) -> DataFrame:
     """(word, term, edit_distance, jaccard, score, rank) of the best suggestions for each word.
 
     A word that is in the vocabulary is its own only suggestion, with distance 0, similarity 0 and score 1. Equal scores
-    are ordered by distance, then by term.
+    are ordered by distance, then by term. ``grams`` are the vocabulary's k-grams where they are written; else they are made.
     """
     words = [w.lower() for w in words if w and w.strip()]
-    pairs = candidates(vocab, words, k, key) if words else None
+    pairs = candidates(kgram_index(vocab, k, key=key) if grams is None else grams, words, k) if words else None
     if pairs is None:
         empty = vocab.select(F.col(key).alias("word"), F.col(key).alias("term")).limit(0)
         return empty.select("word", "term", F.lit(0).alias("edit_distance"), F.lit(0.0).alias("jaccard"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
@@ -48,7 +51,7 @@ def suggestions(vocab: DataFrame, words: list[str], most: int = 5, k: int = 2, k
     return ranked.where(F.col("rank") <= most).select("word", "term", "edit_distance", "jaccard", "score", "rank")
 
 
-def correct_query(vocab: DataFrame, query: str, key: str = "term") -> DataFrame:
+def correct_query(vocab: DataFrame, query: str, key: str = "term", grams: DataFrame | None = None) -> DataFrame:
     """One row (original_query, corrected_query, has_corrections, corrections MAP).
 
     A token stays if it or its stem is in the vocabulary, else its best suggestion within distance 2 takes its place.
@@ -60,7 +63,7 @@ def correct_query(vocab: DataFrame, query: str, key: str = "term") -> DataFrame:
     placed = spark.createDataFrame([(i, t, stem(t)) for i, t in enumerate(tokens)], "at int, word string, stemmed string")
     words = list(dict.fromkeys([*tokens, *map(stem, tokens)]))
     known = vocab.where(F.col(key).isin(*words)).select(F.col(key).alias("known")).distinct()
-    best = suggestions(vocab, tokens, 1, key=key).where(F.col("edit_distance") <= FOR_CORRECTION).select("word", F.col("term").alias("best"))
+    best = suggestions(vocab, tokens, 1, key=key, grams=grams).where(F.col("edit_distance") <= FOR_CORRECTION).select("word", F.col("term").alias("best"))
     marked = (
         placed.join(F.broadcast(known), (F.col("word") == F.col("known")) | (F.col("stemmed") == F.col("known")), "left")
         .groupBy("at", "word").agg(F.max("known").isNotNull().alias("is_known"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.stem import stem
 from brindle.functions.text import like_pattern, tokenize
-from brindle.operators.index import hits, stem_hits
+from brindle.operators.index import StoredIndex, hits, postings_of, stem_hits
 from brindle.plans import ast
 from brindle.plans.parser import parse
 
@@ -117,7 +117,7 @@ def _file_name_hits(docs: DataFrame, words: list[str]) -> DataFrame:
     return named.select("doc_id", F.lit("filename").alias("field"), F.lit(None).cast("int").alias("pos"), "raw")
 
 
-def compile_node(docs: DataFrame, node: ast.Node | None, analyzer: str = "raw", index: DataFrame | None = None) -> DataFrame:
+def compile_node(docs: DataFrame, node: ast.Node | None, analyzer: str = "raw", index: DataFrame | StoredIndex | None = None) -> DataFrame:
     """(doc_id) of the documents that answer a query; ``index`` are stemmed postings where they are at hand."""
     if analyzer not in ANALYZERS:
         raise ValueError(f"analyzer must be one of {ANALYZERS}")
@@ -129,7 +129,7 @@ def compile_node(docs: DataFrame, node: ast.Node | None, analyzer: str = "raw",
     if index is not None:
         asked = [F.col("raw").isin(*words), F.col("term").isin(*words, *map(stem, words))] if words else []
         asked += [F.col(k).like(like_pattern(p)) for p in patterns for k in ("raw", "term")]
-        rows = index.where(reduce(or_, asked, F.lit(False))).select("doc_id", "field", "pos", "raw", "term")
+        rows = postings_of(index).where(reduce(or_, asked, F.lit(False))).select("doc_id", "field", "pos", "raw", "term")
     elif analyzer == "raw":
         rows = hits(docs, words, patterns).withColumn("term", F.lit(None).cast("string"))
     else:
@@ -153,7 +153,7 @@ def compile_node(docs: DataFrame, node: ast.Node | None, analyzer: str = "raw",
     return ids.join(denied, "doc_id", "left_anti")
 
 
-def compile_query(docs: DataFrame, query: str, analyzer: str = "raw", index: DataFrame | None = None) -> DataFrame:
+def compile_query(docs: DataFrame, query: str, analyzer: str = "raw", index: DataFrame | StoredIndex | None = None) -> DataFrame:
     """(doc_id) of the documents that answer a query string."""
     return compile_node(docs, parse(query), analyzer, index)
 

@@ -68,6 +68,12 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application that all executors share: the one in which lineage is cut."""
+    _checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
 

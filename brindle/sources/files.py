@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from brindle.functions.text import file_extension
 from brindle.schema import DOCUMENT
 
 # Texts that stand for a content that cannot be read.
-PDF_PLACEHOLDER, WORD_PLACEHOLDER, OTHER_PLACEHOLDER = "[Error extracting PDF content: {}]", "[Word document content extraction not supported]", "[Unable to read file content]"
+PDF_PLACEHOLDER = "[Error extracting PDF content: {}]"
+WORD_PLACEHOLDER = "[Word documents (.doc/.docx) are not yet supported. Please convert to .txt or .pdf]"
+OTHER_PLACEHOLDER = "[Unable to read file content]"
 
 
 def _pdf_text(extract: Callable[[bytes], list[str]] | None) -> Column:
@@ -86,6 +90,39 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_texts(docs: DataFrame, path: str) -> None:
-    """Contents as text files, one folder per file type."""
-    docs.select(file_extension(F.coalesce("file_name", F.lit(""))).alias("ext"), F.col("content").alias("value")).write.mode("overwrite").partitionBy("ext").text(path)
+def write_texts(docs: DataFrame, folder: str) -> DataFrame:
+    """Contents as files ``{doc_id}{ext}`` in a folder that all executors see, the extension being that of the file name; (doc_id, file_path, file_size).
+
+    The tasks write their own documents, each under a temporary name first, so that a task that runs again leaves whole files. The files are
+    written when the result is evaluated.
+    """
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            ids, paths, sizes = [], [], []
+            for doc_id, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = os.path.join(folder, f"{doc_id}{os.path.splitext(os.path.basename(name or ''))[1]}")
+                data = (content or "").encode()
+                part = f"{path}.{os.getpid()}.part"
+                with open(part, "wb") as out:
+                    out.write(data)
+                os.replace(part, path)
+                ids.append(doc_id)
+                paths.append(path)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "file_path", "file_size"])
+
+    return docs.select("doc_id", "file_name", "content").mapInArrow(run, "doc_id bigint, file_path string, file_size bigint")
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, by the file system of the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
+
+
+def delete_file(spark: SparkSession, path: str) -> None:
+    """Delete a file if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, False)

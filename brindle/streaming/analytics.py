@@ -1,14 +1,14 @@
 """Search analytics on streams.
 
 The same rollups as in ``operators.analytics``, kept up to date by Structured Streaming. Streams need a TIMESTAMP event time; columns without a
-zone are cast in the session's zone. Redelivered events are dropped by their id within the watermark.
+zone are cast in the session's zone. Redelivered events are dropped by their id within the watermark. Results go to Parquet tables: aggregates in update
+mode, as the rows that a batch changed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from brindle.functions.text import log_form
 
@@ -40,8 +40,9 @@ def query_rollup(searches: DataFrame) -> DataFrame:
 
 
 def volume_by_hour(searches: DataFrame) -> DataFrame:
-    """(hour, n_searches) in tumbling windows of an hour."""
-    return searches.groupBy(F.window("ts", "1 hour").alias("_w")).agg(F.count(F.lit(1)).alias("n_searches")).select(F.col("_w.start").alias("hour"), "n_searches")
+    """(hour, n_searches, newest) in tumbling windows of an hour; newest is the last event's time, by which ``last_hours`` cuts."""
+    counted = searches.groupBy(F.window("ts", "1 hour").alias("_w")).agg(F.count(F.lit(1)).alias("n_searches"), F.max("ts").alias("newest"))
+    return counted.select(F.col("_w.start").alias("hour"), "n_searches", "newest")
 
 
 def click_counts(clicks: DataFrame) -> DataFrame:
@@ -49,14 +50,49 @@ def click_counts(clicks: DataFrame) -> DataFrame:
     return clicks.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_clicks"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> StreamingQuery:
-    """Run a stream over all that is there now into an in-memory table, and wait for it."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def upsert(path: str):
+    """A foreachBatch function for streams in update mode: each batch's changed rows become part ``n`` of a Parquet table, written over if the batch runs again."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/part={number}")
+
+    return step
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key of a table that ``upsert`` wrote."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (*keys, "part")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "part").alias("_row"))
+    return newest.select(*keys, "_row.*")
+
+
+def run_to_folder(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> DataFrame:
+    """Run an aggregating stream over all that is there now into the table ``path``, and give the table as it is then.
+
+    State and progress are in ``checkpoint``; run again, it takes in only what is new. Nothing of the result goes through the driver.
+    """
+    query = stream.writeStream.foreachBatch(upsert(path)).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    return latest(stream.sparkSession, path, keys)
+
+
+def append_to_folder(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream of rows over all that is there now, adding to the Parquet table ``path``, and give the table as it is then."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(path)
+
+
+def run_batches(stream: DataFrame, step, checkpoint: str) -> None:
+    """Run a stream over all that is there now through a foreachBatch function."""
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def last_hours(volume: DataFrame, hours: int = 24, as_of=None) -> DataFrame:
+    """The hours of a volume table from ``hours`` before ``as_of`` (the newest event's hour if not given) on."""
+    until = volume.agg(F.max("newest")).scalar() if as_of is None else F.lit(as_of)
+    return volume.where(F.col("newest") >= until - F.make_interval(hours=F.lit(hours)))
 
 
 def keep_newest(path: str, most: int = 1000, time_col: str = "ts", id_col: str = "event_id"):
@@ -74,3 +110,9 @@ def keep_newest(path: str, most: int = 1000, time_col: str = "ts", id_col: str =
         newest.coalesce(1).write.mode("overwrite").parquet(f"{path}/part={number}")
 
     return step
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``keep_newest`` kept last."""
+    kept = spark.read.parquet(path)
+    return kept.where(F.col("part") == kept.agg(F.max("part")).scalar()).drop("part")

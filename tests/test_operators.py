@@ -47,16 +47,17 @@ def test_index_changes(docs, spark):
 
 def test_lists_and_lookups(docs, spark, tmp_path):
     built = index.postings(docs)
-    lists = dict(rows(index.posting_lists(built)))
+    lists = {r.term: r.doc_ids for r in index.posting_blocks(built).collect()}
     assert lists["vector"] == [1, 2, 5] and lists["index"] == [1, 2, 5]
-    assert sum(len(r.doc_ids) for r in index.posting_blocks(built, per_block=2).where("term = 'vector'").collect()) == 3
+    blocks = [r.doc_ids for r in index.posting_blocks(built, per_block=2).where("term = 'vector'").collect()]
+    assert sorted(sum(blocks, [])) == [1, 2, 5] and all(b == sorted(b) for b in blocks)
     assert {r[0] for r in index.lookup(built, "engin").collect()} == {5}
     assert {r.term for r in index.range_scan(built, "e", "f").collect()} == {"engin", "empti"}
     assert [r[0] for r in index.vocabulary(built).collect()] == sorted({stem for stem in lists})
     assert rows(index.term_count(built))[0][0] == len(lists)
     path = str(tmp_path / "index")
-    index.write_index(built, path, 2)
-    again = index.read_index(spark, path)
+    index.write_index(built, docs, path, 2)
+    again = index.read_index(spark, path).postings
     assert sorted(rows(again.select("doc_id", "pos", "term"))) == sorted(rows(built.select("doc_id", "pos", "term")))
     assert sum(r.n_postings for r in index.index_layout(again).collect()) == built.count()
     index.index_to_json(built, str(tmp_path / "json"))
@@ -66,11 +67,46 @@ def test_lists_and_lookups(docs, spark, tmp_path):
 
 def test_persisted_index_prunes_by_term(docs, spark, tmp_path):
     path = str(tmp_path / "index")
-    index.write_index(index.postings(docs), path, 2)
-    plan = index.lookup(index.read_index(spark, path), "vector")._jdf.queryExecution().executedPlan().toString()
+    index.write_index(index.postings(docs), docs, path, 2)
+    plan = index.lookup(index.read_index(spark, path).postings, "vector")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,vector)" in plan and "ReadSchema: struct<doc_id:bigint,term:string>" in plan
 
 
+def test_blocks_do_not_depend_on_the_ids(spark):
+    scattered = spark.range(1000).select(F.xxhash64("id").alias("doc_id"), F.lit("word").alias("term"))
+    sizes = [len(r.doc_ids) for r in index.posting_blocks(scattered, per_block=100).collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) < 160
+
+
+def test_stored_index(docs, spark, tmp_path):
+    path = str(tmp_path / "index")
+    index.write_index(index.postings(docs), docs, path, 2)
+    stored = index.read_index(spark, path)
+    assert dict(rows(stored.lengths)) == {1: 5, 2: 2, 3: 1, 4: 0, 5: 5} and rows(stored.figures) == [(5, 13 / 5)]
+    assert sorted(rows(stored.vocabulary)) == sorted(rows(index.term_stats(index.postings(docs))))
+    assert sorted(rows(stored.kgrams)) == sorted(rows(index.kgram_index(stored.vocabulary.select("term"))))
+    for built in (stored, index.postings(docs)):
+        assert dict(rows(search.ranked(docs, "vectors index", index=built))) == {i: pytest.approx(v) for i, v in rows(search.ranked(docs, "vectors index"))}
+        assert rows(search.simple_search(docs, "vector search", "raw", built)) == [(1, 6.0)]
+        assert rows(search.simple_search(docs, "engine zzz", "raw", built)) == [(5, 1.0)]
+        assert {r[0] for r in search.boolean_search(docs, None, index=built).collect()} == set()
+    vocab = index.term_stats(index.postings(docs))
+    assert rows(spell.suggestions(stored.vocabulary, ["vectr"], grams=stored.kgrams)) == rows(spell.suggestions(vocab, ["vectr"]))
+    # neither the title nor the content is read in a search over a written index
+    docs.write.parquet(str(tmp_path / "docs"))
+    written = spark.read.parquet(str(tmp_path / "docs"))
+    for found in (search.ranked(written, "vectors index", index=stored), search.simple_search(written, "vectors", index=stored)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "content" not in plan and "title:" not in plan and "title#" not in plan
+    parts = [rank.in_places(spark.range(1000).repartition(7), F.desc("id"))]
+    assert [tuple(r) for r in parts[0].orderBy("rank").collect()] == [(999 - i, i + 1) for i in range(1000)]
+
+
+def test_words_are_counted_inside_the_row(docs):
+    assert sorted(rows(index.word_stats(docs))) == sorted(rows(index.term_stats(index.raw_postings(docs), "raw")))
+    assert sorted(rows(index.term_rows(docs))) == sorted((r.doc_id, r.raw, r.tf) for r in stats.term_frequencies(index.raw_postings(docs), "raw").collect())
+
+
 def test_statistics(docs, nothing):
     lengths = dict(rows(stats.document_lengths(docs)))
     assert lengths == {1: 5, 2: 2, 3: 1, 4: 0, 5: 5}
@@ -129,7 +165,17 @@ def test_ranked_search(docs):
     assert (found.total, found.pages, found.error) == (3, 1, None)
     got = found.results.collect()
     assert [r.doc_id for r in got] == [1, 2, 5] or len(got) == 3
-    assert any("<mark>vector</mark>" in r.snippet.text for r in got)
+    assert any("<mark>vector</mark>" in r.snippet.text for r in got) and [r["rank"] for r in got] == [1, 2, 3]
+    second = search.ranked_search(docs, "vectors index", 1, 2, highlight=False).results.collect()
+    assert [r["rank"] for r in second] == [3] and [r["rank"] for r in search.ranked_search(docs, "vectors index", 0, 0).results.collect()] == [1, 2, 3]
+
+    class Frequency:
+        name = "frequency"
+
+        def score(self):
+            return F.col("tf")
+
+    assert dict(rows(search.ranked(docs, "vector", "raw", ranking=Frequency()))) == {1: 3.0, 5: 1.0}
     assert search.ranked_search(docs.drop("content"), "vector", safe=True).error
     assert search.ranked_search(docs, "the").total == 0
 
@@ -203,7 +249,7 @@ def test_rollup(log):
     got = {r.query: r for r in analytics.query_rollup(*log).collect()}
     assert set(got) == {"alpha", "beta", "gamma"}
     a = got["alpha"]
-    assert (a.n_searches, a.total_results, a.total_time_ms, a.first_searched, a.n_clicked_docs, a.avg_results, a.ctr) == (2, 4, 4.0, T0, 2, 2.0, 1.0)
+    assert (a.n_searches, a.total_results, a.total_time_ms, a.first_searched, a.n_clicked_docs, a.n_clicks, a.avg_results, a.ctr) == (2, 4, 4.0, T0, 2, 3, 2.0, 1.5)
 
 
 def test_reports(log):
@@ -215,7 +261,8 @@ def test_reports(log):
     assert sum(r.n_searches for r in analytics.volume_by_hour(searches).collect()) == 4
     s = analytics.summary(searches, clicks).first()
     assert (s.n_searches, s.n_queries, s.avg_results, s.n_clicks, s.n_zero_result_queries) == (4, 3, pytest.approx(2 / 3), 5, 2)
-    assert rows(analytics.query_suggestions(searches, " AL")) == [("alpha", 2)]
+    assert rows(analytics.query_suggestions(searches, "AL")) == [("alpha", 2)]
+    assert analytics.query_suggestions(searches, " AL").count() == 0 and analytics.query_suggestions(searches, "al ").count() == 0
     none = searches.limit(0)
     assert analytics.summary(none, clicks.limit(0)).first().n_searches == 0
 
@@ -238,6 +285,9 @@ def test_snippets():
     assert highlight.snippet(None, ["alpha"])["text"] == "" and highlight.snippet("", [])["text"] == ""
     many = highlight.snippets("alpha " + "w " * 200 + "alpha alpha " + "w " * 200 + "alpha", ["alpha"], 2)
     assert [m["total_matches"] for m in many] == [2, 1]
+    apart = "word " * 60 + "alphabetical alpha " + "tail " * 60
+    found = highlight.snippets(apart, ["alpha"])[0]
+    assert (found["snippet_start"], found["snippet_end"]) == (235, 388) and apart[234] == apart[388] == " "  # widened to white space
     assert highlight.snippets("nothing", ["alpha"])[0]["text"] == "nothing"
 
 

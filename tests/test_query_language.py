@@ -20,6 +20,7 @@ GOLDEN = {
     "the alpha": "Term(alpha)",
     "alpha) beta": "Term(alpha)",
     '"open phrase here': 'Phrase("open phrase here")',
+    "alpha NEAR/\u06f3 beta": "AND(AND(Term(alpha), Term(near)), Term(beta))",
     "alpha NEAR/x beta": "AND(AND(Term(alpha), Term(near)), Term(beta))",
     "foo:bar": 'Phrase("foo bar")',
     "title:foo*": "Field(title:foo*)",

@@ -30,8 +30,13 @@ def test_contents_and_tables(spark, tmp_path):
     assert files.read_json(spark, str(tmp_path / "j")).count() == 2
     files.write_table(made, str(tmp_path / "t"))
     assert files.read_table(spark, str(tmp_path / "t")).count() == 2
-    files.write_texts(made, str(tmp_path / "x"))
-    assert spark.read.text(str(tmp_path / "x")).count() == 2
+    more = made.unionByName(made.limit(1).withColumn("doc_id", F.lit(8).cast("bigint")).withColumn("content", F.lit("one\ntwo\n")).withColumn("file_name", F.lit("A.MD")))
+    written = {r.doc_id: r for r in files.write_texts(more, str(tmp_path / "x")).collect()}
+    assert {p.name: p.read_text() for p in (tmp_path / "x").iterdir()} == {"1.txt": "text", "3": "x", "8.MD": "one\ntwo\n"} and written[8].file_size == 8
+    assert files.file_exists(spark, written[8].file_path)
+    files.delete_file(spark, written[8].file_path)
+    files.delete_file(spark, written[8].file_path)
+    assert not files.file_exists(spark, written[8].file_path)
 
 
 def log(spark, path, start, n):
@@ -45,16 +50,19 @@ def test_streams_equal_batch(spark, tmp_path):
     log(spark, path, 5, 10)
     read = stream.read_log(spark, path, 1)
     once = stream.without_redelivery(stream.with_event_time(read), "event_id")
-    q = stream.run_to_table(once.select("event_id"), "t_once", "append")
-    q.stop()
-    assert sorted(r[0] for r in spark.table("t_once").collect()) == list(range(15))
-    stream.run_to_table(stream.volume_by_hour(stream.with_event_time(read)), "t_volume").stop()
+    folder = lambda name: (str(tmp_path / name / "table"), str(tmp_path / name / "checkpoint"))
+    kept = stream.append_to_folder(once.select("event_id"), *folder("once"))
+    assert sorted(r[0] for r in kept.collect()) == list(range(15))
+    run = lambda df, keys, name: stream.run_to_folder(df, folder(name)[0], keys, folder(name)[1])
+    volume = run(stream.volume_by_hour(stream.with_event_time(read)), ["hour"], "volume")
     batch = spark.read.parquet(path).groupBy(F.date_trunc("hour", "ts").alias("hour")).count()
-    assert sorted(map(tuple, spark.table("t_volume").collect())) == sorted(map(tuple, batch.collect()))
-    stream.run_to_table(stream.query_rollup(read), "t_rollup").stop()
-    assert {(r.query, r.n_searches) for r in spark.table("t_rollup").collect()} == {("alpha", 10), ("beta", 10)}
-    stream.run_to_table(stream.click_counts(read), "t_clicks").stop()
-    assert sum(r.n_clicks for r in spark.table("t_clicks").collect()) == 20
+    assert sorted(map(tuple, volume.select("hour", "n_searches").collect())) == sorted(map(tuple, batch.collect()))
+    assert sum(r.n_searches for r in stream.last_hours(volume, 1).collect()) == 7  # the hours with an event in the last hour, each whole; event 9 came twice
+    assert {(r.query, r.n_searches) for r in run(stream.query_rollup(read), ["query"], "rollup").collect()} == {("alpha", 10), ("beta", 10)}
+    assert sum(r.n_clicks for r in run(stream.click_counts(read), ["doc_id"], "clicks").collect()) == 20
+    # run again, a stream takes in what is new
+    log(spark, path, 20, 4)
+    assert {(r.query, r.n_searches) for r in run(stream.query_rollup(stream.read_log(spark, path, 1)), ["query"], "rollup").collect()} == {("alpha", 12), ("beta", 12)}
 
 
 def test_keep_newest(spark, tmp_path):
@@ -63,8 +71,7 @@ def test_keep_newest(spark, tmp_path):
     log(spark, path, 10, 10)
     q = stream.read_log(spark, path, 1).writeStream.foreachBatch(stream.keep_newest(kept, 7)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(p.name for p in (tmp_path / "kept").iterdir())
-    assert sorted(r.event_id for r in spark.read.parquet(f"{kept}/{last}").collect()) == list(range(13, 20))
+    assert sorted(r.event_id for r in stream.newest(spark, kept).collect()) == list(range(13, 20))
 
 
 def test_engine(spark, tmp_path):
@@ -82,6 +89,11 @@ def test_engine(spark, tmp_path):
     assert e.expand(["search"])[0] == "search"
     assert e.index_page().first().n_docs == 2 and e.facets().count() > 0 and e.filter_options().first().n_docs == 2
     assert e.statistics().first().n_docs == 2 and e.analytics().first().n_searches == 1 and e.recent_searches().count() == 1
+    e.record_click("Vectors", 1)
+    e.record_click("vectors ", 1)
+    rolled = e.query_rollup().first()
+    assert (rolled.query, rolled.n_clicks, rolled.n_clicked_docs, rolled.ctr) == ("vectors", 2, 1, 2.0) and e.analytics().first().n_clicks == 2
+    assert [tuple(r) for r in e.popular_documents().collect()] == [(1, 2)] and e.log.maxlen == e.clicks.maxlen == 1000
     e.delete(docs.where("doc_id = 1"))
     assert e.search("vector").count() == 0 and e.index.where("doc_id = 1").count() == 0
     e.add(docs.where("doc_id = 1"))

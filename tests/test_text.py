@@ -91,3 +91,13 @@ def test_like_pattern():
     assert X.like_pattern("a*b?c") == "a%b_c"
     assert X.like_pattern("50%_x\\*") == "50\\%\\_x\\\\%"
     assert X.like_pattern("") == ""
+
+
+def test_shown_values(spark):
+    from brindle.functions import text as X
+
+    row = spark.sql("select 2.345d x, timestamp'2024-01-31 23:30:00' t, cast(null as double) n").select(
+        X.shown_number(F.col("x"), 2), X.shown_number(F.col("x"), 0), X.shown_date(F.col("t"), "Asia/Tehran"), X.shown_date(F.col("t"), long=True),
+    ).first()
+    assert tuple(row) == ("2.35", "2", "Feb 01, 2024", "Wednesday, January 31, 2024 11:30:00 PM")
+    assert X.pager(3) == [0, 1, 2] and X.pager(9) == [0, 1, 2, 3, 4] and X.pager(0) == [] and X.query_kgrams("ab") == ["$a", "ab", "b$"]
