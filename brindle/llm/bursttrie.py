@@ -3,13 +3,14 @@
 Each task keeps its terms in a burst trie: inner nodes branch on one character, leaves are small hash containers
 from term to (occurrences, records); a container that outgrows ``burst`` entries bursts into a node with one
 container per next character. So prefixes become as long as the data makes them, and a task holds each
-distinct term once. A finished trie is cut into subtrees, one row per container: its prefix, its sorted
+distinct term once. A trie that has ``MOST_ENTRIES`` is written out and started anew. A finished trie is cut into subtrees, one row per container: its prefix, its sorted
 suffixes and their two counters.
 
 Subtrees of the same region must meet. A routing table says how long a prefix decides the place: starting from
 the empty prefix, each prefix that holds more than its share of entries is lengthened by one character. It
-is made from the written subtrees' own prefixes, in one job, and has at most as many entries as parts times lengths.
-Subtrees are then merged per route; the merge sums the counters of equal suffixes.
+is made from the written subtrees' own prefixes, in one job, and has at most ``MOST_ROUTES`` entries for each length, whatever the collection, so that it can be sent to all tasks.
+Subtrees are shuffled by their route, as they are; there the counters of equal suffixes are added by an aggregation that spills, so that a route may hold more
+than a task's memory.
 
 Cases: null texts count as empty; a record without terms counts as a record; an empty table gives no terms.
 """
@@ -36,6 +37,7 @@ class BurstTrie:
         self.burst = burst
         # a node maps the next character to a node or a container; "" keeps the counters of the term that ends here
         self.root: dict = {}
+        self.entries = 0
 
     def add(self, term: str, occurrences: int, records: int) -> None:
         node, depth = self.root, 0
@@ -43,6 +45,7 @@ class BurstTrie:
             if depth == len(term):
                 if (c := node.get("")) is None:
                     node[""] = [occurrences, records]
+                    self.entries += 1
                 else:
                     c[0] += occurrences
                     c[1] += records
@@ -56,6 +59,7 @@ class BurstTrie:
                 rest = term[depth:]
                 if (c := child.get(rest)) is None:
                     child[rest] = [occurrences, records]
+                    self.entries += 1
                     if len(child) > self.burst:
                         node[head] = self._burst(child)
                 else:
@@ -111,10 +115,24 @@ def _rows(parts: list[tuple[str, dict]]) -> pa.RecordBatch:
     )
 
 
-def subtrees(df: DataFrame, id_col: str, text_cols: tuple[str, ...], burst: int = BURST) -> DataFrame:
-    """Subtrees of one burst trie per task."""
+MOST_ENTRIES = 1_000_000  # of one trie
+
+
+def subtrees(df: DataFrame, id_col: str, text_cols: tuple[str, ...], burst: int = BURST, most: int = MOST_ENTRIES) -> DataFrame:
+    """Subtrees of the burst tries of each task."""
     width = len(text_cols)
 
+    def written(trie: BurstTrie):
+        parts, size = [], 0
+        for part in trie.subtrees():
+            parts.append(part)
+            size += len(part[1])
+            if size > 50_000:
+                yield _rows(parts)
+                parts, size = [], 0
+        if parts:
+            yield _rows(parts)
+
     def run(batches):
         trie, split = BurstTrie(burst), TermSplitter().split
         for batch in batches:
@@ -126,31 +144,27 @@ def subtrees(df: DataFrame, id_col: str, text_cols: tuple[str, ...], burst: int
                 records.update(set(terms))
             for term, n in occurrences.items():
                 trie.add(term, n, records[term])
-        parts, size = [], 0
-        for part in trie.subtrees():
-            parts.append(part)
-            size += len(part[1])
-            if size > 50_000:
-                yield _rows(parts)
-                parts, size = [], 0
-        if parts:
-            yield _rows(parts)
+            if trie.entries > most:
+                yield from written(trie)
+                trie = BurstTrie(burst)
+        yield from written(trie)
 
     return map_batches(named(df, id_col, *text_cols), run, _SUBTREE)
 
 
-ENTRIES_PER_ROUTE = 500_000  # what one route may hold on average, so that a merge fits in a task
+ENTRIES_PER_ROUTE = 500_000  # what one route holds on average, as long as there are not more than MOST_ROUTES
+MOST_ROUTES = 1 << 14
 
 
 def _routing(trees: DataFrame, routes: int) -> list[str]:
     """Prefixes that are to be lengthened: each holds more than its part of all entries.
 
-    The entries are divided into ``routes`` parts, or more where a part would exceed ``ENTRIES_PER_ROUTE``. Of one length, at most that many
-    prefixes can hold more than a part.
+    The entries are divided into ``routes`` parts, or more where a part would exceed ``ENTRIES_PER_ROUTE``, up to ``MOST_ROUTES``. Of one length, at most that many
+    prefixes can hold more than a part, and a lengthened prefix is never longer than the tries' own, so the list is small.
     """
     sized = trees.select("prefix", F.size("suffixes").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
-    parts = max(routes, total // ENTRIES_PER_ROUTE)
+    parts = max(routes, min(total // ENTRIES_PER_ROUTE, MOST_ROUTES))
     begins = sized.where(F.length("prefix") > 0).select(F.explode(F.sequence(F.lit(1), F.length("prefix"))).alias("depth"), "prefix", "n")
     heavy = begins.groupBy(F.substring("prefix", F.lit(1), F.col("depth")).alias("p")).agg(F.sum("n").alias("n")).where(F.col("n") * parts > total)
     return ["", *(r[0] for r in heavy.select("p").collect())]
@@ -182,19 +196,11 @@ def term_counts(df: DataFrame, id_col: str, text_cols: tuple[str, ...], burst: i
                 made = _rows([(prefix, e) for _, prefix, e in out])
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in out], pa.string()), *made.columns], ["route", *made.schema.names])
 
-    def merge(group: pa.Table) -> pa.Table:
-        merged: dict[str, list[int]] = {}
-        for prefix, suffixes, occurrences, records in zip(*(group.column(c).to_pylist() for c in ("prefix", "suffixes", "occurrences", "records")), strict=True):
-            for s, o, r in zip(suffixes, occurrences, records, strict=True):
-                if (c := merged.get(term := prefix + s)) is None:
-                    merged[term] = [o, r]
-                else:
-                    c[0] += o
-                    c[1] += r
-        return pa.table({"term": pa.array(merged, pa.string()), "occurrences": pa.array([c[0] for c in merged.values()], pa.int64()), "records": pa.array([c[1] for c in merged.values()], pa.int64())})
-
-    routed = trees.mapInArrow(route, "route string, " + _SUBTREE)
-    return routed.groupBy("route").applyInArrow(merge, "term string, occurrences bigint, records bigint")
+    routed = trees.mapInArrow(route, "route string, " + _SUBTREE).repartition("route")
+    entries = routed.select("route", "prefix", F.explode(F.arrays_zip("suffixes", "occurrences", "records")).alias("e"))
+    # rows of a route lie together, so that no further shuffle is needed
+    merged = entries.groupBy("route", F.concat("prefix", "e.suffixes").alias("term")).agg(F.sum("e.occurrences").alias("occurrences"), F.sum("e.records").alias("records"))
+    return merged.select("term", "occurrences", "records")
 
 
 def marked(counts: DataFrame, n_records: int, rare_records: int = 2, common_share: float = 0.2) -> DataFrame:

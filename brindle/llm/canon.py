@@ -2,9 +2,12 @@
 
 ``canonical`` brings a text to one consistent form: compatibility decomposition, removal of default-ignorable
 characters, look-alike letters mapped to one prototype, white space mapped to plain spaces (line ends stay line
-ends), full case folding unless case is to be kept, and composition. It works on the distinct values
+ends), full case folding unless case is to be kept, and composition, repeated until nothing changes. It works on the distinct values
 of each Arrow batch, so a value that fills a third of the rows is converted once per batch.
 
+Look-alikes are letters of Cyrillic, Greek, Armenian, Cherokee, Coptic, Lisu, Deseret, the phonetic and small-capital letters of Latin, and the Arabic letters and digits that
+have one shape in several code points; full-width, mathematical and other compatibility forms of any script are covered by the decomposition.
+
 ``hidden_phrases`` finds watched phrases that stand in a text as a reader sees them, at least once in other
 characters. Phrases and texts are compared in the canonical form that keeps letter case; the phrases are searched by an
 Aho-Corasick automaton, in blocks of bounded size. A phrase counts as hidden where the canonical form shows it more
@@ -34,7 +37,7 @@ DEFAULT_IGNORABLE = (
     (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
 
-# Letters that look like a letter of another script, as a string of look-alikes for each prototype.
+# Letters that look like a letter of another script, as a string of look-alikes for each prototype. In the order of the scripts above.
 LOOK_ALIKES = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ",
     "K": "КΚᏦK", "L": "Ꮮ", "M": "МΜᎷϺ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ТΤᎢ",
@@ -45,6 +48,12 @@ LOOK_ALIKES = {
     "0": "٠۰", "-": "‐‑‒–⁃−˗﹘",
 }
 # Extended Arabic-Indic digits are the prototypes of the Arabic-Indic ones that look the same.
+# Look-alikes in Coptic, Lisu and Deseret, and small capitals that have the shape of the small letter.
+MORE_LOOK_ALIKES = {
+    "A": "ꓮ", "B": "Ⲃꓐ", "C": "Ⲥꓚ𐐕", "D": "ꓓ", "E": "ꓰ", "F": "ꓝ", "G": "ꓖ", "H": "Ⲏꓧ", "I": "Ⲓꓲ", "J": "ꓙ", "K": "Ⲕꓗ", "L": "ꓡ𐐛", "M": "Ⲙꓟ", "N": "Ⲛꓠ", "O": "Ⲟꓳ𐐄",
+    "P": "Ⲣꓑ", "R": "ꓣ", "S": "ꓢ𐐠", "T": "Ⲧꓔ", "U": "ꓴ", "V": "ꓦ", "W": "ꓪ", "X": "Ⲭꓫ", "Y": "Ⲩꓬ", "Z": "Ⲍꓜ",
+    "c": "ⲥᴄ𐐽", "o": "ⲟᴏ𐐬", "p": "ⲣ", "s": "ꜱ𐑈", "u": "ᴜ", "v": "ᴠ", "w": "ᴡ", "x": "ⲭ", "z": "ᴢ",
+}
 _DIGITS = {0x0660 + d: chr(0x06F0 + d) for d in (0, 1, 2, 3, 7, 8, 9)}
 
 _SPACES = {c: " " for c in range(0x3001) if unicodedata.category(chr(c)) == "Zs"} | {0x09: " "}
@@ -53,7 +62,7 @@ _BREAKS = {0x0B: "\n", 0x0C: "\n", 0x85: "\n", 0x2028: "\n", 0x2029: "\n"}
 
 @cache
 def _table() -> dict[int, str | None]:
-    looks = {ord(c): p for p, cs in LOOK_ALIKES.items() if p != "0" for c in cs}
+    looks = {ord(c): p for known in (LOOK_ALIKES, MORE_LOOK_ALIKES) for p, cs in known.items() if p != "0" for c in cs}
     ignored = {c: None for a, b in DEFAULT_IGNORABLE for c in range(a, b + 1)}
     return looks | _DIGITS | _SPACES | _BREAKS | ignored
 
@@ -73,10 +82,10 @@ def canonical_text(text: str | None, fold_case: bool = True) -> str | None:
     if text is None:
         return None
     if _plain(text):
-        # a second pass settles letters whose look-alike appears only after composition or folding
-        text = _once(_once(_line_ends.sub("\n", text)))
-        if fold_case:
-            text = _once(_once(text.casefold()))
+        before, text = None, _line_ends.sub("\n", text)
+        while before != text:  # letters whose look-alike appears only after composition or folding; two or three rounds
+            before = text
+            text = _once(text.casefold() if fold_case else text)
     elif fold_case:
         text = text.casefold()
     return _space_runs.sub(" ", text) if "  " in text else text
@@ -148,10 +157,13 @@ class PhraseFinder:
         return n
 
 
-def hidden_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFrame, ref_col: str = "ref_id", phrase_col: str = "phrase", block: int = 20_000) -> DataFrame:
+MOST_PHRASES = 200_000  # phrases that one automaton holds
+
+
+def hidden_phrases(df: DataFrame, id_col: str, text_col: str, phrases: DataFrame, ref_col: str = "ref_id", phrase_col: str = "phrase", block: int = MOST_PHRASES) -> DataFrame:
     """(record_id, ref_id) of every record that shows a phrase in other characters.
 
-    Phrases are sent to the tasks in blocks of at most ``block``, one pass over the texts for each block.
+    Phrases are sent to the tasks in blocks of at most ``block``, so that what is sent is bounded; up to that many they take one pass over the texts.
     """
     ids = phrases.where(F.col(phrase_col).isNotNull()).select(F.col(ref_col).cast("bigint").alias("ref"), F.col(phrase_col).alias("phrase"))
     n_blocks = max(1, -(-ids.count() // block))

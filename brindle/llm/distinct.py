@@ -2,9 +2,10 @@
 
 score = (tf / terms in the record) * (ln((N + 1) / (df + 1)) + 1): term frequency normalised by the record's
 length, times the smoothed inverse document frequency. Records are reduced to distinct (record, term, tf) rows in
-the task that reads them. The document frequencies come from the same rows by a distributed aggregation, each
-task sending each of its terms once, and are joined back on the term; terms that most records share are split
-by adaptive skew handling, and a filter on tf or df moves below the join.
+the task that reads them. The document frequencies are those rows counted by term: each task counts the terms of its own records and sends each of them
+once, then they are added and joined back on the term; terms that most records share are split
+by adaptive skew handling, and a filter on tf or df moves below the join. The texts are cut into terms twice, once for each side: writing the rows
+instead would take several times the space of the texts, of which a filter keeps little.
 
 Cases: null texts count as empty; a record without terms has no rows but counts in N; ties have equal scores; an
 empty table gives no rows.

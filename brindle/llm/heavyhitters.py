@@ -169,8 +169,23 @@ def _overfull(sketched: DataFrame, least: int) -> list[int]:
     return [r[0] for r in rows]
 
 
-def frequent(df: DataFrame, value_col: str, share: float, buckets: int = BUCKETS, slots: int = SLOTS, light: int = LIGHT) -> DataFrame:
-    """(value, estimate, n) of every value that makes up at least ``share`` of all rows; n is exact."""
+MOST_BUCKETS = 1 << 16
+
+
+def buckets_for(share: float) -> int:
+    """Buckets at which few of them can lose as many counts as a frequent value has: some for every value that can be frequent."""
+    wanted, buckets = 4 / share, BUCKETS
+    while buckets < min(wanted, MOST_BUCKETS):
+        buckets *= 2
+    return buckets
+
+
+def frequent(df: DataFrame, value_col: str, share: float, buckets: int | None = None, slots: int = SLOTS, light: int = LIGHT) -> DataFrame:
+    """(value, estimate, n) of every value that makes up at least ``share`` of all rows; n is exact.
+
+    The number of buckets follows the share unless it is given.
+    """
+    buckets = buckets or buckets_for(share)
     total = df.count()
     least = max(1, int(np.ceil(share * total - 1e-9)))
     sketched = materialise(sketch(df, value_col, buckets, slots, light))

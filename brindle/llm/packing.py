@@ -10,7 +10,8 @@ first bin + (r - first rank). Their number depends on the capacity, not on the n
 
 Each item then gets its rank among the items of its size: sizes are counted per hash part (fixed by the
 item's id, so that a lost task gives the same ranks when it runs again), the parts' offsets are summed,
-and the rank is the offset plus the place within the part. A size that a third of all items share is spread over all parts.
+and the rank is the offset plus the place within the part. A size that a third of all items share is spread over all parts. Within a part, items and
+steps are merged in the order of their ranks, so that an item costs the same however many steps its size has.
 
 Cases: a null or empty text has size 0 and goes to the tightest bin like any other, so it is kept and uses no room; where
 there are only such texts, one bin is opened; an item is cut only if it is longer than the capacity, into full
@@ -149,17 +150,17 @@ def pack(sizes: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_col: s
     # the steps of a size meet the rank ranges that its parts hold
     upto = Window.partitionBy("spec", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranges = counted.withColumn("offset", F.coalesce(F.sum("count").over(upto), F.lit(0)))
-    met = (
-        ranges.join(steps, ["spec", "size"])
-        .where((F.col("first_rank") < F.col("offset") + F.col("count")) & (F.col("first_rank") + F.col("number") > F.col("offset")))
-        .groupBy("spec", "size", "part").agg(
-            F.first("offset").alias("offset"),
-            F.array_sort(F.collect_list(F.struct("first_rank", "number", "first_bin"))).alias("steps"),
-        )
-    )
+    met = ranges.join(steps, ["spec", "size"]).where((F.col("first_rank") < F.col("offset") + F.col("count")) & (F.col("first_rank") + F.col("number") > F.col("offset")))
+    met = met.select("spec", "size", "part", (F.greatest("first_rank", "offset") - F.col("offset")).alias("place"), F.struct("offset", "first_rank", "first_bin").alias("step"))
     ordered = Window.partitionBy("spec", "size", "part").orderBy("id", "piece")
-    ranked = items.withColumn("place", F.row_number().over(ordered) - 1)
-    placed = ranked.join(met, ["spec", "size", "part"]).withColumn("rank", F.col("offset") + F.col("place"))
-    placed = placed.withColumn("step", F.filter("steps", lambda s: (s["first_rank"] <= F.col("rank")) & (F.col("rank") < s["first_rank"] + s["number"]))[0])
+    ranked = items.withColumn("place", (F.row_number().over(ordered) - 1).cast("bigint"))
+    placed = assign(ranked, met).withColumn("rank", F.col("step.offset") + F.col("place"))
     bin_id = F.when(F.col("step.first_bin") < 0, -F.col("step.first_bin") - 1).otherwise(F.col("step.first_bin") + F.col("rank") - F.col("step.first_rank"))
     return placed.select(F.col("spec").alias("spec_id"), bin_id.alias("bin_id"), F.col("id").alias(id_col), "piece", "first_token", F.col("size").alias("n_tokens"))
+
+
+def assign(ranked: DataFrame, steps: DataFrame) -> DataFrame:
+    """The items (spec, size, part, place, id, piece, first_token) with the last of their part's steps (spec, size, part, place, step) that begins at or before their place."""
+    both = ranked.select("spec", "size", "part", "place", "id", "piece", "first_token").unionByName(steps, allowMissingColumns=True)
+    upto = Window.partitionBy("spec", "size", "part").orderBy("place", F.col("id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("step", F.last("step", ignorenulls=True).over(upto)).where("id is not null")

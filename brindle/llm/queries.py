@@ -50,7 +50,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct.distinctiveness(table(spark, sf_dir, "docs"), "doc_id", ("title", "content"))
+    scored = distinct.distinctiveness(table(spark, sf_dir, "docs"), "doc_id", ("title", "content"))
+    return scored.withColumn("score", F.round("score", 9))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +162,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_terms": f"WITH {_TERMS} {_MARKED}",
         "p2_found": f"WITH {_TERMS} SELECT term, mark FROM ({_MARKED}) WHERE mark IS NOT NULL",
         "p4_found": f"WITH {_TERMS} SELECT doc_id, term FROM per_doc JOIN counts USING (term) WHERE tf >= 5 AND records <= 5",
+        "p4_scores": f"""WITH {_TERMS}, lengths AS (SELECT doc_id, sum(tf) AS n_terms FROM per_doc GROUP BY doc_id)
+SELECT doc_id, term, CAST(tf AS INT) AS tf, records AS df, round(tf / n_terms * (ln(((SELECT count(*) FROM docs) + 1.0) / (records + 1.0)) + 1.0), 9) AS score
+FROM per_doc JOIN counts USING (term) JOIN lengths USING (doc_id)""",
         "p6_found": f"SELECT query FROM ({_FREQUENT})",
         "p6_top": _FREQUENT,
         "p7_found": _COPIES,

@@ -128,3 +128,27 @@ def test_distinctiveness(records):
     assert one.tf == 2 and one.score == pytest.approx(2 / 3 * (math.log(8 / 4) + 1))
     assert {r.doc_id for r in got} == {1, 2, 5, 6}
     assert distinct.distinctiveness(records.limit(0), "doc_id", ("title", "content")).count() == 0
+
+
+def test_every_code_point_has_a_stable_form():
+    for fold in (True, False):
+        for code in range(0x110000):
+            if not 0xD800 <= code < 0xE000:
+                once = canon.canonical_text(chr(code), fold)
+                if once != chr(code):
+                    assert canon.canonical_text(once, fold) == once, hex(code)
+
+
+@pytest.mark.parametrize("shown,plain", [("ꓮꓐꓚ", "ABC"), ("ⲤⲞⲢⲦ", "COPT"), ("𐐄𐐕", "OC"), ("ⲥⲟ", "co"), ("ᴠᴄᴏ", "vco"), ("ꜱᴜᴢ", "suz"), ("СОРТ", "COPT"), ("ΑΒΕ", "ABE"), ("ᎪᏟᎬ", "ACE"), ("ՏՕՍ", "SOU")])
+def test_scripts(shown, plain):
+    assert canon.canonical_text(shown, False) == plain
+
+
+def test_tries_are_written_out(spark):
+    rows = [(i, " ".join(f"t{j}x" for j in range(i, i + 50))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    whole = {r.prefix for r in bursttrie.subtrees(df, "doc_id", ("text",), 8).collect()}
+    parts = bursttrie.subtrees(df, "doc_id", ("text",), 8, most=20)
+    assert whole and sum(sum(r.occurrences) for r in parts.collect()) == 400 * 50
+    got = {r.term: (r.occurrences, r.records) for r in bursttrie.term_counts(df, "doc_id", ("text",), 8, 4).collect()}
+    assert got["t100x"] == (50, 50) and len(got) == 449 and sum(o for o, _ in got.values()) == 400 * 50

@@ -169,6 +169,15 @@ def test_copies(spark):
     assert [tuple(r) for r in collapse.copies(long, "event_id", "query").collect()] == [(1, 2)]
 
 
+def test_noncharacters_cut_nothing(spark):
+    df = spark.createDataFrame([(1, "a\ufdd0b x:"), (2, "a b x:"), (3, "b x: a"), (4, "title:b\ufdd0a content:c"), (5, "content:c title:b\ufdd0a")], "event_id bigint, query string")
+    assert [tuple(r) for r in collapse.copies(df, "event_id", "query").collect()] == [(4, 5)]
+
+
+def test_buckets_follow_the_share():
+    assert heavyhitters.buckets_for(1 / 200) == heavyhitters.BUCKETS and heavyhitters.buckets_for(1e-4) >= 4e4 and heavyhitters.buckets_for(1e-9) == heavyhitters.MOST_BUCKETS
+
+
 def test_one_group_of_a_third(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("q"), "id")).alias("q"))
     got = collapse.copies(df, "id", "q")

@@ -125,3 +125,14 @@ def test_pack(spark):
     assert {r.bin_id for r in zeros} == {0}
     with pytest.raises(ValueError):
         packing.pack(sizes, specs.withColumn("capacity", F.lit(0)))
+
+
+def test_a_million_steps_of_one_size(spark):
+    n = 1_000_000
+    items = spark.range(n).select(F.lit(1).alias("spec"), F.lit(7).alias("size"), (F.col("id") % 4).alias("part"), F.floor(F.col("id") / 4).alias("place"), "id", F.lit(0).alias("piece"), F.lit(0).alias("first_token"))
+    steps = spark.range(n).select(F.lit(1).alias("spec"), F.lit(7).alias("size"), (F.col("id") % 4).alias("part"), F.floor(F.col("id") / 4).alias("place"), F.struct(F.col("id").alias("bin")).alias("step"))
+    placed = packing.assign(items, steps)
+    assert placed.where("id = step.bin").count() == n
+    # a step that begins before an item serves all up to the next
+    some = packing.assign(items.where("id < 40"), steps.where("id in (0, 1, 2, 3, 20)"))
+    assert {r.id: r.step.bin for r in some.collect()} == {i: 20 if i % 4 == 0 and i >= 20 else i % 4 for i in range(40)}
