@@ -208,9 +208,8 @@ def _(spark, d):
 
 @_query("q_index_build", f"{_STEMMED} SELECT (SELECT count(*) FROM lens) AS n_docs, round((SELECT avg(total_terms) FROM lens), 6) AS avg_len, count(DISTINCT term) AS n_terms, count(*) AS n_postings FROM spost")
 def _(spark, d):
-    docs, path = _docs(spark, d), f"{shared_folder(spark)}/built-{uuid.uuid4().hex}"
-    I.write_index(I.postings(docs), docs, path)
-    built = I.read_index(spark, path)
+    _WRITTEN.discard((spark.sparkContext.applicationId, d))  # built anew, and used by the queries that follow
+    built = _index(spark, d)
     figures = built.figures.select("n_docs", F.round("avg_len", 6).alias("avg_len"))
     return figures.withColumn("n_terms", built.vocabulary.agg(F.count(F.lit(1))).scalar()).withColumn("n_postings", built.postings.agg(F.count(F.lit(1))).scalar())
 

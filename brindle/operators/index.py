@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.stem import stem_arrays
 from brindle.functions.text import kgrams, like_pattern, tokenize
-from brindle.session import one_row, spread
+from brindle.session import materialise, one_row, spread
 
 
 def token_arrays(docs: DataFrame) -> DataFrame:
@@ -111,21 +111,12 @@ def posting_blocks(index: DataFrame, key: str = "term", per_block: int = 100_000
     return dealt.groupBy(key, "block").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
 
 
-def term_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, raw, tf) of every distinct token of every document; counted inside the row, by sorting its tokens."""
-    sorted_tokens = F.array_sort(F.concat("title_tokens", "content_tokens"))
-    rows = token_arrays(docs).select("doc_id", sorted_tokens.alias("_s"), F.size("title_tokens").alias("_t"))
-    first = F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (F.element_at("_s", i) != F.element_at("_s", F.greatest(i - 1, F.lit(1)))))
-    runs = rows.where(F.size("_s") > 0).withColumn("_at", first)
-    counted = F.transform(
-        "_at", lambda p, k: F.struct(F.element_at("_s", p).alias("raw"), (F.coalesce(F.get("_at", k + 1), F.size("_s") + 1) - p).alias("tf"))
-    )
-    return runs.select("doc_id", F.explode(counted).alias("_e")).select("doc_id", "_e.*")
-
-
 def word_stats(docs: DataFrame) -> DataFrame:
-    """(raw, df, cf) of the words of documents: one shuffle, counted on the map side."""
-    return term_rows(docs).groupBy("raw").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """(raw, df, cf) of the words of documents: each row gives its words and its distinct words, and one shuffle adds them up, combined on the map side."""
+    tokens = F.concat("title_tokens", "content_tokens")
+    both = token_arrays(docs).select(tokens.alias("_t")).select(F.posexplode(F.array(F.array_distinct("_t"), F.col("_t"))).alias("_all", "_words"))
+    words = both.select("_all", F.explode("_words").alias("raw"))
+    return words.groupBy("raw").agg(F.count_if(F.col("_all") == 0).alias("df"), F.count_if(F.col("_all") == 1).alias("cf"))
 
 
 def positions(index: DataFrame) -> DataFrame:
@@ -203,12 +194,13 @@ def write_index(index: DataFrame, docs: DataFrame, path: str, partitions: int |
     are made from the written postings; of the documents only the ids are read.
     """
     keys = ["term", "doc_id"]
+    index = materialise(index)  # ranges are found by a pass of their own, which would cut and stem the texts once more
     placed = index.repartitionByRange(partitions, *keys) if partitions else index.repartitionByRange(*keys)
     placed.sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(f"{path}/postings")
     written = docs.sparkSession.read.parquet(f"{path}/postings")
     lengths_of(written, docs).write.mode("overwrite").parquet(f"{path}/lengths")
     figures_of(docs.sparkSession.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/figures")
-    term_stats(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    materialise(term_stats(written)).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
     grams = kgram_index(docs.sparkSession.read.parquet(f"{path}/vocabulary").select("term"), K)
     grams.repartitionByRange("kgram", "term").sortWithinPartitions("kgram", "term").write.mode("overwrite").parquet(f"{path}/kgrams")
 

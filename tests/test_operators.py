@@ -102,9 +102,9 @@ def test_stored_index(docs, spark, tmp_path):
     assert [tuple(r) for r in parts[0].orderBy("rank").collect()] == [(999 - i, i + 1) for i in range(1000)]
 
 
-def test_words_are_counted_inside_the_row(docs):
+def test_words_of_documents(docs, nothing):
+    assert index.word_stats(nothing).count() == 0
     assert sorted(rows(index.word_stats(docs))) == sorted(rows(index.term_stats(index.raw_postings(docs), "raw")))
-    assert sorted(rows(index.term_rows(docs))) == sorted((r.doc_id, r.raw, r.tf) for r in stats.term_frequencies(index.raw_postings(docs), "raw").collect())
 
 
 def test_statistics(docs, nothing):
