@@ -7,7 +7,6 @@ own copies of the stop words, file types and size categories; stems and synonyms
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -62,18 +61,17 @@ def _clicks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "clicks")
 
 
-_WRITTEN: set[tuple[str, str]] = set()
+_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def _index(spark: SparkSession, d: str) -> I.StoredIndex:
     """The index of a folder's docs, written to the application's shared folder when it is first asked for."""
     key = (spark.sparkContext.applicationId, d)
-    path = f"{shared_folder(spark)}/index-{zlib.crc32(d.encode()):08x}"
     if key not in _WRITTEN:
-        docs = _docs(spark, d)
+        docs, path = _docs(spark, d), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         I.write_index(I.postings(docs), docs, path)
-        _WRITTEN.add(key)
-    return I.read_index(spark, path)
+        _WRITTEN[key] = path
+    return I.read_index(spark, _WRITTEN[key])
 
 
 # ---- SQL building blocks --------------------------------------------------------------------------------------
@@ -208,7 +206,7 @@ def _(spark, d):
 
 @_query("q_index_build", f"{_STEMMED} SELECT (SELECT count(*) FROM lens) AS n_docs, round((SELECT avg(total_terms) FROM lens), 6) AS avg_len, count(DISTINCT term) AS n_terms, count(*) AS n_postings FROM spost")
 def _(spark, d):
-    _WRITTEN.discard((spark.sparkContext.applicationId, d))  # built anew, and used by the queries that follow
+    _WRITTEN.pop((spark.sparkContext.applicationId, d), None)  # built anew, and used by the queries that follow
     built = _index(spark, d)
     figures = built.figures.select("n_docs", F.round("avg_len", 6).alias("avg_len"))
     return figures.withColumn("n_terms", built.vocabulary.agg(F.count(F.lit(1))).scalar()).withColumn("n_postings", built.postings.agg(F.count(F.lit(1))).scalar())
